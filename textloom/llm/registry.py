@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from textloom.llm import line_dedup, mixing, pieces, quality
+from textloom.llm import line_dedup, mixing, ngram_join, pieces, quality, range_join
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
+    "op2_range_join": range_join.query,
     "op5_sentencepiece": pieces.query,
+    "op6_ngram_join": ngram_join.query,
     "op8_mixing": mixing.query,
     "op9_quality_classifier": quality.query,
 }
 
 ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE,
+    "op2_range_join": range_join.ORACLE,
     "op8_mixing": mixing.oracle(),
 }
