@@ -16,7 +16,12 @@ WS = b" \t\n\x0b\x0c\r"
 U64 = np.uint64
 
 
+#: Bytes of an Arrow batch that a Python worker holds at once; a larger setting of the session is lowered to it.
+BATCH_BYTES = 16 << 20
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -37,6 +37,11 @@ def valid(column: str):
     return F.coalesce(c.isNotNull() & (F.size(c) > 0) & ~bad & F.exists(c, lambda x: x != 0), F.lit(False))
 
 
+def vector_key(column: str):
+    """A digest that is equal for equal vectors (0 and -0 alike)."""
+    return F.sha2(F.array_join(F.transform(column, lambda x: F.when(x == 0, F.lit("0")).otherwise(x.cast("string"))), ","), 256)
+
+
 def unit(vectors: np.ndarray) -> np.ndarray:
     """Rows scaled to unit length in double precision; scaled by the largest component first, so nothing overflows."""
     vectors = vectors.astype(np.float64)
@@ -66,7 +71,7 @@ def link_vectors(rows: DataFrame, threshold: float = THRESHOLD, id_col: str = "v
     spark = rows.sparkSession
     kind = "array<float>" if rows.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
     rows = rows.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast(kind).alias("v"))
-    good = rows.filter(valid("v")).withColumn("key", F.sha2(F.array_join(F.transform("v", lambda x: F.when(x == 0, F.lit("0")).otherwise(x.cast("string"))), ","), 256))
+    good = rows.filter(valid("v")).withColumn("key", vector_key("v"))
     good = materialize(good, "vectors")
     # one row for each distinct vector: smallest id and how many rows have it
     classes = materialize(good.groupBy("key").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n"), F.min("v").alias("v")), "vector-classes")

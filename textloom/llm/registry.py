@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from textloom.llm import line_dedup, mixing, ngram_join, pieces, quality, range_join
+from textloom.llm import ann, line_dedup, mixing, ngram_join, pieces, quality, range_join, url_filter, wrappers
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
     "op2_range_join": range_join.query,
+    "op4_url_filter": url_filter.query,
     "op5_sentencepiece": pieces.query,
     "op6_ngram_join": ngram_join.query,
+    "op7_ann": ann.query,
     "op8_mixing": mixing.query,
     "op9_quality_classifier": quality.query,
+    "op10_html_extraction": wrappers.query,
 }
 
 ORACLES = {
