@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from textloom.llm import ann, line_dedup, mixing, ngram_join, pieces, quality, range_join, url_filter, wrappers
+from textloom.llm import ann, line_dedup, mixing, ngram_join, pieces, quality, range_join, substring_dedup, url_filter, wrappers
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
     "op2_range_join": range_join.query,
+    "op3_substring_dedup": substring_dedup.query,
     "op4_url_filter": url_filter.query,
     "op5_sentencepiece": pieces.query,
     "op6_ngram_join": ngram_join.query,
