@@ -141,13 +141,15 @@ def _group_of(ids: np.ndarray, n_groups: int) -> np.ndarray:
 
 def _cut_rows(ids: np.ndarray, keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, n_groups: int) -> tuple[list[int], list[bytes]]:
     """Cuts packed by the group of their document."""
+    if not len(ids):
+        return [], []
     group = _group_of(ids, n_groups)
     order = np.lexsort((lo, ids, group))
     ids, keys, lo, hi, group = ids[order], keys[order], lo[order], hi[order], group[order]
-    if len(ids):  # touching ranges of a document in one
-        joint = (ids[1:] == ids[:-1]) & (keys[1:] == keys[:-1]) & (lo[1:] <= hi[:-1])
-        top = np.flatnonzero(np.concatenate([[True], ~joint]))
-        ids, keys, group, hi, lo = ids[top], keys[top], group[top], np.maximum.reduceat(hi, top), lo[top]
+    # touching ranges of a document in one
+    joint = (ids[1:] == ids[:-1]) & (keys[1:] == keys[:-1]) & (lo[1:] <= hi[:-1])
+    top = np.flatnonzero(np.concatenate([[True], ~joint]))
+    ids, keys, group, hi, lo = ids[top], keys[top], group[top], np.maximum.reduceat(hi, top), lo[top]
     names, first = np.unique(group, return_index=True)
     ends = [*first[1:], len(ids)]
     return names.tolist(), [_pack_cuts(ids[a:b], keys[a:b], lo[a:b], hi[a:b]) for a, b in zip(first, ends, strict=True)]
@@ -217,68 +219,74 @@ def _read_block(block: bytes) -> dict[str, np.ndarray]:
 def column_sort(buf: np.ndarray, start: np.ndarray, size: np.ndarray, cap: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All suffixes of the strings in order: (string, suffix length, common prefix with the one before, up to cap).
 
-    Column-wise construction: round j inserts the suffix of length j of each string that has one. Byte 255 can't occur.
+    Column-wise construction: round j inserts the suffix of length j of each string that has one. A row of the stream
+    holds owner, length, common prefix and the symbol before the suffix (0: none) in one 64-bit word.
     """
     n = len(start)
     words = _words(buf)
-    bwt = buf[start + size - 1] + np.uint8(1)  # the symbol before each suffix; 0: none
-    owner, length, prefix = np.arange(n, dtype=np.int32), np.zeros(n, np.uint8), np.zeros(n, np.uint8)
+    present = np.flatnonzero(np.bincount(buf, minlength=256))
+    code = np.zeros(256, np.uint8)
+    code[present] = np.arange(1, len(present) + 1)  # keeps order; leaves 0 free (at most 243 byte values occur in UTF-8)
+    text, kinds, step = code[buf], len(present) + 1, 128
+    block_base = np.repeat(np.arange(0, ((n + len(buf)) // step + 1) * kinds, kinds, dtype=np.int32), step)
+    row = lambda owner, length, symbol: owner.astype(np.uint64) << U64(32) | U64(length) << U64(16) | symbol.astype(np.uint64)
+    stream = row(np.arange(n), 0, text[start + size - 1])
     active, place = np.arange(n), np.arange(n)
-    step = 256
-
-    def common(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray) -> np.ndarray:
-        """Common prefix of suffixes (string a, length la) and (b, lb), up to cap."""
-        most = np.minimum(np.minimum(la, lb), cap).astype(np.int64)
-        pa_, pb = start[a] + size[a] - la, start[b] + size[b] - lb
-        out, left = np.zeros(len(a), np.int64), np.arange(len(a))
-        for at in range(0, cap, 8):
-            left = left[most[left] > at]
-            if not len(left):
+    lanes = np.arange(step)
+
+    def common(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Common prefix of the suffixes of two arrays of rows, up to cap."""
+        most = np.full(len(left), cap)
+        at = []
+        for rows in (left, right):
+            owner, length = (rows >> U64(32)).astype(np.int64), (rows >> U64(16) & U64(255)).astype(np.int64)
+            most = np.minimum(most, length)
+            at.append(start[owner] + size[owner] - length)
+        out, open_ = np.zeros(len(left), np.int64), np.flatnonzero(most > 0)
+        for done in range(0, cap, 8):
+            differ = words[at[0][open_] + done] ^ words[at[1][open_] + done]
+            same = differ == 0
+            low = (differ & (~differ + U64(1))).astype(np.float64)
+            equal = np.where(same, 8, (np.frexp(low)[1] - 1) >> 3)
+            out[open_] = np.minimum(done + equal, most[open_])
+            open_ = open_[same]
+            open_ = open_[most[open_] > done + 8]
+            if not len(open_):
                 break
-            differ = words[pa_[left] + at] ^ words[pb[left] + at]
-            low = differ & (~differ + U64(1))
-            equal = np.where(differ == 0, 8, (np.log2(low.astype(np.float64) + (differ == 0)) // 8).astype(np.int64))
-            out[left] = np.minimum(at + equal, most[left])
-            left = left[equal == 8]
         return out
 
     for j in range(1, int(size.max(initial=0)) + 1):
         keep = size[active] >= j
         active, place = active[keep], place[keep]
+        bwt = np.ascontiguousarray(stream.view(np.uint8)[0::8])
         symbol = bwt[place]
         # rank of each symbol among equal symbols before its place: counts of whole blocks, then within the block
         blocks = len(bwt) // step + 1
-        table = np.bincount(np.repeat(np.arange(0, blocks * 256, 256, dtype=np.int32), step)[: len(bwt)] + bwt, minlength=blocks * 256).reshape(blocks, 256)
-        before = np.cumsum(table, axis=0)
-        totals = before[-1].copy()
+        table = np.bincount(block_base[: len(bwt)] + bwt, minlength=blocks * kinds).reshape(blocks, kinds).astype(np.int32)
+        totals = table.sum(axis=0, dtype=np.int64)
         totals[0] = n  # the empty suffixes come first
-        smaller = np.cumsum(totals) - totals
+        before = np.zeros((blocks, kinds), np.int32)
+        np.cumsum(table[:-1], axis=0, out=before[1:])
         block = place // step
-        rank = np.where(block > 0, before[block - 1, symbol], 0)
+        rank = before[block, symbol].astype(np.int64)
         padded = np.concatenate([bwt, np.zeros(step, np.uint8)])
-        lanes = np.arange(step)
-        for lo in range(0, len(place), 1 << 15):
-            part = slice(lo, lo + (1 << 15))
-            inside = np.ndarray((blocks, step), np.uint8, padded)[block[part]]
-            rank[part] += ((inside == symbol[part, None]) & (lanes < (place[part] - block[part] * step)[:, None])).sum(axis=1)
-        place = smaller[symbol] + rank
+        lined = np.ndarray((blocks, step), np.uint8, padded)
+        for lo in range(0, len(place), 1 << 13):
+            part = slice(lo, lo + (1 << 13))
+            rank[part] += ((lined[block[part]] == symbol[part, None]) & (lanes < (place[part] % step)[:, None])).sum(axis=1)
+        place = (np.cumsum(totals) - totals)[symbol] + rank
         order = np.argsort(place)
         active, place = active[order], place[order]
-        fresh = np.zeros(len(bwt) + len(place), bool)
-        fresh[place] = True
-        old = ~fresh
-        at = start[active] + size[active] - j - 1
-        rows = (np.where(size[active] > j, buf[np.maximum(at, 0)] + np.uint8(1), 0).astype(np.uint8), active.astype(np.int32), np.full(len(active), j, np.uint8), np.zeros(len(active), np.uint8))
-        merged = []
-        for stream, new in zip((bwt, owner, length, prefix), rows, strict=True):
-            out = np.empty(len(fresh), stream.dtype)
-            out[old], out[place] = stream, new
-            merged.append(out)
-        bwt, owner, length, prefix = merged
-        here, after = place, place[place + 1 < len(bwt)] + 1
-        prefix[here] = common(owner[here - 1], length[here - 1].astype(np.int64), owner[here], length[here].astype(np.int64))
-        prefix[after] = common(owner[after - 1], length[after - 1].astype(np.int64), owner[after], length[after].astype(np.int64))
-    return owner, length, prefix
+        old = np.ones(len(stream) + len(place), bool)
+        old[place] = False
+        previous = np.where(size[active] > j, text[np.maximum(start[active] + size[active] - j - 1, 0)], 0)
+        merged = np.empty(len(old), np.uint64)
+        merged[old], merged[place] = stream, row(active, j, previous)
+        stream = merged
+        follows = place[np.concatenate([place[1:] != place[:-1] + 1, [place[-1] + 1 < len(stream)]])] + 1
+        changed = np.concatenate([place, follows])
+        stream.view(np.uint8)[1::8][changed] = common(stream[changed - 1], stream[changed])
+    return (stream >> U64(32)).astype(np.int64), (stream >> U64(16) & U64(255)).astype(np.int64), (stream >> U64(8) & U64(255)).astype(np.int64)
 
 
 def _shared(key: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
