@@ -36,7 +36,8 @@ from textloom.llm.components import components
 
 WIDTH = 5
 SMALL = 6
-BUCKET_BYTES = 4 << 20
+SKETCH = 1024
+BUCKET_BYTES = 16 << 20
 BROADCAST_IDS = 500_000
 U64 = np.uint64
 
@@ -134,11 +135,20 @@ def _digests(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return out[0], out[1]
 
 
+def _sketches(hashes: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """The parity of each set's elements in SKETCH bins: the bins in which two sketches differ bound their symmetric difference below."""
+    n = len(offsets) - 1
+    slot = np.repeat(np.arange(n), np.diff(offsets)) * SKETCH + (mix64(hashes + U64(0x2545F4914F6CDD1D)) % U64(SKETCH)).astype(np.int64)
+    odd = (np.bincount(slot, minlength=n * SKETCH) & 1).astype(np.uint8)
+    longs = np.packbits(odd, bitorder="little").view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * (SKETCH // 64), pa.int32()), pa.array(longs))
+
+
 def set_digests(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """(doc_id, n_shingles, d1, d2) of every row."""
+    """(doc_id, n_shingles, d1, d2, sketch) of every row."""
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
-        n, one, two = [], [], []
+        n, one, two, sketch = [], [], [], []
         texts = text_bytes(batch.column("text"))
         for a, b in slices(texts):
             hashes, offsets = shingle_sets(texts[a:b], WIDTH)
@@ -146,11 +156,12 @@ def set_digests(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
             n.append(np.diff(offsets))
             one.append(d1.view(np.int64))
             two.append(d2.view(np.int64))
+            sketch.append(_sketches(hashes, offsets))
         cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
-        return [cat(n), cat(one), cat(two)]
+        return [cat(n), cat(one), cat(two), pa.concat_arrays(sketch) if sketch else pa.array([], pa.list_(pa.int64()))]
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return with_arrow_columns(rows, make, {"n_shingles": "long", "d1": "long", "d2": "long"}, drop=("text",))
+    return with_arrow_columns(rows, make, {"n_shingles": "long", "d1": "long", "d2": "long", "sketch": "array<long>"}, drop=("text",))
 
 
 def _blocks(docs: DataFrame, text_col: str, id_col: str, n_buckets: int) -> DataFrame:
@@ -180,29 +191,34 @@ def _blocks(docs: DataFrame, text_col: str, id_col: str, n_buckets: int) -> Data
                 for lo, hi in zip(first, [*first[1:], len(own)], strict=True):
                     here, runs = np.unique(own[lo:hi], return_counts=True)
                     head = np.array([len(here)], np.int64).tobytes()
-                    blocks.append(head + ids[a:b][fresh[here]].astype(np.int64).tobytes() + d1[fresh[here]].tobytes() + runs.astype(np.int32).tobytes() + sign[lo:hi].tobytes())
+                    blocks.append(head + ids[a:b][fresh[here]].astype(np.int64).tobytes() + runs.astype(np.int32).tobytes() + sign[lo:hi].tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int64)), pa.array(blocks, pa.binary())], ["bucket", "block"])
 
     return docs.select(id_col, text_col).mapInArrow(run, "bucket long, block binary")
 
 
-def _unpack(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _unpack(block: bytes) -> tuple[np.ndarray, np.ndarray]:
     n = int(np.frombuffer(block, np.int64, 1)[0])
     ids = np.frombuffer(block, np.int64, n, 8)
-    digest = np.frombuffer(block, np.uint64, n, 8 + 8 * n)
-    runs = np.frombuffer(block, np.int32, n, 8 + 16 * n)
-    sign = np.frombuffer(block, np.uint32, -1, 8 + 20 * n)
-    return np.repeat(ids, runs), np.repeat(digest, runs), sign
+    runs = np.frombuffer(block, np.int32, n, 8 + 8 * n)
+    return np.repeat(ids, runs), np.frombuffer(block, np.uint32, -1, 8 + 12 * n)
 
 
 def _meet(table: pa.Table) -> pa.Table:
     """Pairs (a, b) and members of large groups (a, null) with their group, of one bucket."""
     parts = [_unpack(x) for x in table.column("block").to_pylist()]
-    ids, digest, sign = (np.concatenate([p[i] for p in parts]) for i in range(3))
-    order = np.lexsort((ids, digest, sign))
-    ids, digest, sign = ids[order], digest[order], sign[order]
+    ids, sign = (np.concatenate([p[i] for p in parts]) for i in range(2))
+    order = np.argsort(sign, kind="stable")
+    ids, sign = ids[order], sign[order]
+    # most signatures are alone: drop them before the exact order
+    many = np.zeros(len(sign), bool)
+    many[1:] = sign[1:] == sign[:-1]
+    many[:-1] |= many[1:]
+    ids, sign = ids[many], sign[many]
+    order = np.lexsort((ids, sign))
+    ids, sign = ids[order], sign[order]
     keep = np.ones(len(ids), bool)
-    keep[1:] = (sign[1:] != sign[:-1]) | (digest[1:] != digest[:-1])  # one of each class of equal sets
+    keep[1:] = (sign[1:] != sign[:-1]) | (ids[1:] != ids[:-1])
     ids, sign = ids[keep], sign[keep]
     first = np.flatnonzero(np.concatenate([[True], sign[1:] != sign[:-1]])) if len(sign) else np.zeros(0, np.int64)
     size = np.diff(np.concatenate([first, [len(ids)]]))
@@ -236,12 +252,22 @@ def _meet(table: pa.Table) -> pa.Table:
     })
 
 
+#: Of two sets x and y: sizes and parity sketches allow a similarity of 0.8 (the difference is at most a ninth of the sizes' sum).
+MAY_LINK = """5 * least(x.n_shingles, y.n_shingles) >= 4 * greatest(x.n_shingles, y.n_shingles)
+  and 9 * aggregate(zip_with(x.sketch, y.sketch, (a, b) -> bit_count(a ^ b)), 0, (a, b) -> a + b) <= x.n_shingles + y.n_shingles"""
+
+
 def _representatives(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """pairs (a, b) with each document replaced by the smallest of its class of equal sets; distinct, sizes similar."""
-    one = classes.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra"), F.col("n_shingles").alias("na"))
-    two = classes.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb"), F.col("n_shingles").alias("nb"))
-    found = pairs.join(one, "a").join(two, "b").filter("ra <> rb and 5 * least(na, nb) >= 4 * greatest(na, nb)")
-    return found.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
+    """pairs (a, b) with each document replaced by the smallest of its class of equal sets; distinct, and possible by size and sketch."""
+    named = pairs.join(classes.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra")), "a").join(classes.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb")), "b")
+    found = named.filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
+    return _possible(found, classes)
+
+
+def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    one = classes.select(F.col("doc_id").alias("a"), F.struct("n_shingles", "sketch").alias("x"))
+    two = classes.select(F.col("doc_id").alias("b"), F.struct("n_shingles", "sketch").alias("y"))
+    return pairs.join(one, "a").join(two, "b").filter(MAY_LINK).select("a", "b")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
@@ -281,7 +307,7 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     """(doc_id, n_shingles, component_id) for each row of docs."""
     sets = materialize(set_digests(docs, text_col, id_col), "set-digests")
     reps = sets.filter("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-    classes = materialize(sets.join(reps, ["d1", "d2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep")), "classes")
+    classes = materialize(sets.join(reps, ["d1", "d2"], "left").select("doc_id", "n_shingles", "sketch", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep")), "classes")
     known = classes.dropDuplicates(["doc_id"])
     n_buckets = max(16, total_bytes(docs, text_col)[1] // BUCKET_BYTES)
     met = materialize(_blocks(docs, text_col, id_col, n_buckets).groupBy("bucket").applyInArrow(_meet, "a long, b long, hot long"), "met")
@@ -290,13 +316,13 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     labels = components(links)
 
     # members of large groups that the first round left in different components
-    hot = met.filter("hot is not null").select("hot", F.col("a").alias("doc_id")).join(known, "doc_id").select("hot", F.col("rep").alias("id"), "n_shingles")
-    hot = hot.join(labels, "id", "left").select("hot", "id", "n_shingles", F.coalesce("component_id", "id").alias("label"))
+    hot = met.filter("hot is not null").select("hot", F.col("a").alias("doc_id")).join(known, "doc_id").select("hot", F.col("rep").alias("id"), "n_shingles", "sketch")
+    hot = hot.join(labels, "id", "left").select("hot", "id", "n_shingles", "sketch", F.coalesce("component_id", "id").alias("label"))
     mixed = hot.groupBy("hot").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("hot")
-    open_ = materialize(hot.join(mixed, "hot").distinct(), "open")
+    open_ = materialize(hot.join(mixed, "hot").dropDuplicates(["hot", "id"]), "open")
     if open_.limit(1).count():
         x, y = open_.alias("x"), open_.alias("y")
-        near = "x.hot = y.hot and x.id < y.id and x.label <> y.label and 5 * least(x.n_shingles, y.n_shingles) >= 4 * greatest(x.n_shingles, y.n_shingles)"
+        near = f"x.hot = y.hot and x.id < y.id and x.label <> y.label and {MAY_LINK}"
         late = x.join(y, F.expr(near)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
         late = materialize(late.join(pairs, ["a", "b"], "left_anti"), "late-pairs")
         more = materialize(verify(late, docs, text_col, id_col), "late-links")
