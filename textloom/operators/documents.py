@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from textloom.functions import text as X
@@ -135,7 +136,7 @@ def strip_code(text: str, language: str, aggressive: bool = False) -> str:
 def code_filter(docs: DataFrame, language: Column, aggressive: bool = False) -> DataFrame:
     """docs with code, the text filtered for its language."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def run(texts: pd.Series, languages: pd.Series) -> pd.Series:
         return pd.Series([strip_code(t or "", lang, aggressive) for t, lang in zip(texts, languages, strict=True)])
 
@@ -180,7 +181,7 @@ def crush(value, depth: int = 0):
     return [crush(value[i], depth + 1) for i in chosen]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def crush_json(texts: pd.Series) -> pd.Series:
     def one(t: str | None) -> str | None:
         try:
@@ -203,7 +204,7 @@ def json_schema(value, depth: int = 0, most: int = 5) -> str:
     return "null" if value is None else "bool" if isinstance(value, bool) else "int" if isinstance(value, int) else "float"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def json_schema_view(texts: pd.Series) -> pd.Series:
     def one(t: str | None) -> str | None:
         try:

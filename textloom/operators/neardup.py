@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 # Fixed values of FNV-1a with 64 bits.
 FNV_BASIS, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
@@ -36,7 +37,7 @@ def simhash(text: str | None) -> int:
     return int(np.packbits(votes, bitorder="little").view(np.int64)[0])
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def simhash_udf(texts: pd.Series) -> pd.Series:
     return texts.map(simhash).astype("int64")
 

@@ -98,9 +98,9 @@ def stack_traces(lines: DataFrame) -> DataFrame:
 
 def bigram_coverage(lines: DataFrame) -> DataFrame:
     """The share of a document's distinct word pairs that its first lines hold: doc_id, line_no, coverage."""
-    ws = F.filter(F.split(F.lower("line"), r"\s+"), lambda x: x != "")
-    pairs = F.when(F.size(ws) > 1, F.transform(F.sequence(F.lit(0), F.size(ws) - 2), lambda i: F.concat(F.get(ws, i), F.lit(" "), F.get(ws, i + 1)))).otherwise(F.array().cast("array<string>"))
-    first = lines.select("doc_id", "line_no", F.explode(pairs).alias("pair")).groupBy("doc_id", "pair").agg(F.min("line_no").alias("line_no"))
+    words = lines.select("doc_id", "line_no", F.filter(F.split(F.lower("line"), r"\s+"), lambda x: x != "").alias("ws"))
+    pairs = F.zip_with(F.slice("ws", 1, F.greatest(F.size("ws") - 1, F.lit(0))), F.slice("ws", 2, F.greatest(F.size("ws") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+    first = words.select("doc_id", "line_no", F.explode(pairs).alias("pair")).groupBy("doc_id", "pair").agg(F.min("line_no").alias("line_no"))
     per_line = first.groupBy("doc_id", "line_no").agg(F.count(F.lit(1)).alias("fresh"))
     every = lines.select("doc_id", "line_no").join(per_line, ["doc_id", "line_no"], "left")
     total = F.sum(F.coalesce("fresh", F.lit(0))).over(by_doc())
