@@ -4,8 +4,9 @@ Sets of five-word shingles with Jaccard similarity of at least 0.8 have similar
 each set takes part in the instances of its own band and the next. Within an instance the symmetric difference of a
 similar pair has at most k = 2 * largest size / 9 elements. The shingle domain is hashed into partitions:
 
-* k >= 4: into n > k partitions; a similar pair agrees on n - k of them at least, so each non-empty partition is a
-  signature. Empty partitions say little, and are needed only by a set with n - k of them or more.
+* k >= 4: into n > k / 2 partitions of three parts each; at least n - k / 2 partitions of a similar pair differ in one
+  element at most, so two of their parts agree: each two parts of a partition are a signature. Signatures without any
+  element say little, and are needed only by a set that has them in n - k / 2 partitions or more.
 * k <= 3: into k + 3 partitions; a similar pair agrees on three of them at least, so every subset of three is a signature.
 * k = 0: similar sets are equal and meet as copies below.
 
@@ -58,7 +59,7 @@ def _shape(instance: int) -> tuple[int, int]:
     """(k, partitions) of an instance, which joins the bands instance - 1 and instance."""
     largest = int(LOW[instance]) * 5 // 4
     k = 2 * largest // 9
-    return k, (k + 3 if k <= 3 else -(-(k + 1) * 11 // 10) + 1)
+    return k, (k + 3 if k <= 3 else -(-(k // 2 + 1) * 5 // 4) + 1)
 
 
 def _one_instance(hashes: np.ndarray, offsets: np.ndarray, instance: int, seed: int):
@@ -70,21 +71,23 @@ def _one_instance(hashes: np.ndarray, offsets: np.ndarray, instance: int, seed:
         return none, none
     owner = np.repeat(np.arange(len(sizes)), sizes)
     salt = mix64(np.array([seed * 1_000_003 + instance + 1], np.uint64))[0]
-    part = ((mix64(hashes ^ salt) >> U64(32)) * U64(n) >> U64(32)).astype(np.int64)
-    slot = owner * n + part
-    content = np.zeros(len(sizes) * n, np.uint64)
+    slots = n if k <= 3 else 3 * n
+    slot = owner * slots + ((mix64(hashes ^ salt) >> U64(32)) * U64(slots) >> U64(32)).astype(np.int64)
+    content = np.zeros(len(sizes) * slots, np.uint64)
     np.add.at(content, slot, mix64(hashes + salt))
-    filled = np.bincount(slot, minlength=len(content)) > 0
-    content, filled = content.reshape(-1, n), filled.reshape(-1, n)
+    filled = (np.bincount(slot, minlength=len(content)) > 0).reshape(-1, slots)
+    content = content.reshape(-1, slots)
     if k <= 3:
         subsets = list(combinations(range(n), n - k))
         signs = np.stack([mix64(content[:, s].sum(axis=1, dtype=np.uint64) ^ mix64(np.array([i * 8191 + 5], np.uint64) + salt)) for i, s in enumerate(subsets)], axis=1)
         some = np.stack([filled[:, s].any(axis=1) for s in subsets], axis=1)
         needed = ~some
     else:
-        signs = mix64(content ^ mix64(np.arange(n, dtype=np.uint64) * U64(8191) + salt))
-        some = filled
-        needed = ~some & ((~some).sum(axis=1) >= n - k)[:, None]
+        pair = lambda x: np.stack([x[:, i::3] + x[:, j::3] for i, j in ((0, 1), (0, 2), (1, 2))], axis=2).reshape(len(sizes), slots)
+        signs = mix64(pair(content) ^ mix64(np.arange(slots, dtype=np.uint64) * U64(8191) + salt))
+        some = pair(filled)
+        poor = (~some).reshape(len(sizes), n, 3).any(axis=2).sum(axis=1)
+        needed = ~some & (poor >= n - k // 2)[:, None]
     a, b = np.nonzero(some), np.nonzero(needed)
     return (a[0], signs[a]), (b[0], signs[b])
 
@@ -316,10 +319,12 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     labels = components(links)
 
     # members of large groups that the first round left in different components
-    hot = met.filter("hot is not null").select("hot", F.col("a").alias("doc_id")).join(known, "doc_id").select("hot", F.col("rep").alias("id"), "n_shingles", "sketch")
-    hot = hot.join(labels, "id", "left").select("hot", "id", "n_shingles", "sketch", F.coalesce("component_id", "id").alias("label"))
+    reps = known.select("doc_id", "rep")
+    hot = met.filter("hot is not null").select("hot", F.col("a").alias("doc_id")).join(reps, "doc_id").select("hot", F.col("rep").alias("id"))
+    hot = materialize(hot.join(labels, "id", "left").select("hot", "id", F.coalesce("component_id", "id").alias("label")), "hot")
     mixed = hot.groupBy("hot").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("hot")
-    open_ = materialize(hot.join(mixed, "hot").dropDuplicates(["hot", "id"]), "open")
+    open_ = hot.join(mixed, "hot").distinct().join(known.select(F.col("doc_id").alias("id"), "n_shingles", "sketch"), "id")
+    open_ = materialize(open_, "open")
     if open_.limit(1).count():
         x, y = open_.alias("x"), open_.alias("y")
         near = f"x.hot = y.hot and x.id < y.id and x.label <> y.label and {MAY_LINK}"
