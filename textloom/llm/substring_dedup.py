@@ -1,17 +1,21 @@
 """Operator 3: exact substring dedup on a suffix array built column by column over many short strings.
 
 A byte goes if it lies in a WINDOW-byte string that also starts in a document with a smaller id. Only windows matter, so
-the collection is cut into strings that each hold a run of consecutive windows: windows whose smallest K-gram hash (the
+documents are cut into strings that each hold a run of consecutive windows: windows whose smallest K-gram hash (the
 minimizer) is the same. Equal windows have equal minimizers, so hashing the minimizer deals all occurrences of a window
-to one bucket, and buckets are sorted independently. Within an Arrow batch a string that occurs often is sent once, with
-the smallest of its documents; the other documents lose it at once. Strings travel as compressed blocks.
+to one bucket, and buckets are sorted independently.
 
-In a bucket, strings whose minimizer and ARM bytes to its left or right no other document shares can't hold a shared
-window and are left out. For the rest the Burrows-Wheeler transform and common-prefix lengths are built column-wise:
-every round inserts one symbol for each string, from its end to its start; the place of each new suffix follows from its
-predecessor's rank, and the transform, prefixes and suffix owners are rewritten front to back with the new rows merged
-in. At the end, neighbours with common prefixes of WINDOW or more are equal windows, and the smallest document of each
-group decides. The streams of a bucket are arrays: a bucket is sized to fit its task.
+Candidates first: a shared window holds its minimizer and ARM bytes to the left or to the right of it. 32-bit hashes of
+these arms are counted per bucket of hashes, and each group of documents (by a hash of the id) learns which of its arms
+occur in more than one document. Only strings with such an arm travel on, as compressed blocks; within a slice of
+documents a string that occurs often is sent once, with the smallest of its documents, and the others lose it at once.
+
+In a bucket the Burrows-Wheeler transform and common-prefix lengths of all strings are built column-wise: every round
+inserts one symbol for each string, from its end to its start; the place of each new suffix follows from its
+predecessor's rank, and the stream of rows is rewritten front to back with the new rows merged in. At the end, neighbours
+with common prefixes of WINDOW or more are equal windows, and the smallest document of each group decides. A string that
+is the only one with its minimizer has nothing to be sorted among. The streams of a bucket are arrays: a bucket is sized
+to fit its task. Cuts return to the group of their document.
 
 Defined results: null text is empty; texts shorter than WINDOW bytes keep all; a document's own repeats don't count, nor
 does a row of the same id; rows without an id take no part and keep all; cuts may split a character (kept bytes are then
@@ -54,7 +58,7 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def window_runs(texts: list[bytes]):
-    """Strings of windows of the texts: buffer, start, length, text, offset in the text, minimizer hash, its place (255: not unique)."""
+    """Strings of windows of the texts: buffer, start, length, text, offset in the text, minimizer hash, its place (255: not unique), (string, place) of the others."""
     buf, offsets = joined(texts)
     sizes = np.diff(offsets) - 1
     n_windows = np.maximum(sizes - WINDOW + 1, 0)
@@ -87,7 +91,15 @@ def window_runs(texts: list[bytes]):
         hit = grams[z - o] == mark
         right[hit] = (z - o - a)[hit]
     text = np.searchsorted(offsets, a, side="right") - 1
-    return buf, a, size, text, a - offsets[text], mark, np.where(left == right, left, 255)
+    # a minimizer that occurs again in its string: all its places
+    unsure = np.flatnonzero(left != right)
+    strings, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for o in range(int(size[unsure].max(initial=K)) - K + 1):
+        fits = unsure[size[unsure] - K >= o]
+        hit = fits[grams[a[fits] + o] == mark[fits]]
+        strings.append(hit)
+        places.append(np.full(len(hit), o))
+    return buf, a, size, text, a - offsets[text], mark, np.where(left == right, left, 255), (np.concatenate(strings), np.concatenate(places))
 
 
 def _spans_of(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -155,60 +167,138 @@ def _cut_rows(ids: np.ndarray, keys: np.ndarray, lo: np.ndarray, hi: np.ndarray,
     return names.tolist(), [_pack_cuts(ids[a:b], keys[a:b], lo[a:b], hi[a:b]) for a, b in zip(first, ends, strict=True)]
 
 
-def _deal(docs: DataFrame, text_col: str, id_col: str, n_buckets: int, n_groups: int) -> DataFrame:
-    """(bucket, strings, grp, cuts): blocks of strings for their bucket, and cuts that a batch can tell by itself."""
+def _arms(buf: np.ndarray, start: np.ndarray, size: np.ndarray, place: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (bucket << 32 | hash) of the bytes right and left of each string's minimizer with it; 0 where there are too few."""
+    out = []
+    for begin, fits in ((place, size - place >= K + ARM), (place - ARM, place >= ARM)):
+        has = np.flatnonzero(fits & (place < 255))
+        h = _hash_spans(buf, start[has] + begin[has], np.full(len(has), K + ARM))
+        keys = np.zeros(len(start), np.uint64)
+        keys[has] = ((h >> U64(40)) % U64(n_buckets)) << U64(32) | (h & U64(0xFFFFFFFF)) | U64(1)
+        out.append(keys)
+    return out[0], out[1]
+
+
+def _mark(docs: DataFrame, text_col: str, id_col: str, n_buckets: int, n_groups: int) -> DataFrame:
+    """(bucket, arms): arms of the strings of a slice of documents by group; twice where a group has them in several documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(batch.column(0).is_valid())
             all_ids, all_texts = batch.column(0).to_numpy(zero_copy_only=False), text_bytes(batch.column(1))
             for i, j in slices(all_texts):
-                ids, texts = all_ids[i:j].astype(np.int64), all_texts[i:j]
-                made = window_runs(texts)
+                ids = all_ids[i:j].astype(np.int64)
+                made = window_runs(all_texts[i:j])
                 if made is None:
                     continue
-                buf, start, size, text, at, mark, place = made
-                keys = np.fromiter((text_key(t) for t in texts), np.uint64, len(texts))
-                same = _hash_spans(buf, start, size)
-                order = np.lexsort((at, ids[text], same))
-                head = np.ones(len(order), bool)
-                head[1:] = same[order][1:] != same[order][:-1]
-                lowest = ids[text[order]][head][np.cumsum(head) - 1]
-                later = ids[text[order]] > lowest
-                gone, kept = order[later], order[~later]
-                groups, cuts = _cut_rows(ids[text[gone]], keys[text[gone]], at[gone], at[gone] + size[gone], n_groups)
-                head = head[~later]
-                bucket = ((mark >> U64(32)) % U64(n_buckets)).astype(np.int64)
-                string = np.cumsum(head) - 1  # kept occurrences are grouped by string
-                one = kept[head]
-                by_bucket = np.lexsort((mark[one], bucket[one]))
-                counts = np.bincount(string)
-                firsts = np.cumsum(counts) - counts
-                names, cut = np.unique(bucket[one][by_bucket], return_index=True)
+                buf, start, size, text, _, _, place, (again, places) = made
+                rows, place = np.concatenate([np.arange(len(start)), again]), np.concatenate([place, places])
+                right, left = _arms(buf, start[rows], size[rows], place, n_buckets)
+                keys, doc = np.concatenate([right, left]), ids[text[np.concatenate([rows, rows])]]
+                keys, doc = keys[keys > 0], doc[keys > 0]
+                group = _group_of(doc, n_groups)
+                order = np.lexsort((doc, keys & U64(0xFFFFFFFF), group, keys >> U64(32)))
+                keys, doc, group = keys[order], doc[order], group[order]
+                nth = np.ones(len(keys), np.int64)  # how many documents of the group hold the arm up to here
+                same = (keys[1:] == keys[:-1]) & (group[1:] == group[:-1])
+                fresh = np.concatenate([[True], ~same])
+                other = np.concatenate([[False], same & (doc[1:] != doc[:-1])])
+                first = np.flatnonzero(fresh)
+                nth = np.cumsum(other) - np.repeat(np.cumsum(other)[first], np.diff(np.concatenate([first, [len(keys)]])))
+                keep = fresh | (other & (nth == 1))
+                keys, group = keys[keep], group[keep]
+                names, cut = np.unique(keys >> U64(32), return_index=True)
                 blocks = []
-                for lo, hi in zip(cut, [*cut[1:], len(by_bucket)], strict=True):
-                    mine = by_bucket[lo:hi]
-                    s = one[mine]
-                    occ = kept[_spans_of(firsts[mine], counts[mine])]
-                    docs_here, doc = np.unique(text[occ], return_inverse=True)
-                    raw = np.array([len(s), len(occ), len(docs_here)], np.int64).tobytes() + ids[docs_here].tobytes() + keys[docs_here].tobytes()
-                    raw += np.diff(mark[s].astype(np.uint32), prepend=np.uint32(0)).tobytes() + size[s].astype(np.uint8).tobytes() + place[s].astype(np.uint8).tobytes() + counts[mine].astype(np.int32).tobytes()
-                    raw += doc.astype(np.int32).tobytes() + at[occ].astype(np.int32).tobytes() + buf[_spans_of(start[s], size[s])].tobytes()
-                    blocks.append(_zip(raw))
-                n, m = len(names), len(groups)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([*names.tolist(), *(g % n_buckets for g in groups)], pa.int64()), pa.array(blocks + [None] * m, pa.binary()), pa.array([None] * n + groups, pa.int64()), pa.array([None] * n + cuts, pa.binary())],
-                    ["bucket", "strings", "grp", "cuts"],
-                )
-
-    return docs.select(id_col, text_col).mapInArrow(run, "bucket long, strings binary, grp long, cuts binary")
+                for lo, hi in zip(cut, [*cut[1:], len(keys)], strict=True):
+                    g, runs = np.unique(group[lo:hi], return_counts=True)
+                    blocks.append(np.array([len(g)], np.int64).tobytes() + g.astype(np.int32).tobytes() + runs.astype(np.int32).tobytes() + keys[lo:hi].astype(np.uint32).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int64)), pa.array(blocks, pa.binary())], ["bucket", "arms"])
+
+    return docs.select(id_col, text_col).mapInArrow(run, "bucket long, arms binary")
+
+
+def _repeated(table: pa.Table) -> pa.Table:
+    """(grp, shared): the arms of one bucket that occur more than once, for each group that has them."""
+    groups, arms = [], []
+    for block in table.column("arms").to_pylist():
+        n = int(np.frombuffer(block, np.int64, 1)[0])
+        groups.append(np.repeat(np.frombuffer(block, np.int32, n, 8), np.frombuffer(block, np.int32, n, 8 + 4 * n)))
+        arms.append(np.frombuffer(block, np.uint32, -1, 8 + 8 * n))
+    group, arm = np.concatenate(groups), np.concatenate(arms)
+    order = np.argsort(arm, kind="stable")
+    group, arm = group[order], arm[order]
+    many = np.zeros(len(arm), bool)
+    many[1:] = arm[1:] == arm[:-1]
+    many[:-1] |= many[1:]
+    pairs = np.unique(group[many].astype(np.int64) << 32 | arm[many])
+    names, cut = np.unique(pairs >> 32, return_index=True)
+    bucket = np.array([table.column("bucket")[0].as_py()], np.int64).tobytes()
+    blocks = [_zip(bucket + (pairs[lo:hi] & 0xFFFFFFFF).astype(np.uint32).tobytes()) for lo, hi in zip(cut, [*cut[1:], len(pairs)], strict=True)] if len(pairs) else []
+    return pa.table({"grp": pa.array(names.tolist(), pa.int64()), "shared": pa.array(blocks, pa.binary())})
+
+
+def _deal(texts: pa.Table, shared: pa.Table, n_buckets: int, n_groups: int) -> pa.Table:
+    """(bucket, strings, grp, cuts) of a group of documents: strings for their bucket, and cuts that a slice can tell by itself."""
+    known = [np.zeros(0, np.uint64)]
+    for block in shared.column("shared").to_pylist():
+        raw = _unzip(block)
+        known.append(np.frombuffer(raw, np.uint32, -1, 8).astype(np.uint64) | U64(int(np.frombuffer(raw, np.int64, 1)[0]) << 32))
+    known = np.sort(np.concatenate(known))
+    out: dict[str, list] = {"bucket": [], "strings": [], "grp": [], "cuts": []}
+    rows = [(i, t) for block in texts.column("texts").to_pylist() for row in pa.ipc.open_stream(_unzip(block)) for i, t in zip(row.column(0).to_pylist(), row.column(1).to_pylist(), strict=True) if i is not None]
+    for i, j in slices([t for _, t in rows]):
+        ids, slice_texts = np.array([r[0] for r in rows[i:j]], np.int64), [r[1] for r in rows[i:j]]
+        made = window_runs(slice_texts)
+        if made is None:
+            continue
+        buf, start, size, text, at, mark, place, _ = made
+        keep = place == 255
+        for arm in _arms(buf, start, size, place, n_buckets):
+            slot = np.searchsorted(known, arm)
+            keep |= (arm > 0) & (known[np.minimum(slot, len(known) - 1)] == arm if len(known) else False)
+        if not keep.any():
+            continue
+        start, size, text, at, mark = (x[keep] for x in (start, size, text, at, mark))
+        keys = np.fromiter((text_key(t) for t in slice_texts), np.uint64, len(slice_texts))
+        same = _hash_spans(buf, start, size)
+        order = np.lexsort((at, ids[text], same))
+        head = np.ones(len(order), bool)
+        head[1:] = same[order][1:] != same[order][:-1]
+        lowest = ids[text[order]][head][np.cumsum(head) - 1]
+        later = ids[text[order]] > lowest
+        gone, kept = order[later], order[~later]
+        groups, cuts = _cut_rows(ids[text[gone]], keys[text[gone]], at[gone], at[gone] + size[gone], n_groups)
+        out["bucket"] += [g % n_buckets for g in groups]
+        out["strings"] += [None] * len(groups)
+        out["grp"] += groups
+        out["cuts"] += cuts
+        head = head[~later]
+        bucket = ((mark >> U64(32)) % U64(n_buckets)).astype(np.int64)
+        one, counts = kept[head], np.bincount(np.cumsum(head) - 1)  # occurrences of a string lie together
+        firsts = np.cumsum(counts) - counts
+        by_bucket = np.lexsort((mark[one], bucket[one]))
+        names, cut = np.unique(bucket[one][by_bucket], return_index=True)
+        for name, lo, hi in zip(names.tolist(), cut, [*cut[1:], len(by_bucket)], strict=True):
+            mine = by_bucket[lo:hi]
+            s = one[mine]
+            occ = kept[_spans_of(firsts[mine], counts[mine])]
+            docs_here, doc = np.unique(text[occ], return_inverse=True)
+            raw = np.array([len(s), len(occ), len(docs_here)], np.int64).tobytes() + ids[docs_here].tobytes() + keys[docs_here].tobytes()
+            raw += np.diff(mark[s].astype(np.uint32), prepend=np.uint32(0)).tobytes() + size[s].astype(np.uint8).tobytes() + counts[mine].astype(np.int32).tobytes()
+            raw += doc.astype(np.int32).tobytes() + at[occ].astype(np.int32).tobytes() + buf[_spans_of(start[s], size[s])].tobytes()
+            out["bucket"].append(name)
+            out["strings"].append(_zip(raw))
+            out["grp"].append(None)
+            out["cuts"].append(None)
+    kinds = {"bucket": pa.int64(), "strings": pa.binary(), "grp": pa.int64(), "cuts": pa.binary()}
+    return pa.table({k: pa.array(v, kinds[k]) for k, v in out.items()})
 
 
 def _read_block(block: bytes) -> dict[str, np.ndarray]:
     raw = _unzip(block)
     n, m, d = np.frombuffer(raw, np.int64, 3).tolist()
     at, out = 24, {}
-    for name, kind, count in (("ids", np.int64, d), ("keys", np.uint64, d), ("mark", np.uint32, n), ("size", np.uint8, n), ("place", np.uint8, n), ("count", np.int32, n), ("doc", np.int32, m), ("at", np.int32, m)):
+    for name, kind, count in (("ids", np.int64, d), ("keys", np.uint64, d), ("mark", np.uint32, n), ("size", np.uint8, n), ("count", np.int32, n), ("doc", np.int32, m), ("at", np.int32, m)):
         out[name] = np.frombuffer(raw, kind, count, at)
         at += out[name].nbytes
     out["bytes"] = np.frombuffer(raw, np.uint8, -1, at)
@@ -305,7 +395,7 @@ def _solve(table: pa.Table, n_groups: int) -> pa.Table:
     parts = [_read_block(b) for b in table.column("strings").to_pylist() if b is not None]
     if parts:
         sizes = np.concatenate([p["size"] for p in parts]).astype(np.int64)
-        mark, place = (np.concatenate([p[k] for p in parts]) for k in ("mark", "place"))
+        mark = np.concatenate([p["mark"] for p in parts])
         text = np.concatenate([p["bytes"] for p in parts])
         start = np.cumsum(sizes) - sizes
         count = np.concatenate([p["count"] for p in parts]).astype(np.int64)
@@ -314,34 +404,26 @@ def _solve(table: pa.Table, n_groups: int) -> pa.Table:
         first = np.cumsum(count) - count
         doc = ids[first]  # all occurrences of a string that a block holds are of one document
         live = np.flatnonzero(_shared(mark, doc, doc))
-        alone = live[place[live] < 255]
-        p = place[alone].astype(np.int64)
-        keep = place[live] == 255
-        for begin, fits in ((p, sizes[alone] - p >= K + ARM), (p - ARM, p >= ARM)):
-            has = alone[fits]
-            arm = _hash_spans(text, start[has] + begin[fits], np.full(len(has), K + ARM))
-            keep |= np.isin(live, has[_shared(arm, doc[has], doc[has])], assume_unique=True)
-        live = live[keep]
-        # ambiguous minimizers are compared with all strings of the same minimizer
-        live = np.union1d(live, np.flatnonzero(np.isin(mark, np.unique(mark[live[place[live] == 255]]))))
     if parts and len(live):
         same = _hash_spans(text, start[live], sizes[live])
         _, one, string = np.unique(same, return_index=True, return_inverse=True)
         least = np.full(len(one), np.iinfo(np.int64).max)
         np.minimum.at(least, string, doc[live])
-        size = sizes[live[one]]
-        body = text[_spans_of(start[live[one]], size)]
-        begin = np.cumsum(size) - size
-        owner, length, prefix = column_sort(body, begin, size)
-        group = np.cumsum(prefix < WINDOW)
-        full = np.flatnonzero(length >= WINDOW)
-        _, group = np.unique(group[full], return_inverse=True)
-        lowest = np.full(group.max(initial=-1) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(lowest, group, least[owner[full]])
+        size, origin = sizes[live[one]], start[live[one]]
         n_windows = size - WINDOW + 1
         slot = np.cumsum(n_windows) - n_windows
-        winner = np.empty(int(n_windows.sum()), np.int64)
-        winner[slot[owner[full]] + size[owner[full]] - length[full]] = lowest[group]
+        winner = np.repeat(least, n_windows)
+        _, kin, many = np.unique(mark[live[one]], return_inverse=True, return_counts=True)
+        sort = np.flatnonzero(many[kin] > 1)
+        if len(sort):
+            body = text[_spans_of(origin[sort], size[sort])]
+            owner, length, prefix = column_sort(body, np.cumsum(size[sort]) - size[sort], size[sort])
+            full = np.flatnonzero(length >= WINDOW)
+            _, group = np.unique(np.cumsum(prefix < WINDOW)[full], return_inverse=True)
+            owner, length = sort[owner[full]], length[full]
+            lowest = np.full(group.max(initial=-1) + 1, np.iinfo(np.int64).max)
+            np.minimum.at(lowest, group, least[owner])
+            winner[slot[owner] + size[owner] - length] = lowest[group]
         # windows of each occurrence, removed where a smaller document has them
         occ = _spans_of(first[live], count[live])
         s = np.repeat(string, count[live])
@@ -403,8 +485,10 @@ def dedup_substrings(docs: DataFrame, text_col: str = "text", id_col: str = "doc
     """(doc_id, n_bytes, n_removed, n_spans, spans, kept) for each row: spans are [start, end) byte ranges, kept is binary."""
     size = total_bytes(docs, text_col)[1]
     n_buckets, n_groups = max(16, size // BUCKET_BYTES), max(8, size // GROUP_BYTES)
-    solved = _deal(docs, text_col, id_col, n_buckets, n_groups).groupBy("bucket").applyInArrow(lambda t: _solve(t, n_groups), "grp long, cuts binary")
     texts = _text_blocks(docs, text_col, id_col, n_groups)
+    shared = _mark(docs, text_col, id_col, n_buckets, n_groups).groupBy("bucket").applyInArrow(_repeated, "grp long, shared binary")
+    dealt = texts.groupBy("grp").cogroup(shared.groupBy("grp")).applyInArrow(lambda t, k: _deal(t, k, n_buckets, n_groups), "bucket long, strings binary, grp long, cuts binary")
+    solved = dealt.groupBy("bucket").applyInArrow(lambda t: _solve(t, n_groups), "grp long, cuts binary")
 
     def finish(texts: pa.Table, cuts: pa.Table) -> pa.Table:
         rows = list(_cut(texts, cuts))
