@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from textloom.plans import history, records, sessions, texts
+from textloom.plans import history, records, sessions, texts, tooling
 
-PARTS = (history, texts, sessions, records)
+PARTS = (history, texts, sessions, records, tooling)
 QUERIES = {k: f for part in PARTS for k, f in part.QUERIES.items()}
 ORACLES = {k: q for part in PARTS for k, q in part.ORACLES.items()}
