@@ -14,7 +14,7 @@ In a bucket the Burrows-Wheeler transform and common-prefix lengths of all strin
 inserts one symbol for each string, from its end to its start; the place of each new suffix follows from its
 predecessor's rank, and the stream of rows is rewritten front to back with the new rows merged in. At the end, neighbours
 with common prefixes of WINDOW or more are equal windows, and the smallest document of each group decides. A string that
-is the only one with its minimizer has nothing to be sorted among. The streams of a bucket are arrays: a bucket is sized
+has no arm in common with a different one has nothing to be sorted among. The streams of a bucket are arrays: a bucket is sized
 to fit its task. Cuts return to the group of their document.
 
 Defined results: null text is empty; texts shorter than WINDOW bytes keep all; a document's own repeats don't count, nor
@@ -258,7 +258,7 @@ def _deal(texts: pa.Table, shared: pa.Table, n_buckets: int, n_groups: int) -> p
             keep |= (arm > 0) & (known[np.minimum(slot, len(known) - 1)] == arm if len(known) else False)
         if not keep.any():
             continue
-        start, size, text, at, mark = (x[keep] for x in (start, size, text, at, mark))
+        start, size, text, at, mark, place = (x[keep] for x in (start, size, text, at, mark, place))
         keys = np.fromiter((text_key(t) for t in slice_texts), np.uint64, len(slice_texts))
         same = _hash_spans(buf, start, size)
         order = np.lexsort((at, ids[text], same))
@@ -284,7 +284,7 @@ def _deal(texts: pa.Table, shared: pa.Table, n_buckets: int, n_groups: int) -> p
             occ = kept[_spans_of(firsts[mine], counts[mine])]
             docs_here, doc = np.unique(text[occ], return_inverse=True)
             raw = np.array([len(s), len(occ), len(docs_here)], np.int64).tobytes() + ids[docs_here].tobytes() + keys[docs_here].tobytes()
-            raw += np.diff(mark[s].astype(np.uint32), prepend=np.uint32(0)).tobytes() + size[s].astype(np.uint8).tobytes() + counts[mine].astype(np.int32).tobytes()
+            raw += np.diff(mark[s].astype(np.uint32), prepend=np.uint32(0)).tobytes() + size[s].astype(np.uint8).tobytes() + place[s].astype(np.uint8).tobytes() + counts[mine].astype(np.int32).tobytes()
             raw += doc.astype(np.int32).tobytes() + at[occ].astype(np.int32).tobytes() + buf[_spans_of(start[s], size[s])].tobytes()
             out["bucket"].append(name)
             out["strings"].append(_zip(raw))
@@ -298,7 +298,7 @@ def _read_block(block: bytes) -> dict[str, np.ndarray]:
     raw = _unzip(block)
     n, m, d = np.frombuffer(raw, np.int64, 3).tolist()
     at, out = 24, {}
-    for name, kind, count in (("ids", np.int64, d), ("keys", np.uint64, d), ("mark", np.uint32, n), ("size", np.uint8, n), ("count", np.int32, n), ("doc", np.int32, m), ("at", np.int32, m)):
+    for name, kind, count in (("ids", np.int64, d), ("keys", np.uint64, d), ("mark", np.uint32, n), ("size", np.uint8, n), ("place", np.uint8, n), ("count", np.int32, n), ("doc", np.int32, m), ("at", np.int32, m)):
         out[name] = np.frombuffer(raw, kind, count, at)
         at += out[name].nbytes
     out["bytes"] = np.frombuffer(raw, np.uint8, -1, at)
@@ -388,6 +388,20 @@ def _shared(key: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return (least < most)[group]
 
 
+def _overlapping(text: np.ndarray, start: np.ndarray, size: np.ndarray, place: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """The strings (all different) that may share a window with another: same minimizer and an arm in common."""
+    _, kin, many = np.unique(mark, return_inverse=True, return_counts=True)
+    unsure = np.zeros(len(many), bool)
+    unsure[kin[place == 255]] = True  # its strings are compared whatever their arms
+    out = unsure[kin]
+    for begin, fits in ((place, size - place >= K + ARM), (place - ARM, place >= ARM)):
+        has = np.flatnonzero(fits & (place < 255))
+        arm = _hash_spans(text, start[has] + begin[has], np.full(len(has), K + ARM))
+        _, twin, count = np.unique(arm, return_inverse=True, return_counts=True)
+        out[has[count[twin] > 1]] = True
+    return np.flatnonzero(out & (many[kin] > 1))
+
+
 def _solve(table: pa.Table, n_groups: int) -> pa.Table:
     """(grp, cuts) of one bucket."""
     passed = table.filter(table.column("cuts").is_valid())
@@ -395,7 +409,7 @@ def _solve(table: pa.Table, n_groups: int) -> pa.Table:
     parts = [_read_block(b) for b in table.column("strings").to_pylist() if b is not None]
     if parts:
         sizes = np.concatenate([p["size"] for p in parts]).astype(np.int64)
-        mark = np.concatenate([p["mark"] for p in parts])
+        mark, place = (np.concatenate([p[k] for p in parts]) for k in ("mark", "place"))
         text = np.concatenate([p["bytes"] for p in parts])
         start = np.cumsum(sizes) - sizes
         count = np.concatenate([p["count"] for p in parts]).astype(np.int64)
@@ -413,8 +427,7 @@ def _solve(table: pa.Table, n_groups: int) -> pa.Table:
         n_windows = size - WINDOW + 1
         slot = np.cumsum(n_windows) - n_windows
         winner = np.repeat(least, n_windows)
-        _, kin, many = np.unique(mark[live[one]], return_inverse=True, return_counts=True)
-        sort = np.flatnonzero(many[kin] > 1)
+        sort = _overlapping(text, origin, size, place[live[one]].astype(np.int64), mark[live[one]])
         if len(sort):
             body = text[_spans_of(origin[sort], size[sort])]
             owner, length, prefix = column_sort(body, np.cumsum(size[sort]) - size[sort], size[sort])
