@@ -63,10 +63,14 @@ def summary_sql(keys: str = "", suffix: str = "") -> str:
     return f"WITH {HISTORY_SQL} SELECT *, {DERIVED_SQL} FROM (SELECT {by}{TOTALS_SQL} FROM history {group})"
 
 
+def newest(facts: DataFrame) -> Column:
+    """The time of the newest row, as a literal that can be pushed into the scan."""
+    return F.lit(str(facts.agg(F.max("ts")).first()[0])).cast("timestamp_ntz")
+
+
 def retain(facts: DataFrame, days: int = 90) -> DataFrame:
     """Rows of the last days before the newest row."""
-    newest = facts.agg(F.max("ts").alias("_newest"))
-    return facts.crossJoin(F.broadcast(newest)).filter(F.col("ts") >= F.col("_newest") - F.expr(f"INTERVAL {days} DAYS")).drop("_newest")  # the right side is one row
+    return facts.filter(F.col("ts") >= newest(facts) - F.expr(f"INTERVAL {days} DAYS"))
 
 
 def write_history(facts: DataFrame, path: str) -> None:
@@ -147,18 +151,14 @@ def month() -> Column:
 LATEST = "(SELECT max(ts) FROM history)"
 
 
-def _since(facts: DataFrame, days: int) -> Column:
-    return F.sum(F.when(F.col("ts") >= F.col("newest") - F.expr(f"INTERVAL {days} DAYS"), F.col("saved_tokens")).otherwise(0))
-
-
 def snapshot(facts: DataFrame) -> DataFrame:
     """One row of counters: totals, tokens saved in the last day and 30 days, active days, projects, days since first seen."""
-    newest = facts.crossJoin(F.broadcast(facts.agg(F.max("ts").alias("newest"))))  # one row
-    month = F.col("ts") >= F.col("newest") - F.expr("INTERVAL 30 DAYS")
-    return newest.agg(
-        F.count(F.lit(1)).alias("commands_total"), F.sum("saved_tokens").alias("tokens_saved"), _since(facts, 1).alias("saved_24h"), _since(facts, 30).alias("saved_30d"),
-        F.round(F.sum("saved_tokens") * 100.0 / F.sum("input_tokens"), 6).alias("overall_pct"), F.countDistinct(F.when(month, F.to_date("ts"))).alias("active_days_30d"),
-        F.countDistinct(F.when(F.col("project_path") != "", F.col("project_path"))).alias("projects"), F.datediff(F.max("newest"), F.min("ts")).cast("long").alias("first_seen_days"),
+    last = newest(facts)
+    since = lambda days: F.col("ts") >= last - F.expr(f"INTERVAL {days} DAYS")
+    return facts.agg(
+        F.count(F.lit(1)).alias("commands_total"), F.sum("saved_tokens").alias("tokens_saved"), F.sum(F.when(since(1), F.col("saved_tokens")).otherwise(0)).alias("saved_24h"), F.sum(F.when(since(30), F.col("saved_tokens")).otherwise(0)).alias("saved_30d"),
+        F.round(F.sum("saved_tokens") * 100.0 / F.sum("input_tokens"), 6).alias("overall_pct"), F.countDistinct(F.when(since(30), F.to_date("ts"))).alias("active_days_30d"),
+        F.countDistinct(F.when(F.col("project_path") != "", F.col("project_path"))).alias("projects"), F.datediff(F.max("ts"), F.min("ts")).cast("long").alias("first_seen_days"),
         F.count_if(F.col("tool_cmd").startswith("tool view")).alias("meta_view"),
     )
 
