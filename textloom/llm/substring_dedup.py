@@ -67,11 +67,15 @@ def window_runs(texts: list[bytes]):
         return None
     words = _words(buf)
     grams = mix64(words * U64(0x9E3779B97F4A7C15) ^ mix64(np.concatenate([words[4:], np.zeros(4, np.uint64)]) + U64(77)))
-    least = _sliding_min(grams, SPREAD)
+    grams >>= U64(28)
+    # the smallest hash of each window with its first place below it, and again with its last
+    where = np.arange(len(buf), dtype=np.uint64) & U64((1 << 28) - 1)
+    leftmost = _sliding_min(grams << U64(28) | where, SPREAD)
+    rightmost = _sliding_min(grams << U64(28) | (U64((1 << 28) - 1) - where), SPREAD)
     begin = np.cumsum(n_windows) - n_windows
     shift = np.repeat(offsets[:-1] - begin, n_windows)
     start = np.arange(total) + shift
-    least = least[start]
+    least = (leftmost >> U64(28))[start]
     new = np.ones(total, bool)
     new[1:] = (least[1:] != least[:-1]) | (np.diff(start) != 1)
     first = np.flatnonzero(new)
@@ -81,25 +85,21 @@ def window_runs(texts: list[bytes]):
         nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         length = np.minimum(np.repeat(length, pieces) - nth * MAX_RUN, MAX_RUN)
         first = np.repeat(first, pieces) + nth * MAX_RUN
-    a, mark = start[first], least[first]
+    a, low = start[first], least[first]
     size = length + WINDOW - 1
-    left, right = np.full(len(a), -1), np.full(len(a), -1)
-    for o in range(SPREAD - 1, -1, -1):
-        left[grams[a + o] == mark] = o
-    z = a + size - K
-    for o in range(SPREAD - 1, -1, -1):
-        hit = grams[z - o] == mark
-        right[hit] = (z - o - a)[hit]
+    mask = U64((1 << 28) - 1)
+    left = ((leftmost[a] - a.astype(np.uint64)) & mask).astype(np.int64)
+    right = ((mask - rightmost[a + length - 1] - a.astype(np.uint64)) & mask).astype(np.int64)
     text = np.searchsorted(offsets, a, side="right") - 1
     # a minimizer that occurs again in its string: all its places
     unsure = np.flatnonzero(left != right)
     strings, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for o in range(int(size[unsure].max(initial=K)) - K + 1):
         fits = unsure[size[unsure] - K >= o]
-        hit = fits[grams[a[fits] + o] == mark[fits]]
+        hit = fits[grams[a[fits] + o] == low[fits]]
         strings.append(hit)
         places.append(np.full(len(hit), o))
-    return buf, a, size, text, a - offsets[text], mark, np.where(left == right, left, 255), (np.concatenate(strings), np.concatenate(places))
+    return buf, a, size, text, a - offsets[text], mix64(low), np.where(left == right, left, 255), (np.concatenate(strings), np.concatenate(places))
 
 
 def _spans_of(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -197,7 +197,8 @@ def _mark(docs: DataFrame, text_col: str, id_col: str, n_buckets: int, n_groups:
                 keys, doc = np.concatenate([right, left]), ids[text[np.concatenate([rows, rows])]]
                 keys, doc = keys[keys > 0], doc[keys > 0]
                 group = _group_of(doc, n_groups)
-                order = np.lexsort((doc, keys & U64(0xFFFFFFFF), group, keys >> U64(32)))
+                # documents lie together already; where one comes back, its arm counts as repeated, which only sends more
+                order = np.argsort(((keys >> U64(32)) * U64(n_groups) + group.astype(np.uint64)) << U64(32) | (keys & U64(0xFFFFFFFF)), kind="stable")
                 keys, doc, group = keys[order], doc[order], group[order]
                 nth = np.ones(len(keys), np.int64)  # how many documents of the group hold the arm up to here
                 same = (keys[1:] == keys[:-1]) & (group[1:] == group[:-1])
