@@ -5,8 +5,9 @@ each set takes part in the instances of its own band and the next. Within an ins
 similar pair has at most k = 2 * largest size / 9 elements. The shingle domain is hashed into partitions:
 
 * k >= 4: into n > k / 2 partitions of three parts each; at least n - k / 2 partitions of a similar pair differ in one
-  element at most, so two of their parts agree: each two parts of a partition are a signature. Signatures without any
-  element say little, and are needed only by a set that has them in n - k / 2 partitions or more.
+  element at most, so two of their parts agree: each two parts of a partition are a signature. Signatures of few elements
+  say little: each set leaves out those below the largest bar that fewer than n - k / 2 of its partitions fall short of.
+  As equal signatures have equally many elements, one that both sets keep remains.
 * k <= 3: into k + 3 partitions; a similar pair agrees on three of them at least, so every subset of three is a signature.
 * k = 0: similar sets are equal and meet as copies below.
 
@@ -36,7 +37,7 @@ from textloom.llm.common import load, materialize, mix64, shingle_sets, slices,
 from textloom.llm.components import components
 
 WIDTH = 5
-SMALL = 6
+SMALL = 32
 SKETCH = 1024
 BUCKET_BYTES = 16 << 20
 BROADCAST_IDS = 500_000
@@ -75,7 +76,7 @@ def _one_instance(hashes: np.ndarray, offsets: np.ndarray, instance: int, seed:
     slot = owner * slots + ((mix64(hashes ^ salt) >> U64(32)) * U64(slots) >> U64(32)).astype(np.int64)
     content = np.zeros(len(sizes) * slots, np.uint64)
     np.add.at(content, slot, mix64(hashes + salt))
-    filled = (np.bincount(slot, minlength=len(content)) > 0).reshape(-1, slots)
+    filled = np.bincount(slot, minlength=len(content)).reshape(-1, slots)
     content = content.reshape(-1, slots)
     if k <= 3:
         subsets = list(combinations(range(n), n - k))
@@ -85,9 +86,12 @@ def _one_instance(hashes: np.ndarray, offsets: np.ndarray, instance: int, seed:
     else:
         pair = lambda x: np.stack([x[:, i::3] + x[:, j::3] for i, j in ((0, 1), (0, 2), (1, 2))], axis=2).reshape(len(sizes), slots)
         signs = mix64(pair(content) ^ mix64(np.arange(slots, dtype=np.uint64) * U64(8191) + salt))
-        some = pair(filled)
-        poor = (~some).reshape(len(sizes), n, 3).any(axis=2).sum(axis=1)
-        needed = ~some & (poor >= n - k // 2)[:, None]
+        held = pair(filled)
+        # the sets' poorest signatures go: fewer than n - k / 2 partitions may have one below the bar
+        agree = n - k // 2
+        bar = np.partition(held.reshape(len(sizes), n, 3).min(axis=2), agree - 1, axis=1)[:, agree - 1]
+        some = held >= np.maximum(bar, 1)[:, None]
+        needed = (held == 0) & (bar == 0)[:, None]
     a, b = np.nonzero(some), np.nonzero(needed)
     return (a[0], signs[a]), (b[0], signs[b])
 
