@@ -17,7 +17,7 @@ U64 = np.uint64
 
 
 #: Bytes of an Arrow batch that a Python worker holds at once; a larger setting of the session is lowered to it.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -142,7 +142,7 @@ def shingle_sets(texts: list[bytes], width: int = 5) -> tuple[np.ndarray, np.nda
     return hashed[keep], np.searchsorted(doc[keep], np.arange(len(texts) + 1))
 
 
-def slices(texts: list[bytes], limit: int = 4 << 20):
+def slices(texts: list[bytes], limit: int = 1 << 20):
     """Index ranges whose texts together hold about limit bytes, so that numpy scratch space stays bounded."""
     begin, size = 0, 0
     for i, t in enumerate(texts):

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from textloom.llm.common import load, with_arrow_columns
 
 MARK = "▁"
-MEMO = 400_000
+MEMO = 200_000
 #: Chunks longer than this are not worth a place in the table.
 LONG = 200
 DIGESTS = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}

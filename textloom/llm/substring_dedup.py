@@ -37,7 +37,7 @@ from textloom.llm.common import joined, load, mix64, slices, text_bytes, total_b
 WINDOW, K, ARM = 50, 12, 19
 SPREAD = WINDOW - K + 1
 MAX_RUN = 43
-BUCKET_BYTES, GROUP_BYTES = 4 << 20, 8 << 20
+BUCKET_BYTES, GROUP_BYTES, SLICE = 4 << 20, 8 << 20, 4 << 20
 U64 = np.uint64
 
 
@@ -186,7 +186,7 @@ def _mark(docs: DataFrame, text_col: str, id_col: str, n_buckets: int, n_groups:
         for batch in batches:
             batch = batch.filter(batch.column(0).is_valid())
             all_ids, all_texts = batch.column(0).to_numpy(zero_copy_only=False), text_bytes(batch.column(1))
-            for i, j in slices(all_texts):
+            for i, j in slices(all_texts, SLICE):
                 ids = all_ids[i:j].astype(np.int64)
                 made = window_runs(all_texts[i:j])
                 if made is None:
@@ -247,7 +247,7 @@ def _deal(texts: pa.Table, shared: pa.Table, n_buckets: int, n_groups: int) -> p
     known = np.sort(np.concatenate(known))
     out: dict[str, list] = {"bucket": [], "strings": [], "grp": [], "cuts": []}
     rows = [(i, t) for block in texts.column("texts").to_pylist() for row in pa.ipc.open_stream(_unzip(block)) for i, t in zip(row.column(0).to_pylist(), row.column(1).to_pylist(), strict=True) if i is not None]
-    for i, j in slices([t for _, t in rows]):
+    for i, j in slices([t for _, t in rows], SLICE):
         ids, slice_texts = np.array([r[0] for r in rows[i:j]], np.int64), [r[1] for r in rows[i:j]]
         made = window_runs(slice_texts)
         if made is None:
