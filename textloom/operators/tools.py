@@ -10,6 +10,8 @@ noise: lines to leave out (dsl.Filter).
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -208,7 +210,7 @@ def by_code(found: DataFrame, most: int = 10) -> DataFrame:
 
 def counters(lines: DataFrame, tool: str) -> DataFrame:
     """One row an output with the sums of the tool's counters over its lines."""
-    value = lambda p: F.coalesce(F.regexp_replace(F.concat_ws("", *[F.regexp_extract("line", p, i + 1) for i in range(p.count("(") - p.count("(?"))]), ",", "").try_cast("long"), F.lit(0))
+    value = lambda p: F.coalesce(F.regexp_replace(F.concat_ws("", *[F.regexp_extract("line", p, i + 1) for i in range(re.compile(p).groups)]), ",", "").try_cast("long"), F.lit(0))
     return lines.groupBy("doc_id").agg(*[F.sum(value(p)).alias(name) for name, p in COUNTERS[tool].items()])
 
 
