@@ -170,11 +170,11 @@ def near_copies(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed", [5, 6])
-def test_ngram_join(spark, seed):
+@pytest.mark.parametrize(("seed", "small"), [(5, 8), (6, 2)])
+def test_ngram_join(spark, seed, small):
     rows = near_copies(seed)
     rows += [(9000, None), (9001, ""), (9002, " \n"), (9003, "A b"), (9004, "a B"), (9005, "long " * 5000)]
-    got = ngram_join.near_duplicates(spark.createDataFrame(rows, DOCS).withColumn("n_shingles", F.lit("clash")).repartition(3))
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, DOCS).withColumn("n_shingles", F.lit("clash")).repartition(3), small=small)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == ngram_brute(rows)
 
 

@@ -15,8 +15,9 @@ A signature without any element is emitted crossed with the set's signatures und
 pair shares as well, so that short documents do not meet in one group.
 
 Sets that are equal are collapsed first (128-bit digests). Signatures travel as packed blocks, one per Arrow batch and
-bucket, with equal sets of a batch once. A group of up to SMALL sets with a common signature yields its pairs; a larger
-one yields the pairs with its first member, and after these are verified only members in different components pair up.
+bucket, with equal sets of a batch once. A group of up to SMALL sets with a common signature yields its pairs; larger
+ones are merged where they hold mostly the same sets, yield the pairs with their first member, and after these are
+verified only members in different components pair up, if sizes and sketches allow.
 All pairs are verified exactly on the sets; links lead to components. The join misses no similar pair.
 
 Defined results: A-Z is lower-cased, words are separated by space and \\t \\n \\v \\f \\r; null, empty and blank texts have
@@ -37,7 +38,7 @@ from textloom.llm.common import load, materialize, mix64, shingle_sets, slices,
 from textloom.llm.components import components
 
 WIDTH = 5
-SMALL = 32
+SMALL = 8
 SKETCH = 1024
 BUCKET_BYTES = 16 << 20
 BROADCAST_IDS = 500_000
@@ -211,7 +212,34 @@ def _unpack(block: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(ids, runs), np.frombuffer(block, np.uint32, -1, 8 + 12 * n)
 
 
-def _meet(table: pa.Table) -> pa.Table:
+def _merge(groups: list[np.ndarray]) -> list[np.ndarray]:
+    """Fewer groups of which each given one is part: a group joins an earlier one that holds most of it, if that grows little.
+
+    A family of near copies meets under many signatures; its groups differ by a few members.
+    """
+    merged: list[list[np.ndarray]] = []
+    size: list[int] = []
+    most: list[int] = []
+    home: dict[int, int] = {}
+    for own in sorted(groups, key=len, reverse=True):
+        seen = np.array([home.get(i, -1) for i in own.tolist()])
+        known = seen[seen >= 0]
+        if len(known):
+            at = int(np.bincount(known).argmax())
+            fresh = own[seen != at]
+            if 2 * len(fresh) <= len(own) and size[at] + len(fresh) <= most[at]:
+                merged[at].append(fresh)
+                size[at] += len(fresh)
+                home |= dict.fromkeys(fresh.tolist(), at)
+                continue
+        home |= dict.fromkeys(own.tolist(), len(merged))
+        merged.append([own])
+        size.append(len(own))
+        most.append(2 * len(own))
+    return [np.unique(np.concatenate(m)) for m in merged]
+
+
+def _meet(table: pa.Table, small: int) -> pa.Table:
     """Pairs (a, b) and members of large groups (a, null) with their group, of one bucket."""
     parts = [_unpack(x) for x in table.column("block").to_pylist()]
     ids, sign = (np.concatenate([p[i] for p in parts]) for i in range(2))
@@ -231,22 +259,21 @@ def _meet(table: pa.Table) -> pa.Table:
     size = np.diff(np.concatenate([first, [len(ids)]]))
     first, size = first[size > 1], size[size > 1]
     left, right = [], []
-    for m in range(2, SMALL + 1):
+    for m in range(2, small + 1):
         at = first[size == m]
         for i, j in combinations(range(m), 2):
             left.append(ids[at + i])
             right.append(ids[at + j])
+    large: dict[bytes, np.ndarray] = {}
+    for at, m in zip(first[size > small], size[size > small], strict=True):
+        own = np.sort(ids[at : at + m])
+        large.setdefault(own.tobytes(), own)
     groups: list[np.ndarray] = []
     members: list[np.ndarray] = []
-    told: set[bytes] = set()
-    for at, m in zip(first[size > SMALL], size[size > SMALL], strict=True):
-        own = np.sort(ids[at : at + m])
-        if (key := own.tobytes()) in told:  # many signatures of a bucket have the same sets
-            continue
-        told.add(key)
-        left.append(np.full(m - 1, own[0]))
+    for n, own in enumerate(_merge(list(large.values()))):
+        left.append(np.full(len(own) - 1, own[0]))
         right.append(own[1:])
-        groups.append(np.full(m, int(table.column("bucket")[0].as_py()) << 32 | int(sign[at])))
+        groups.append(np.full(len(own), int(table.column("bucket")[0].as_py()) << 32 | n))
         members.append(own)
     cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
     a, b = cat(left), cat(right)
@@ -310,14 +337,14 @@ def verify(pairs: DataFrame, docs: DataFrame, text_col: str, id_col: str) -> Dat
     return both.mapInArrow(check, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of docs."""
+def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", small: int = SMALL) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of docs; groups of up to small sets yield their pairs at once."""
     sets = materialize(set_digests(docs, text_col, id_col), "set-digests")
     reps = sets.filter("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
     classes = materialize(sets.join(reps, ["d1", "d2"], "left").select("doc_id", "n_shingles", "sketch", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep")), "classes")
     known = classes.dropDuplicates(["doc_id"])
     n_buckets = max(16, total_bytes(docs, text_col)[1] // BUCKET_BYTES)
-    met = materialize(_blocks(docs, text_col, id_col, n_buckets).groupBy("bucket").applyInArrow(_meet, "a long, b long, hot long"), "met")
+    met = materialize(_blocks(docs, text_col, id_col, n_buckets).groupBy("bucket").applyInArrow(lambda t: _meet(t, small), "a long, b long, hot long"), "met")
     pairs = materialize(_representatives(met.filter("hot is null").select("a", "b").distinct(), known), "pairs")
     links = materialize(verify(pairs, docs, text_col, id_col), "links")
     labels = components(links)
