@@ -30,12 +30,11 @@ SEARCH_FORMS = (r"^(.+?):(\d+):(\d+):(.+)$", r"^(.+?):(\d+):(.+)$", r"^(.+?):(.+
 def parse_matches(lines: DataFrame) -> DataFrame:
     """doc_id, line_no, file, number, content of lines file:line:col:text, file:line:text or file:text."""
     line = F.col("line")
-    three, two, one = (line.rlike(p) for p in SEARCH_FORMS)
-    get = lambda i, g: F.regexp_extract(line, SEARCH_FORMS[i], g)
-    number = F.when(three, get(0, 2)).when(two, get(1, 2)).otherwise("0")
-    return lines.filter(three | two | one).select(
-        "doc_id", "line_no", F.when(three, get(0, 1)).when(two, get(1, 1)).otherwise(get(2, 1)).alias("file"), F.coalesce(number.try_cast("long"), F.lit(0)).alias("number"), F.when(three, get(0, 4)).when(two, get(1, 3)).otherwise(get(2, 2)).alias("content")
-    )
+    form = F.when(line.rlike(SEARCH_FORMS[0]), 0).when(line.rlike(SEARCH_FORMS[1]), 1).when(line.rlike(SEARCH_FORMS[2]), 2)
+    formed = lines.filter(line.contains(":")).withColumn("form", form).filter("form is not null")
+    get = lambda *groups: F.when(F.col("form") == 0, F.regexp_extract(line, SEARCH_FORMS[0], groups[0])).when(F.col("form") == 1, F.regexp_extract(line, SEARCH_FORMS[1], groups[1])).otherwise(F.regexp_extract(line, SEARCH_FORMS[2], groups[2]))
+    number = F.when(F.col("form") < 2, get(2, 2, 0)).otherwise("0")
+    return formed.select("doc_id", "line_no", get(1, 1, 1).alias("file"), F.coalesce(number.try_cast("long"), F.lit(0)).alias("number"), get(4, 3, 2).alias("content"))
 
 
 def match_score(file: Column, content: Column) -> Column:
