@@ -38,7 +38,7 @@ from textloom.llm.common import load, materialize, mix64, shingle_sets, slices,
 from textloom.llm.components import components
 
 WIDTH = 5
-SMALL = 8
+SMALL, LEADERS = 8, 2
 SKETCH = 1024
 BUCKET_BYTES = 16 << 20
 BROADCAST_IDS = 500_000
@@ -352,7 +352,18 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     # members of large groups that the first round left in different components
     reps = known.select("doc_id", "rep")
     hot = met.filter("hot is not null").select("hot", F.col("a").alias("doc_id")).join(reps, "doc_id").select("hot", F.col("rep").alias("id"))
-    hot = materialize(hot.join(labels, "id", "left").select("hot", "id", F.coalesce("component_id", "id").alias("label")), "hot")
+    hot = materialize(hot, "hot")
+    for turn in range(LEADERS):  # other leaders first: what they link needs no pairs of members below
+        named = hot.join(labels, "id", "left").select("hot", "id", F.coalesce("component_id", "id").alias("label"))
+        lead = named.groupBy("hot").agg(F.min_by(F.struct("id", "label"), F.xxhash64("id", F.lit(turn))).alias("lead"))
+        star = named.join(lead, "hot").filter("label <> lead.label").select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct()
+        star = materialize(_possible(star, known).join(pairs, ["a", "b"], "left_anti"), "star-pairs")
+        if not star.limit(1).count():
+            break
+        pairs = pairs.unionByName(star)
+        links = links.unionByName(materialize(verify(star, docs, text_col, id_col), "star-links"))
+        labels = components(links)
+    hot = materialize(hot.join(labels, "id", "left").select("hot", "id", F.coalesce("component_id", "id").alias("label")), "hot-labels")
     mixed = hot.groupBy("hot").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("hot")
     open_ = hot.join(mixed, "hot").distinct().join(known.select(F.col("doc_id").alias("id"), "n_shingles", "sketch"), "id")
     open_ = materialize(open_, "open")
