@@ -169,6 +169,12 @@ def test_wrapper_induction(spark):
     assert wrappers.extract_pages(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("raw", ["<script>for(var i=0;i<n;i++){f(i)}</script>", "<script>a<b</SCRIPT >", "<style><!-- p{}</style>", "<svg/>", "<noscript><p x='</noscript>", "<button><script>i<n</script>no</button>"])
+def test_raw_elements(raw):
+    assert wrappers.extract(f"<body>{raw}<article><p>one</p>{raw}<p>two</p></article><script>x</script></body>") == "one\ntwo"
+    assert wrappers.extract("<p>one</p><script>a<b") == "one"
+
+
 def test_html_query(spark, sf_dir):
     import html
     import re

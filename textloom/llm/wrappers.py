@@ -55,6 +55,8 @@ ITEMS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[a-zA-Z/][^<]*\Z", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|\Z)", re.I)
+#: The end of a raw element, whose content is no markup: its end tag or the end of the page.
+_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?|\Z", re.I) for tag in RAW}
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
 
@@ -89,13 +91,17 @@ def _traits(attributes: str) -> tuple[str, bool]:
 def parse(html: str) -> Node:
     root = Node("#")
     stack, at, skip = [root], 0, ""
-    for m in _TOKEN.finditer(html):
+    while m := _TOKEN.search(html, at):
         if not skip and m.start() > at:
             stack[-1].items.append(html[at : m.start()])
         at = m.end()
         tag = (m[2] or "").lower()
         if not tag:
             continue
+        if tag in RAW and not m[1]:
+            if not m[3].rstrip().endswith("/") or tag in ("script", "style", "title"):
+                at = _END[tag].search(html, at).end()
+            continue
         if skip:
             if m[1] and tag == skip:
                 skip = ""
@@ -107,10 +113,6 @@ def parse(html: str) -> Node:
                         del stack[depth:]
                         break
             continue
-        if tag in RAW:
-            if not m[3].rstrip().endswith("/") or tag in ("script", "style", "title"):
-                skip = tag
-            continue
         if tag == "br":
             stack[-1].items.append("\n")
         if tag not in BLOCKS:
