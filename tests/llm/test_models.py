@@ -175,6 +175,24 @@ def test_raw_elements(raw):
     assert wrappers.extract("<p>one</p><script>a<b") == "one"
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body class='single right-sidebar'>{}<footer>f</footer></body>",
+        "<body><main class='has-comments'>{}</main></body>",
+        "<body><article class='post comment-open'>{}</article><div class='comments'>x</div></body>",
+        "<body><div id='header-and-content'>{}<div class='sidebar'>x</div></div><footer>f</footer></body>",
+        "<body><form action='/'><input type=hidden><div class='menu'>x</div>{}</form></body>",
+        "<body><form><fieldset><div class='social widget'>{}</div></fieldset></form></body>",
+        "<body><article>{}</article><div class='comments'><p>a long answer of a reader that holds most of the page's text</p></div></body>",
+        "<div hidden><span class='ad'>{}</span></div>",
+    ],
+)
+def test_marked_containers(page):
+    assert wrappers.extract(page.format("<h1>title</h1><p>some text</p>")) == "title\nsome text"
+    assert wrappers.extract("<nav>menu</nav>") == ""
+
+
 def test_html_query(spark, sf_dir):
     import html
     import re

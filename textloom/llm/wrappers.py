@@ -9,7 +9,9 @@ roles and class names, and the digests of the constant blocks. It is then applie
 too few distinct pages, and pages without the wrapper's path, fall back to the element that holds most text.
 
 Defined results: null, empty or markup-free html gives its text as one page without template (the empty string if none);
-unclosed elements end with their parent; a page cut inside a tag or comment loses that tag or comment; character
+unclosed elements end with their parent; html, body, main and article are never boilerplate, nor
+are forms and containers with a boilerplate name that hold most of the page's text while no article is beside them; a page
+of which nothing is left is read without such names, roles and forms; a page cut inside a tag or comment loses that tag or comment; character
 references are decoded once; blocks are separated by one line feed and white space is [\\x20\\x09-\\x0D]; a null url has the
 empty host; repeated rows are extracted as given; other columns are ignored.
 """
@@ -49,6 +51,8 @@ MARKS = frozenset(
     "masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted related reply replies respond share sharing "
     "sidebar social sponsor sponsored subscribe toolbar widget widgets".split()
 )
+#: Never boilerplate by class, id or role: they hold the page or its article.
+HOLDERS = frozenset("html body main article".split())
 #: A block element that starts closes an open one of these.
 CLOSES_P = BLOCKS - {"html", "body", "head"}
 ITEMS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"optgroup"}}
@@ -63,10 +67,10 @@ _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 class Node:
     """A block element: items holds its texts and block children in page order."""
 
-    __slots__ = ("bad", "items", "key", "tag")
+    __slots__ = ("bad", "items", "key", "size", "tag")
 
     def __init__(self, tag: str, key: str = "", bad: bool = False):
-        self.tag, self.key, self.bad, self.items = tag, key, bad, []
+        self.tag, self.key, self.bad, self.items, self.size = tag, key, bad, [], 0
 
     @property
     def sign(self) -> str:
@@ -88,7 +92,39 @@ def _traits(attributes: str) -> tuple[str, bool]:
     return key, bad
 
 
-def parse(html: str) -> Node:
+def _measure(node: Node) -> int:
+    """Sets the size of each node: the characters of text below it, heads left out."""
+    for item in node.items:
+        if isinstance(item, str):
+            node.size += len(item.strip())
+        else:
+            size = _measure(item)
+            node.size += size if item.tag != "head" else 0
+    return node.size
+
+
+def _has_article(node: Node) -> bool:
+    return any(not i.bad and (i.tag in ("article", "main") or _has_article(i)) for i in node.items if isinstance(i, Node))
+
+
+def _unmark(root: Node) -> None:
+    """Forms and containers marked by a name or role count as unmarked where they hold most of the page's text, if no article is beside them."""
+    total, at = _measure(root), root
+    while at and not _has_article(root):
+        at = next((i for i in at.items if isinstance(i, Node) and i.tag != "head" and 2 * i.size > total), None)
+        if at and (at.tag in ("form", "fieldset") or at.tag not in BOILERPLATE):
+            at.bad = False
+
+
+def parse(html: str, marks: bool = True) -> Node:
+    """The page's tree of blocks; without marks only element names other than form and fieldset tell boilerplate."""
+    root = _tree(html, marks)
+    if marks:
+        _unmark(root)
+    return root
+
+
+def _tree(html: str, marks: bool) -> Node:
     root = Node("#")
     stack, at, skip = [root], 0, ""
     while m := _TOKEN.search(html, at):
@@ -116,7 +152,7 @@ def parse(html: str) -> Node:
         if tag == "br":
             stack[-1].items.append("\n")
         if tag not in BLOCKS:
-            key, bad = _traits(m[3]) if m[3] and tag not in VOID else ("", False)
+            key, bad = _traits(m[3]) if m[3] and marks and tag not in VOID else ("", False)
             if not (tag == "button" or (bad and tag in ("span", "button", "ins"))):
                 continue
         if tag in CLOSES_P and stack[-1].tag == "p":
@@ -132,7 +168,8 @@ def parse(html: str) -> Node:
             stack[-1].items.append(Node(tag))
             continue
         key, bad = _traits(m[3]) if m[3] else ("", False)
-        node = Node(tag, key, bad or tag in BOILERPLATE)
+        bad = bad and marks and tag not in HOLDERS
+        node = Node(tag, key, bad or (tag in BOILERPLATE and (marks or tag not in ("form", "fieldset"))))
         stack[-1].items.append(node)
         if tag in BLOCKS:
             stack.append(node)
@@ -292,6 +329,8 @@ def extract(html: str | None, wrapper: str | None = None) -> str:
         for sign in path:
             nodes = [i for n in nodes for i in n.items if isinstance(i, Node) and i.sign == sign and not i.bad]
         constant = frozenset(digests)
+    if not blocks(root):
+        root, nodes = parse(html, marks=False), []
     if not nodes:
         nodes = _heaviest(root)
     return "\n".join(b for n in nodes for b in blocks(n) if not constant or digest(b) not in constant)
