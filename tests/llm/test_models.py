@@ -1,6 +1,7 @@
 """URL filter, SentencePiece chunks, nearest neighbours, mixing, quality, HTML extraction and the pipeline."""
 
 import hashlib
+import json
 import random
 import zlib
 
@@ -193,6 +194,20 @@ def test_marked_containers(page):
     assert wrappers.extract("<nav>menu</nav>") == ""
 
 
+def test_content_beside_the_body():
+    html = "<body><div class=top>Site</div><div id=content><h1>title {0}</h1>{1}<div class=lead>lead {0}</div><div class=body><p>long text {0} of the body, {0} that goes on and on and on for a while</p></div></div><div>All rights</div></body>"
+    pages = [html.format(i * 7919, "<div class=note>note 5</div>" if i == 5 else "") for i in range(6)]
+    wrapper = wrappers.induce(pages)
+    assert json.loads(wrapper)[0] == ["body.", "div.content"]
+    for i, page in enumerate(pages):
+        x = i * 7919
+        assert wrappers.extract(page, wrapper).replace("\nnote 5", "") == f"title {x}\nlead {x}\nlong text {x} of the body, {x} that goes on and on and on for a while"
+    assert "note 5" in wrappers.extract(pages[5], wrapper)
+    # a section that a few pages only have beside the common path
+    pages = [p.replace("<div>All rights", "<div class=more>more 3</div><div>All rights") if i == 3 else p for i, p in enumerate(pages)]
+    assert "more 3" in wrappers.extract(pages[3], wrappers.induce(pages))
+
+
 def test_html_query(spark, sf_dir):
     import html
     import re

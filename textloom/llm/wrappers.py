@@ -3,8 +3,8 @@
 A bounded number of pages of each host (PAGES, those with the smallest hashes of their html, equal pages once) are
 parsed, and their DOM trees of block elements, in which runs of equal siblings are merged, are aligned by simple tree
 matching: the largest set of node pairs that keeps order and ancestry. Aligned nodes whose text is the same on nearly all
-pages are template, those whose text varies are content slots. The wrapper of a host is the path to the subtree that
-holds most varying text, outside menus, headers, footers, sidebars, adverts, forms and comments by their element names,
+pages are template, those whose text varies are content slots. The wrapper of a host is the path to the article
+or main element, without these to the lowest node that holds all varying text, outside menus, headers, footers, sidebars, adverts, forms and comments by their element names,
 roles and class names, and the digests of the constant blocks. It is then applied to every page of the host; hosts with
 too few distinct pages, and pages without the wrapper's path, fall back to the element that holds most text.
 
@@ -34,7 +34,7 @@ from pyspark.sql.window import Window
 from textloom.llm.common import load, materialize, with_arrow_columns
 from textloom.llm.url_filter import host_of
 
-PAGES, MIN_PAGES, CONSTANT_SHARE, CONTENT_SHARE = 8, 3, 0.8, 0.7
+PAGES, MIN_PAGES, CONSTANT_SHARE = 8, 3, 0.8
 BROADCAST_BYTES = 8 << 20
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -214,10 +214,17 @@ def digest(text: str) -> str:
 class Shape:
     """A node of the tree that is aligned: a run of equal siblings as one, with the own texts of all of the run."""
 
-    __slots__ = ("children", "own", "seen", "sign", "size", "texts")
+    __slots__ = ("children", "others", "own", "sign", "size", "texts")
 
     def __init__(self, sign: str):
-        self.sign, self.children, self.own, self.size, self.texts, self.seen = sign, [], [], 0, [], 0
+        self.sign, self.children, self.own, self.size, self.texts, self.others = sign, [], [], 0, [], []
+
+    @property
+    def tag(self) -> str:
+        return self.sign.split(".")[0]
+
+    def all_texts(self) -> list[str]:
+        return self.own + [t for c in self.children for t in c.all_texts()]
 
 
 def shape(nodes: list[Node]) -> Shape:
@@ -236,7 +243,7 @@ def shape(nodes: list[Node]) -> Shape:
             runs.append([n])
     out.children = [shape(r) for r in runs]
     out.size = sum(map(len, out.own)) + sum(c.size for c in out.children)
-    out.texts, out.seen = [out.own], 1
+    out.texts = [out.own]
     return out
 
 
@@ -277,25 +284,46 @@ def induce(pages: list[str]) -> str | None:
     base = max(shapes, key=lambda s: s.size)
     for other in shapes:
         if other is not base:
-            for mine, theirs in simple_tree_matching(base, other)[1]:
+            matched = simple_tree_matching(base, other)[1]
+            met = {id(theirs) for _, theirs in matched}
+            for mine, theirs in matched:
                 mine.texts.append(theirs.own)
-                mine.seen += 1
-    enough = CONSTANT_SHARE * len(shapes)
+                mine.others += [t for c in theirs.children if id(c) not in met for t in c.all_texts()]
+    enough = max(CONSTANT_SHARE * len(shapes), 2)
     constant: set[str] = set()
 
+    def learn(s: Shape) -> None:
+        constant.update(digest(t) for t, n in Counter(t for texts in s.texts for t in set(texts)).items() if n >= enough)
+        for c in s.children:
+            learn(c)
+
+    learn(base)
+
+    def here(s: Shape) -> int:
+        """Characters of the node's own text, and of nodes below it that base has not, that vary between the pages."""
+        return sum(len(t) for texts in [*s.texts, s.others] for t in texts if digest(t) not in constant)
+
     def varying(s: Shape) -> int:
-        """Characters of text below s that vary between the pages."""
-        own = Counter(t for texts in s.texts for t in set(texts))
-        constant.update(digest(t) for t, n in own.items() if n >= max(enough, 2))
-        return sum(len(t) for texts in s.texts for t in texts if own[t] < max(enough, 2)) + sum(varying(c) for c in s.children)
+        return here(s) + sum(varying(c) for c in s.children)
+
+    def articles(s: Shape) -> int:
+        """Characters that vary in article and main elements."""
+        return varying(s) if s.tag in ("article", "main") else sum(articles(c) for c in s.children)
 
     if not varying(base):
         return None
     path, at = [], base
-    while at.children and at.sign.split(".")[0] not in ("article", "main"):
-        marked = [c for c in at.children if c.sign.split(".")[0] in ("article", "main")]
-        best = max(marked or at.children, key=varying)
-        if best.sign.split(".")[0] in ("p", "li", "h1", "h2", "h3", "pre", "td", "ul", "ol", "dl") or (not marked and varying(best) < CONTENT_SHARE * varying(at)):
+    while at.children and at.tag not in ("article", "main"):
+        marked = [c for c in at.children if c.tag in ("article", "main")]
+        if marked:
+            best = max(marked, key=varying)
+        elif 2 * articles(at) >= varying(at):
+            best = max(at.children, key=articles)
+        else:  # down only past what is constant, so that the node holds all that varies
+            best = max(at.children, key=varying)
+            if varying(best) < varying(at):
+                break
+        if best.tag in ("p", "li", "h1", "h2", "h3", "pre", "td", "ul", "ol", "dl"):
             break
         path.append(best.sign)
         at = best
