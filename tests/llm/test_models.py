@@ -208,6 +208,27 @@ def test_content_beside_the_body():
     assert "more 3" in wrappers.extract(pages[3], wrappers.induce(pages))
 
 
+@pytest.mark.parametrize("holder", ["article", "div"])
+def test_near_copies_are_no_template(spark, holder):
+    """Most pages of a host are near copies of one article; a constant line goes only where unlike articles agree on it."""
+    shared = "".join(f"<p>shared paragraph {k} of the article that was copied</p>" for k in range(4))
+    wrap = lambda x: f"<body><{holder}>{x}<p>Sign up</p></{holder}></body>"
+    other = lambda i: f"<p>another text, number {i * 7919}, about {i * 104729}</p><p>more of {i * 7907}</p>"
+    pages = [(f"http://near.org/{i}", wrap(f"{shared}<p>day {i}</p>")) for i in range(12)]
+    pages += [(f"http://mixed.org/{i}", wrap(f"{shared}<p>day {i}</p>" if i % 10 else other(i))) for i in range(60)]
+    # of 40 pages, the first few in any order don't tell that the line on 70 % of them is no template
+    pages += [(f"http://part.org/{i}", wrap(other(i) + ("<p>often</p>" if i % 10 < 7 else ""))) for i in range(40)]
+    got = {r.url: r.text for r in wrappers.extract_pages(spark.createDataFrame(pages, "url string, html string")).collect()}
+    lines = [f"shared paragraph {k} of the article that was copied" for k in range(4)]
+    text = lambda i: [f"another text, number {i * 7919}, about {i * 104729}", f"more of {i * 7907}"]
+    for i in range(12):
+        assert got[f"http://near.org/{i}"].split("\n") == [*lines, f"day {i}", "Sign up"]
+    for i in range(60):
+        assert got[f"http://mixed.org/{i}"].split("\n") == ([*lines, f"day {i}"] if i % 10 else text(i))
+    for i in range(40):
+        assert got[f"http://part.org/{i}"].split("\n") == text(i) + (["often"] if i % 10 < 7 else [])
+
+
 def test_html_query(spark, sf_dir):
     import html
     import re

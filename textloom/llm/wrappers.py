@@ -1,12 +1,16 @@
 """Operator 10: HTML extraction by wrapper induction.
 
-A bounded number of pages of each host (PAGES, those with the smallest hashes of their html, equal pages once) are
-parsed, and their DOM trees of block elements, in which runs of equal siblings are merged, are aligned by simple tree
-matching: the largest set of node pairs that keeps order and ancestry. Aligned nodes whose text is the same on nearly all
-pages are template, those whose text varies are content slots. The wrapper of a host is the path to the article
-or main element, without these to the lowest node that holds all varying text, outside menus, headers, footers, sidebars, adverts, forms and comments by their element names,
-roles and class names, and the digests of the constant blocks. It is then applied to every page of the host; hosts with
-too few distinct pages, and pages without the wrapper's path, fall back to the element that holds most text.
+All pages of a host are parsed and the digests of their blocks are counted, pages of equal content once. Pages of which
+NEAR_SHARE of the content is on nearly all pages are near copies of one article and count once more together: what they
+share is no template. Blocks on nearly all of the articles left are constant. A bounded number of these articles (PAGES,
+those with the smallest hashes of their html) is aligned for the path: their DOM trees of block elements, in which runs of
+equal siblings are merged, by simple tree matching, the largest set of node pairs that keeps order and ancestry. Aligned
+nodes whose text is constant are template, those whose text varies are content slots. The wrapper of a host is the path to
+the article or main element, without these to the lowest node that holds all varying text, outside menus, headers, footers,
+sidebars, adverts, forms and comments by their element names, roles and class names, and the digests of the constant
+blocks. It is then applied to every page of the host: constant blocks go, except where they are NEAR_SHARE of what the path
+leads to, and where a page has other text beside the path, its end moves up. Hosts with fewer than MIN_PAGES articles have no
+wrapper; they, and pages without the wrapper's path, fall back to all article or main elements or else to the whole page.
 
 Defined results: null, empty or markup-free html gives its text as one page without template (the empty string if none);
 unclosed elements end with their parent; html, body, main and article are never boilerplate, nor
@@ -34,8 +38,8 @@ from pyspark.sql.window import Window
 from textloom.llm.common import load, materialize, with_arrow_columns
 from textloom.llm.url_filter import host_of
 
-PAGES, MIN_PAGES, CONSTANT_SHARE = 8, 3, 0.8
-BROADCAST_BYTES = 8 << 20
+PAGES, MIN_PAGES, CONSTANT_SHARE, NEAR_SHARE = 8, 3, 0.8, 0.6
+BROADCAST_BYTES, BROADCAST_HOSTS = 8 << 20, 20_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe object svg math textarea select title".split())
@@ -207,8 +211,8 @@ def blocks(node: Node) -> list[str]:
     return out
 
 
-def digest(text: str) -> str:
-    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+def digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
 class Shape:
@@ -270,8 +274,10 @@ def simple_tree_matching(a: Shape, b: Shape) -> tuple[int, list[tuple[Shape, Sha
     return best[m][n] + 1, matched
 
 
-def induce(pages: list[str]) -> str | None:
-    """The wrapper of some pages of a host as JSON: the path to the content and the digests of constant blocks."""
+def induce(pages: list[str], template: list[int] | None = None) -> str | None:
+    """The wrapper of some pages of a host as JSON: the path to the content and the digests of constant blocks.
+
+    template: the constant blocks of all pages of the host; if not given, they are learned from these pages."""
     shapes = []
     told = set()
     for html in pages:
@@ -290,14 +296,15 @@ def induce(pages: list[str]) -> str | None:
                 mine.texts.append(theirs.own)
                 mine.others += [t for c in theirs.children if id(c) not in met for t in c.all_texts()]
     enough = max(CONSTANT_SHARE * len(shapes), 2)
-    constant: set[str] = set()
+    constant = set(template or [])
 
     def learn(s: Shape) -> None:
         constant.update(digest(t) for t, n in Counter(t for texts in s.texts for t in set(texts)).items() if n >= enough)
         for c in s.children:
             learn(c)
 
-    learn(base)
+    if template is None:
+        learn(base)
 
     def here(s: Shape) -> int:
         """Characters of the node's own text, and of nodes below it that base has not, that vary between the pages."""
@@ -353,29 +360,89 @@ def extract(html: str | None, wrapper: str | None = None) -> str:
     nodes, constant = [], frozenset()
     if wrapper:
         path, digests = json.loads(wrapper)
-        nodes = [root]
-        for sign in path:
-            nodes = [i for n in nodes for i in n.items if isinstance(i, Node) and i.sign == sign and not i.bad]
         constant = frozenset(digests)
+        levels = [[root]]
+        for sign in path:
+            levels.append([i for n in levels[-1] for i in n.items if isinstance(i, Node) and i.sign == sign and not i.bad])
+        nodes = levels.pop() if path else []
+        if nodes and nodes[0].tag not in ("article", "main"):
+            free = lambda ns: sum(digest(b) not in constant for n in ns for b in blocks(n))
+            want = free([root])
+            while levels and free(nodes) < want:
+                nodes = levels.pop()
     if not blocks(root):
         root, nodes = parse(html, marks=False), []
     if not nodes:
         nodes = _heaviest(root)
-    return "\n".join(b for n in nodes for b in blocks(n) if not constant or digest(b) not in constant)
+    texts = [b for n in nodes for b in blocks(n)]
+    kept = [b for b in texts if digest(b) not in constant] if constant else texts
+    # of a page that is mostly constant, the constant blocks are the article
+    return "\n".join(kept if sum(map(len, kept)) > (1 - NEAR_SHARE) * sum(map(len, texts)) else texts)
+
+
+def page_blocks(html: str) -> tuple[int, list[int], list[int]]:
+    """A digest of the page's content, the digests of all of its blocks, and the length of each in the content (0 outside)."""
+    root = parse(html)
+    texts = [b for n in _heaviest(root) for b in blocks(n)]
+    sizes = dict.fromkeys(map(digest, blocks(root)), 0)
+    for t in texts:
+        d = digest(t)
+        sizes[d] = sizes.get(d, 0) + len(t)
+    return digest("\n".join(texts)), list(sizes), list(sizes.values())
+
+
+def _with_host(rows: DataFrame, hosts: DataFrame, how: str = "inner") -> DataFrame:
+    """rows joined with a table of one small row for each host."""
+    return rows.join(F.broadcast(hosts) if hosts.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS else hosts, "host", how)
+
+
+def _common(seen: DataFrame, weight, name: str) -> tuple[DataFrame, DataFrame]:
+    """(host, n): weight of all rows of a host; (host, name): the blocks on nearly all of them, for hosts with MIN_PAGES of them."""
+    n = materialize(seen.groupBy("host").agg(weight.alias("n")).filter(F.col("n") >= MIN_PAGES), "host-pages")
+    counts = seen.select("host", "near", F.explode("digests").alias("digest")).groupBy("host", "digest").agg(weight.alias("held")).filter("held >= 2")
+    most = _with_host(counts, n).filter(F.col("held") >= CONSTANT_SHARE * F.col("n"))
+    return n, materialize(most.groupBy("host").agg(F.sort_array(F.collect_list("digest")).alias(name)), name)
 
 
 def induce_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, wrapper): one row for each host with enough distinct pages."""
-    rows = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).filter("html is not null and html <> ''")
-    order = Window.partitionBy("host").orderBy(F.xxhash64("html"), "html")
+    """(host, wrapper): one row for each host with enough unlike pages."""
+    rows = pages.select(host_of(F.col(url_col)).alias("host"), F.xxhash64(html_col).alias("h"), F.col(html_col).alias("html")).filter("html is not null and html <> ''")
+
+    def read(batch: pa.RecordBatch) -> list[pa.Array]:
+        made = [page_blocks(h) for h in batch.column("html").to_pylist()]
+        kinds = pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())
+        return [pa.array([m[i] for m in made], kind) for i, kind in enumerate(kinds)]
+
+    read_pages = with_arrow_columns(rows, read, {"content": "long", "digests": "array<long>", "sizes": "array<long>"}, drop=("html",))
+    once = read_pages.groupBy("host", "content").agg(F.min(F.struct("h", "digests", "sizes")).alias("page"))
+    seen = materialize(once.select("host", "content", "page.*", F.lit(False).alias("near")), "page-blocks")
+    _, shared = _common(seen, F.count(F.lit(1)), "shared")
+
+    def mostly_shared(batch: pa.RecordBatch) -> list[pa.Array]:
+        near = []
+        for digests, sizes, shared in zip(*(batch.column(c).to_pylist() for c in ("digests", "sizes", "shared")), strict=True):
+            shared = frozenset(shared or ())
+            near.append(bool(shared) and sum(n for d, n in zip(digests, sizes, strict=True) if d in shared) >= NEAR_SHARE * sum(sizes))
+        return [pa.array(near, pa.bool_())]
+
+    told = materialize(with_arrow_columns(_with_host(seen, shared, "left"), mostly_shared, {"near": "boolean"}, drop=("sizes", "shared")), "near-copies")
+    n, template = _common(told, F.count_if(~F.col("near")) + F.max(F.col("near").cast("int")), "template")
+
+    articles = told.groupBy("host", "near", F.when(~F.col("near"), F.col("content")).alias("article")).agg(F.min("h").alias("h"))
+    order = Window.partitionBy("host").orderBy("h", "article")
     # row_number() <= PAGES is limited within each task before the shuffle, so a hot host sends PAGES rows a task
-    few = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= PAGES).drop("rank")
+    few = articles.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= PAGES).select("host", "h")
+    few = materialize(_with_host(few, n).drop("n").distinct(), "aligned-pages")
+    few = F.broadcast(few) if few.limit(PAGES * BROADCAST_HOSTS + 1).count() <= PAGES * BROADCAST_HOSTS else few
+    aligned = rows.join(few, ["host", "h"]).groupBy("host", "h").agg(F.min("html").alias("html")).join(template, "host", "left")
 
     def make(part: pd.DataFrame) -> pd.DataFrame:
-        wrapper = induce(part.html.drop_duplicates().tolist())
+        part = part.sort_values("h")
+        constant = part.template.iloc[0]
+        wrapper = induce(part.html.tolist(), [] if constant is None else [int(d) for d in constant])
         return pd.DataFrame({"host": part.host.iloc[:1], "wrapper": [wrapper]}).dropna()
 
-    return few.groupBy("host").applyInPandas(make, "host string, wrapper string")
+    return aligned.groupBy("host").applyInPandas(make, "host string, wrapper string")
 
 
 def extract_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
