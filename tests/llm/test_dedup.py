@@ -206,3 +206,30 @@ def test_range_join(spark, monkeypatch):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("v", F.lit(1))
     assert {r.vec_id: (r.n_links, r.component_id) for r in range_join.link_vectors(df).collect()} == vectors_brute(rows)
     assert range_join.link_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_null_and_repeated_ids(spark):
+    """Rows by (id, text): the join and the pipeline's stage lose none of them and keep one of each group."""
+    import corpus_pipeline
+
+    text = lambda seed, n=60: [f"w{seed}x{i}" for i in range(n)]
+    one, two, three, four = (text(k) for k in range(4))
+    big = (1 << 53) + 1
+    rows = [
+        (None, one), (7, [*one, "more"]), (None, one), (big, one),  # a group whose first row has no id
+        (None, two), (None, [*two, "x"]),  # a group without any id
+        (9, three), (9, four), (3, [*four, "y"]),  # one id, two documents, the second with a near copy
+        (9, three), (4, []), (None, []), (None, []), (big + 1, text(5)),
+    ]
+    rows = [(i, " ".join(t), k) for k, (i, t) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").repartition(1).sortWithinPartitions("n_chars")
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in ngram_join.near_duplicates(df).collect())
+    want = [(None, 56, 7), (7, 57, 7), (None, 56, 7), (big, 56, 7), (None, 56, None), (None, 57, None), (9, 56, 9), (9, 56, 3), (3, 57, 3), (9, 56, 9), (4, 0, 4), (None, 0, None), (None, 0, None), (big + 1, 56, big + 1)]
+    assert got == sorted((i or 0, n, c or 0) for i, n, c in want)
+    kept = corpus_pipeline.keep_one_of_each(spark, df, "")
+    assert kept.columns == df.columns
+    left = [r.n_chars for r in kept.collect()]
+    assert len(set(left) & {4, 5}) == 1 and sorted(set(left) - {4, 5}) == [1, 6, 8, 10, 11, 12, 13] and len(left) == 8
+    # a batch without any word
+    bare = spark.createDataFrame([(None, ""), (1, None)], DOCS).coalesce(1)
+    assert sorted(r.component_id or 0 for r in ngram_join.near_duplicates(bare).collect()) == [0, 1]

@@ -21,7 +21,9 @@ verified only members in different components pair up, if sizes and sketches all
 All pairs are verified exactly on the sets; links lead to components. The join misses no similar pair.
 
 Defined results: A-Z is lower-cased, words are separated by space and \\t \\n \\v \\f \\r; null, empty and blank texts have
-an empty set and link with nothing; fewer than five words are one shingle; repeated rows are copies.
+an empty set and link with nothing; fewer than five words are one shingle; repeated rows are copies. Rows are told apart by
+a 64-bit key of id and text, so ids may be null, repeated with other texts, or of any type that hashes; component_id is the
+smallest id of the component, null if all of its ids are.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.common import load, materialize, mix64, shingle_sets, slices, text_bytes, total_bytes, with_arrow_columns
@@ -152,8 +154,13 @@ def _sketches(hashes: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * (SKETCH // 64), pa.int32()), pa.array(longs))
 
 
+def row_key(text_col: str = "text", id_col: str = "doc_id") -> Column:
+    """A key that is never null: equal where id and text are."""
+    return F.xxhash64(F.col(id_col).isNull(), id_col, text_col)
+
+
 def set_digests(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """(doc_id, n_shingles, d1, d2, sketch) of every row."""
+    """(doc_id, key, n_shingles, d1, d2, sketch) of every row."""
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
         n, one, two, sketch = [], [], [], []
@@ -168,7 +175,7 @@ def set_digests(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
         cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
         return [cat(n), cat(one), cat(two), pa.concat_arrays(sketch) if sketch else pa.array([], pa.list_(pa.int64()))]
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), row_key(text_col, id_col).alias("key"), F.col(text_col).alias("text"))
     return with_arrow_columns(rows, make, {"n_shingles": "long", "d1": "long", "d2": "long", "sketch": "array<long>"}, drop=("text",))
 
 
@@ -177,7 +184,7 @@ def _blocks(docs: DataFrame, text_col: str, id_col: str, n_buckets: int) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), text_bytes(batch.column(1))
+            ids, texts = batch.column(0).to_numpy(), text_bytes(batch.column(1))
             seen: set[tuple[int, int]] = set()
             for a, b in slices(texts):
                 hashes, offsets = shingle_sets(texts[a:b], WIDTH)
@@ -196,13 +203,13 @@ def _blocks(docs: DataFrame, text_col: str, id_col: str, n_buckets: int) -> Data
                 own, sign, bucket = own[order], sign[order].astype(np.uint32), bucket[order]
                 names, first = np.unique(bucket, return_index=True)
                 blocks = []
-                for lo, hi in zip(first, [*first[1:], len(own)], strict=True):
+                for lo, hi in zip(first, np.append(first, len(own))[1:], strict=True):
                     here, runs = np.unique(own[lo:hi], return_counts=True)
                     head = np.array([len(here)], np.int64).tobytes()
-                    blocks.append(head + ids[a:b][fresh[here]].astype(np.int64).tobytes() + runs.astype(np.int32).tobytes() + sign[lo:hi].tobytes())
+                    blocks.append(head + ids[a:b][fresh[here]].tobytes() + runs.astype(np.int32).tobytes() + sign[lo:hi].tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int64)), pa.array(blocks, pa.binary())], ["bucket", "block"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, "bucket long, block binary")
+    return docs.select(row_key(text_col, id_col), text_col).mapInArrow(run, "bucket long, block binary")
 
 
 def _unpack(block: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -292,15 +299,15 @@ MAY_LINK = """5 * least(x.n_shingles, y.n_shingles) >= 4 * greatest(x.n_shingles
 
 
 def _representatives(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """pairs (a, b) with each document replaced by the smallest of its class of equal sets; distinct, and possible by size and sketch."""
-    named = pairs.join(classes.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra")), "a").join(classes.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb")), "b")
+    """pairs (a, b) with each key replaced by the smallest of its class of equal sets; distinct, and possible by size and sketch."""
+    named = pairs.join(classes.select(F.col("key").alias("a"), F.col("rep").alias("ra")), "a").join(classes.select(F.col("key").alias("b"), F.col("rep").alias("rb")), "b")
     found = named.filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
     return _possible(found, classes)
 
 
 def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    one = classes.select(F.col("doc_id").alias("a"), F.struct("n_shingles", "sketch").alias("x"))
-    two = classes.select(F.col("doc_id").alias("b"), F.struct("n_shingles", "sketch").alias("y"))
+    one = classes.select(F.col("key").alias("a"), F.struct("n_shingles", "sketch").alias("x"))
+    two = classes.select(F.col("key").alias("b"), F.struct("n_shingles", "sketch").alias("y"))
     return pairs.join(one, "a").join(two, "b").filter(MAY_LINK).select("a", "b")
 
 
@@ -308,7 +315,7 @@ def verify(pairs: DataFrame, docs: DataFrame, text_col: str, id_col: str) -> Dat
     """The pairs (a, b) whose texts' shingle sets have 100 * |intersection| >= 80 * |union|."""
     ids = materialize(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "_need"), "pair-ids")
     need = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(need, F.col("id") == F.col("_need")).drop("_need")
+    texts = docs.select(row_key(text_col, id_col).alias("id"), F.col(text_col).alias("text")).join(need, F.col("id") == F.col("_need")).drop("_need")
 
     def sets(batch: pa.RecordBatch) -> list[pa.Array]:
         out = []
@@ -339,10 +346,33 @@ def verify(pairs: DataFrame, docs: DataFrame, text_col: str, id_col: str) -> Dat
 
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", small: int = SMALL) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs; groups of up to small sets yield their pairs at once."""
+    return labelled(docs, text_col, id_col, small).select("doc_id", "n_shingles", "component_id")
+
+
+def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """One row of each component: that with the smallest id (null last); rows without words all stay."""
+    rows = materialize(labelled(docs, text_col, id_col).select("doc_id", "key", "n_shingles", "component"), "labelled")
+    copies = rows.filter("n_shingles > 0").groupBy("component", "key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+    first = copies.groupBy("component").agg(F.min_by(F.struct("key", "copies"), F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first"))
+    empty = rows.filter("n_shingles = 0").select(F.col("key").alias("_kept"), F.lit(1).cast("long").alias("copies")).distinct()
+    kept = materialize(first.select(F.col("first.key").alias("_kept"), F.col("first.copies").alias("copies")).unionByName(empty), "kept")
+    keyed = docs.withColumn("_key", row_key(text_col, id_col))
+    out = keyed.join(kept.filter("copies = 1"), F.col("_key") == F.col("_kept"), "left_semi").select(*docs.columns)
+    again = kept.filter("copies > 1")
+    if again.limit(1).count():  # rows equal in id and text: the smallest by all columns
+        same = keyed.join(again, F.col("_key") == F.col("_kept"), "left_semi")
+        out = out.unionByName(same.groupBy("_key").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*"))
+    return out
+
+
+def labelled(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", small: int = SMALL) -> DataFrame:
+    """(doc_id, key, n_shingles, component, component_id) for each row of docs: component is a key, component_id the smallest id."""
     sets = materialize(set_digests(docs, text_col, id_col), "set-digests")
-    reps = sets.filter("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-    classes = materialize(sets.join(reps, ["d1", "d2"], "left").select("doc_id", "n_shingles", "sketch", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep")), "classes")
-    known = classes.dropDuplicates(["doc_id"])
+    some = F.col("n_shingles") > 0
+    reps = sets.filter(some).groupBy("d1", "d2").agg(F.min("key").alias("rep"), F.min("doc_id").alias("name"))
+    named = sets.join(reps, ["d1", "d2"], "left").select("doc_id", "key", "n_shingles", "sketch", *(F.when(some, F.col(c)).otherwise(F.col(o)).alias(c) for c, o in (("rep", "key"), ("name", "doc_id"))))
+    classes = materialize(named, "classes")
+    known = classes.dropDuplicates(["key"])
     n_buckets = max(16, total_bytes(docs, text_col)[1] // BUCKET_BYTES)
     met = materialize(_blocks(docs, text_col, id_col, n_buckets).groupBy("bucket").applyInArrow(lambda t: _meet(t, small), "a long, b long, hot long"), "met")
     pairs = materialize(_representatives(met.filter("hot is null").select("a", "b").distinct(), known), "pairs")
@@ -350,8 +380,8 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     labels = components(links)
 
     # members of large groups that the first round left in different components
-    reps = known.select("doc_id", "rep")
-    hot = met.filter("hot is not null").select("hot", F.col("a").alias("doc_id")).join(reps, "doc_id").select("hot", F.col("rep").alias("id"))
+    reps = known.select("key", "rep")
+    hot = met.filter("hot is not null").select("hot", F.col("a").alias("key")).join(reps, "key").select("hot", F.col("rep").alias("id"))
     hot = materialize(hot, "hot")
     for turn in range(LEADERS):  # other leaders first: what they link needs no pairs of members below
         named = hot.join(labels, "id", "left").select("hot", "id", F.coalesce("component_id", "id").alias("label"))
@@ -365,7 +395,7 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
         labels = components(links)
     hot = materialize(hot.join(labels, "id", "left").select("hot", "id", F.coalesce("component_id", "id").alias("label")), "hot-labels")
     mixed = hot.groupBy("hot").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("hot")
-    open_ = hot.join(mixed, "hot").distinct().join(known.select(F.col("doc_id").alias("id"), "n_shingles", "sketch"), "id")
+    open_ = hot.join(mixed, "hot").distinct().join(known.select(F.col("key").alias("id"), "n_shingles", "sketch"), "id")
     open_ = materialize(open_, "open")
     if open_.limit(1).count():
         x, y = open_.alias("x"), open_.alias("y")
@@ -375,9 +405,12 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
         more = materialize(verify(late, docs, text_col, id_col), "late-links")
         if more.limit(1).count():
             labels = components(links.unionByName(more))
-    labels = labels.withColumnRenamed("id", "_id")
+    names = known.filter("key = rep").select(F.col("key").alias("id"), "name").join(labels, "id")
+    names = materialize(names.groupBy("component_id").agg(F.min("name").alias("_name")), "names")
+    labels = labels.join(names, "component_id").select(F.col("id").alias("_id"), F.col("component_id").alias("_component"), "_name")
     out = classes.join(labels, classes["rep"] == labels["_id"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
+    named = F.when(F.col("_id").isNull(), F.col("name")).otherwise(F.col("_name"))
+    return out.select("doc_id", "key", "n_shingles", F.coalesce("_component", "rep").alias("component"), named.alias("component_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
