@@ -14,11 +14,18 @@ similar pair has at most k = 2 * largest size / 9 elements. The shingle domain i
 A signature without any element is emitted crossed with the set's signatures under another hash seed, which a similar
 pair shares as well, so that short documents do not meet in one group.
 
-Sets that are equal are collapsed first (128-bit digests). Signatures travel as packed blocks, one per Arrow batch and
-bucket, with equal sets of a batch once. A group of up to SMALL sets with a common signature yields its pairs; larger
-ones are merged where they hold mostly the same sets, yield the pairs with their first member, and after these are
-verified only members in different components pair up, if sizes and sketches allow.
-All pairs are verified exactly on the sets; links lead to components. The join misses no similar pair.
+Sets that are equal are collapsed first (128-bit digests). Only connected components are wanted, so the join runs twice:
+
+1. Under the SEEDS smallest of their signatures sets meet the smallest set that shares one. What is linked there, most of
+   each family of near copies, has a label from then on.
+2. Under all signatures labels meet: blocks hold one set of each label for a signature, so a family that a third of all
+   documents belong to sends one row a batch. A signature with one label says nothing new; of up to SMALL labels each two
+   pair up by these sets, more labels pair up with the first and form an open group.
+3. Labels that met without a link are compared set by set in tiles of TILE x TILE, by sizes and parity sketches: at first
+   the NEAREST for each set, then all that are left in different components.
+
+All pairs are verified on the sets (64-bit hashes of their shingles); links lead to components. No similar pair of
+different components is left out.
 
 Defined results: A-Z is lower-cased, words are separated by space and \\t \\n \\v \\f \\r; null, empty and blank texts have
 an empty set and link with nothing; fewer than five words are one shingle; repeated rows are copies. Rows are told apart by
@@ -40,9 +47,11 @@ from textloom.llm.common import load, materialize, mix64, shingle_sets, slices,
 from textloom.llm.components import components
 
 WIDTH = 5
-SMALL, LEADERS = 8, 2
+SEEDS, SMALL, NEAREST, TILE = 4, 8, 2, 1024
 SKETCH = 1024
-BUCKET_BYTES = 16 << 20
+SALTS = 16
+BUCKET_BYTES = 8 << 20
+TILE_ROWS = 16_384
 BROADCAST_IDS = 500_000
 U64 = np.uint64
 
@@ -145,13 +154,28 @@ def _digests(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return out[0], out[1]
 
 
-def _sketches(hashes: np.ndarray, offsets: np.ndarray) -> pa.Array:
+def _sketches(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The parity of each set's elements in SKETCH bins: the bins in which two sketches differ bound their symmetric difference below."""
     n = len(offsets) - 1
     slot = np.repeat(np.arange(n), np.diff(offsets)) * SKETCH + (mix64(hashes + U64(0x2545F4914F6CDD1D)) % U64(SKETCH)).astype(np.int64)
     odd = (np.bincount(slot, minlength=n * SKETCH) & 1).astype(np.uint8)
-    longs = np.packbits(odd, bitorder="little").view(np.int64)
-    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * (SKETCH // 64), pa.int32()), pa.array(longs))
+    return np.packbits(odd, bitorder="little")
+
+
+def _seeds(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The SEEDS smallest signatures of each set (fewer if it has fewer) and the offset of each set."""
+    own, sign = signatures(hashes, offsets)
+    order = np.lexsort((sign, own))
+    own, sign = own[order], sign[order]
+    at = np.searchsorted(own, np.arange(len(offsets)))
+    low = np.arange(len(own)) - at[own] < SEEDS
+    return sign[low], np.searchsorted(own[low], np.arange(len(offsets)))
+
+
+def _subset(hashes: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.diff(offsets)[which]
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    return hashes[np.repeat(offsets[which] - at[:-1], sizes) + np.arange(at[-1])], at
 
 
 def row_key(text_col: str = "text", id_col: str = "doc_id") -> Column:
@@ -160,10 +184,10 @@ def row_key(text_col: str = "text", id_col: str = "doc_id") -> Column:
 
 
 def set_digests(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """(doc_id, key, n_shingles, d1, d2, sketch) of every row."""
+    """(doc_id, key, n_shingles, d1, d2, sketch, seeds) of every row."""
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
-        n, one, two, sketch = [], [], [], []
+        n, one, two, sketch, seeds, many = [], [], [], [], [], []
         texts = text_bytes(batch.column("text"))
         for a, b in slices(texts):
             hashes, offsets = shingle_sets(texts[a:b], WIDTH)
@@ -171,59 +195,66 @@ def set_digests(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
             n.append(np.diff(offsets))
             one.append(d1.view(np.int64))
             two.append(d2.view(np.int64))
-            sketch.append(_sketches(hashes, offsets))
-        cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
-        return [cat(n), cat(one), cat(two), pa.concat_arrays(sketch) if sketch else pa.array([], pa.list_(pa.int64()))]
+            _, first, again = np.unique(np.stack([d1, d2], axis=1), axis=0, return_index=True, return_inverse=True)
+            again = again.reshape(-1)
+            hashes, offsets = _subset(hashes, offsets, first)
+            sketch.append(_sketches(hashes, offsets).reshape(-1, SKETCH // 8)[again].reshape(-1))
+            values, at = _subset(*_seeds(hashes, offsets), again)
+            seeds.append(values.view(np.int64))
+            many.append(np.diff(at))
+        cat = lambda x, kind=np.int64: np.concatenate(x) if x else np.zeros(0, kind)
+        held = pa.FixedSizeBinaryArray.from_buffers(pa.binary(SKETCH // 8), len(texts), [None, pa.py_buffer(cat(sketch, np.uint8).tobytes())]).cast(pa.binary())
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(cat(many))]), pa.int32()), pa.array(cat(seeds), pa.int64()))
+        return [*(pa.array(cat(x), pa.int64()) for x in (n, one, two)), held, lists]
 
     rows = docs.select(F.col(id_col).alias("doc_id"), row_key(text_col, id_col).alias("key"), F.col(text_col).alias("text"))
-    return with_arrow_columns(rows, make, {"n_shingles": "long", "d1": "long", "d2": "long", "sketch": "array<long>"}, drop=("text",))
+    return with_arrow_columns(rows, make, {"n_shingles": "long", "d1": "long", "d2": "long", "sketch": "binary", "seeds": "array<long>"}, drop=("text",))
 
 
-def _blocks(docs: DataFrame, text_col: str, id_col: str, n_buckets: int) -> DataFrame:
-    """(bucket, block): the signatures of an Arrow batch that fall into a bucket; equal sets of the batch once."""
+def _blocks(rows: DataFrame, n_buckets: int) -> DataFrame:
+    """(bucket, block): the signatures of an Arrow batch of (key, label, text) that fall into a bucket, one set for each label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0).to_numpy(), text_bytes(batch.column(1))
-            seen: set[tuple[int, int]] = set()
+            keys, labels, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), text_bytes(batch.column(2))
             for a, b in slices(texts):
                 hashes, offsets = shingle_sets(texts[a:b], WIDTH)
-                d1, d2 = _digests(hashes, offsets)
-                fresh = []
-                for i, key in enumerate(zip(d1.tolist(), d2.tolist(), strict=True)):
-                    if offsets[i + 1] > offsets[i] and key not in seen:
-                        seen.add(key)
-                        fresh.append(i)
-                fresh = np.array(fresh, np.int64)
-                sizes = np.diff(offsets)[fresh]
-                at = np.concatenate([[0], np.cumsum(sizes)])
-                own, sign = signatures(hashes[np.repeat(offsets[fresh] - at[:-1], sizes) + np.arange(at[-1])], at)
+                own, sign = signatures(hashes, offsets)
+                id_, label = keys[a:b], labels[a:b]
+                order = np.lexsort((own, label[own], sign))
+                own, sign = own[order], sign[order]
+                fresh = np.ones(len(own), bool)
+                fresh[1:] = (sign[1:] != sign[:-1]) | (label[own[1:]] != label[own[:-1]])
+                own, sign = own[fresh], sign[fresh]
                 bucket = (sign >> U64(32)) % U64(n_buckets)
-                order = np.lexsort((own, bucket))
+                order = np.lexsort((own, id_[own] == label[own], bucket))  # sets with another label first
                 own, sign, bucket = own[order], sign[order].astype(np.uint32), bucket[order]
                 names, first = np.unique(bucket, return_index=True)
                 blocks = []
                 for lo, hi in zip(first, np.append(first, len(own))[1:], strict=True):
-                    here, runs = np.unique(own[lo:hi], return_counts=True)
-                    head = np.array([len(here)], np.int64).tobytes()
-                    blocks.append(head + ids[a:b][fresh[here]].tobytes() + runs.astype(np.int32).tobytes() + sign[lo:hi].tobytes())
+                    part = own[lo:hi]
+                    starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+                    here, runs = part[starts], np.diff(np.append(starts, len(part)))
+                    other = label[here][id_[here] != label[here]]
+                    head = np.array([len(here), len(other)], np.int64).tobytes()
+                    blocks.append(head + id_[here].tobytes() + other.tobytes() + runs.astype(np.int32).tobytes() + sign[lo:hi].tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int64)), pa.array(blocks, pa.binary())], ["bucket", "block"])
 
-    return docs.select(row_key(text_col, id_col), text_col).mapInArrow(run, "bucket long, block binary")
+    return rows.select("key", "label", "text").mapInArrow(run, "bucket long, block binary")
 
 
-def _unpack(block: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = int(np.frombuffer(block, np.int64, 1)[0])
-    ids = np.frombuffer(block, np.int64, n, 8)
-    runs = np.frombuffer(block, np.int32, n, 8 + 8 * n)
-    return np.repeat(ids, runs), np.frombuffer(block, np.uint32, -1, 8 + 12 * n)
+def _unpack(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set, label, signature) rows of a block."""
+    n, m = np.frombuffer(block, np.int64, 2).tolist()
+    ids = np.frombuffer(block, np.int64, n, 16)
+    labels = np.concatenate([np.frombuffer(block, np.int64, m, 16 + 8 * n), ids[m:]])
+    at = 16 + 8 * (n + m)
+    runs = np.frombuffer(block, np.int32, n, at)
+    return np.repeat(ids, runs), np.repeat(labels, runs), np.frombuffer(block, np.uint32, -1, at + 4 * n)
 
 
 def _merge(groups: list[np.ndarray]) -> list[np.ndarray]:
-    """Fewer groups of which each given one is part: a group joins an earlier one that holds most of it, if that grows little.
-
-    A family of near copies meets under many signatures; its groups differ by a few members.
-    """
+    """Fewer groups of which each given one is part: a group joins an earlier one that holds most of it, if that grows little."""
     merged: list[list[np.ndarray]] = []
     size: list[int] = []
     most: list[int] = []
@@ -246,22 +277,25 @@ def _merge(groups: list[np.ndarray]) -> list[np.ndarray]:
     return [np.unique(np.concatenate(m)) for m in merged]
 
 
+MET = "a long, b long, la long, lb long, hot long"
+
+
 def _meet(table: pa.Table, small: int) -> pa.Table:
-    """Pairs (a, b) and members of large groups (a, null) with their group, of one bucket."""
+    """Of one bucket: pairs of sets a and b of the labels la and lb, and the labels la of open groups (hot)."""
     parts = [_unpack(x) for x in table.column("block").to_pylist()]
-    ids, sign = (np.concatenate([p[i] for p in parts]) for i in range(2))
+    ids, labels, sign = (np.concatenate([p[i] for p in parts]) for i in range(3))
     order = np.argsort(sign, kind="stable")
-    ids, sign = ids[order], sign[order]
+    ids, labels, sign = ids[order], labels[order], sign[order]
     # most signatures are alone: drop them before the exact order
     many = np.zeros(len(sign), bool)
     many[1:] = sign[1:] == sign[:-1]
     many[:-1] |= many[1:]
-    ids, sign = ids[many], sign[many]
-    order = np.lexsort((ids, sign))
-    ids, sign = ids[order], sign[order]
+    ids, labels, sign = ids[many], labels[many], sign[many]
+    order = np.lexsort((ids, labels, sign))
+    ids, labels, sign = ids[order], labels[order], sign[order]
     keep = np.ones(len(ids), bool)
-    keep[1:] = (sign[1:] != sign[:-1]) | (ids[1:] != ids[:-1])
-    ids, sign = ids[keep], sign[keep]
+    keep[1:] = (sign[1:] != sign[:-1]) | (labels[1:] != labels[:-1])
+    ids, labels, sign = ids[keep], labels[keep], sign[keep]
     first = np.flatnonzero(np.concatenate([[True], sign[1:] != sign[:-1]])) if len(sign) else np.zeros(0, np.int64)
     size = np.diff(np.concatenate([first, [len(ids)]]))
     first, size = first[size > 1], size[size > 1]
@@ -269,52 +303,57 @@ def _meet(table: pa.Table, small: int) -> pa.Table:
     for m in range(2, small + 1):
         at = first[size == m]
         for i, j in combinations(range(m), 2):
-            left.append(ids[at + i])
-            right.append(ids[at + j])
+            left.append(at + i)
+            right.append(at + j)
     large: dict[bytes, np.ndarray] = {}
     for at, m in zip(first[size > small], size[size > small], strict=True):
-        own = np.sort(ids[at : at + m])
+        left.append(np.full(m - 1, at))
+        right.append(np.arange(at + 1, at + m))
+        own = labels[at : at + m]
         large.setdefault(own.tobytes(), own)
-    groups: list[np.ndarray] = []
-    members: list[np.ndarray] = []
-    for n, own in enumerate(_merge(list(large.values()))):
-        left.append(np.full(len(own) - 1, own[0]))
-        right.append(own[1:])
-        groups.append(np.full(len(own), int(table.column("bucket")[0].as_py()) << 32 | n))
-        members.append(own)
+    merged = _merge(list(large.values()))
     cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
     a, b = cat(left), cat(right)
-    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-    g, m = cat(groups), cat(members)
-    return pa.table({
-        "a": pa.array(np.concatenate([pairs[:, 0], m]), pa.int64()),
-        "b": pa.concat_arrays([pa.array(pairs[:, 1], pa.int64()), pa.nulls(len(m), pa.int64())]),
-        "hot": pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(g, pa.int64())]),
-    })
+    pairs = np.unique(np.stack([ids[a], ids[b], labels[a], labels[b]], axis=1), axis=0)
+    swap = pairs[:, 0] > pairs[:, 1]
+    pairs[swap] = pairs[swap][:, [1, 0, 3, 2]]
+    pairs = np.unique(pairs, axis=0)
+    hot = cat([np.full(len(g), int(table.column("bucket")[0].as_py()) << 32 | n) for n, g in enumerate(merged)])
+    none = pa.nulls(len(hot), pa.int64())
+    columns = [pa.concat_arrays([pa.array(pairs[:, i], pa.int64()), pa.array(cat(merged), pa.int64()) if i == 2 else none]) for i in range(4)]
+    return pa.table([*columns, pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(hot, pa.int64())])], ["a", "b", "la", "lb", "hot"])
 
 
-#: Of two sets x and y: sizes and parity sketches allow a similarity of 0.8 (the difference is at most a ninth of the sizes' sum).
-MAY_LINK = """5 * least(x.n_shingles, y.n_shingles) >= 4 * greatest(x.n_shingles, y.n_shingles)
-  and 9 * aggregate(zip_with(x.sketch, y.sketch, (a, b) -> bit_count(a ^ b)), 0, (a, b) -> a + b) <= x.n_shingles + y.n_shingles"""
+def _may_link(n1: np.ndarray, n2: np.ndarray, differ: np.ndarray) -> np.ndarray:
+    """Sizes and the number of bins in which two sketches differ allow a similarity of 0.8 (the difference is at most a ninth of the sizes' sum)."""
+    return (5 * np.minimum(n1, n2) >= 4 * np.maximum(n1, n2)) & (9 * differ <= n1 + n2)
 
 
-def _representatives(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """pairs (a, b) with each key replaced by the smallest of its class of equal sets; distinct, and possible by size and sketch."""
-    named = pairs.join(classes.select(F.col("key").alias("a"), F.col("rep").alias("ra")), "a").join(classes.select(F.col("key").alias("b"), F.col("rep").alias("rb")), "b")
-    found = named.filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-    return _possible(found, classes)
+def _words(sketches: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches.to_pylist()), np.uint64).reshape(-1, SKETCH // 64)
 
 
-def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    one = classes.select(F.col("key").alias("a"), F.struct("n_shingles", "sketch").alias("x"))
-    two = classes.select(F.col("key").alias("b"), F.struct("n_shingles", "sketch").alias("y"))
-    return pairs.join(one, "a").join(two, "b").filter(MAY_LINK).select("a", "b")
+def _possible(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs (a, b and other columns) that sizes and sketches allow."""
+    one = known.select(F.col("key").alias("a"), F.col("n_shingles").alias("_na"), F.col("sketch").alias("_sa"))
+    two = known.select(F.col("key").alias("b"), F.col("n_shingles").alias("_nb"), F.col("sketch").alias("_sb"))
+    near = pairs.join(one, "a").join(two, "b").filter("5 * least(_na, _nb) >= 4 * greatest(_na, _nb)")
+    names = pairs.columns
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = batch.column("_na").to_numpy(), batch.column("_nb").to_numpy()
+            differ = np.bitwise_count(_words(batch.column("_sa")) ^ _words(batch.column("_sb"))).sum(axis=1, dtype=np.int64)
+            mask = pa.array(_may_link(na, nb, differ), pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in names], names)
+
+    return near.select(*names, "_na", "_nb", "_sa", "_sb").mapInArrow(check, pairs.schema)
 
 
 def verify(pairs: DataFrame, docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """The pairs (a, b) whose texts' shingle sets have 100 * |intersection| >= 80 * |union|."""
+    """The pairs (a, b and other columns) whose texts' shingle sets have 100 * |intersection| >= 80 * |union|."""
     ids = materialize(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "_need"), "pair-ids")
-    need = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    need = F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
     texts = docs.select(row_key(text_col, id_col).alias("id"), F.col(text_col).alias("text")).join(need, F.col("id") == F.col("_need")).drop("_need")
 
     def sets(batch: pa.RecordBatch) -> list[pa.Array]:
@@ -326,26 +365,108 @@ def verify(pairs: DataFrame, docs: DataFrame, text_col: str, id_col: str) -> Dat
         return [pa.array(out, pa.binary())]
 
     held = materialize(with_arrow_columns(texts, sets, {"elements": "binary"}, drop=("text",)).dropDuplicates(["id"]), "sets")
-    both = pairs.join(held.select(F.col("id").alias("b"), F.col("elements").alias("right")), "b")
-    both = both.join(held.select(F.col("id").alias("a"), F.col("elements").alias("left")), "a").select("a", "b", "left", "right")
+    both = pairs.join(held.select(F.col("id").alias("b"), F.col("elements").alias("_right")), "b")
+    names = pairs.columns
+    both = both.join(held.select(F.col("id").alias("a"), F.col("elements").alias("_left")), "a").select(*names, "_left", "_right")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            for x, y in zip(batch.column("_left"), batch.column("_right"), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 z = np.concatenate([x, y])
                 z.sort(kind="stable")
                 common = int((z[1:] == z[:-1]).sum())
                 good.append(100 * common >= 80 * (len(z) - common))
             mask = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in names], names)
+
+    return both.mapInArrow(check, pairs.schema)
+
+
+def _seed_pairs(known: DataFrame) -> DataFrame:
+    """(a, b): each set with the smallest set that shares a seed. Members of a seed are spread over salts, so that a hot one is no hot task."""
+    seeds = known.select("key", F.explode("seeds").alias("seed"))
+    lead = seeds.groupBy("seed").agg(F.min("key").alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    lead = lead.select("seed", "lead", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    members = seeds.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+    return members.join(lead, ["seed", "salt"]).filter("key <> lead").select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b")).distinct()
 
-    return both.mapInArrow(check, "a long, b long")
+
+def _tile(table: pa.Table, nearest: int) -> pa.Table:
+    """Pairs of sets of different labels in the tiles of one task that may link; of each right set the nearest (0: all)."""
+    order = table.sort_by([("tile", "ascending"), ("side", "ascending"), ("id", "ascending")])
+    tile, side = order.column("tile").to_numpy(), order.column("side").to_numpy()
+    ids, labels, n = (order.column(c).to_numpy() for c in ("id", "label", "n_shingles"))
+    words = _words(order.column("sketch"))
+    out = []
+    edges = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1], [True]])) if len(tile) else np.zeros(1, np.int64)
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        cut = lo + int(np.searchsorted(side[lo:hi], 1))
+        for x in range(cut, hi, 64):
+            right = np.arange(x, min(x + 64, hi))
+            j, i = np.nonzero(
+                (labels[right][:, None] != labels[None, lo:cut]) & (ids[right][:, None] != ids[None, lo:cut])
+                & (5 * np.minimum(n[right][:, None], n[None, lo:cut]) >= 4 * np.maximum(n[right][:, None], n[None, lo:cut]))
+            )
+            for at in range(0, len(i), 1 << 15):
+                j1, i1 = right[j[at : at + (1 << 15)]], lo + i[at : at + (1 << 15)]
+                differ = np.bitwise_count(words[j1] ^ words[i1]).sum(axis=1, dtype=np.int64)
+                good = _may_link(n[j1], n[i1], differ)
+                out.append(np.stack([j1[good], i1[good], differ[good]], axis=1))
+    found = np.concatenate(out) if out else np.zeros((0, 3), np.int64)
+    if nearest and len(found):
+        found = found[np.lexsort((found[:, 1], found[:, 2], found[:, 0]))]
+        begin = np.searchsorted(found[:, 0], found[:, 0])
+        found = found[np.arange(len(found)) - begin < nearest]
+    j, i = found[:, 0], found[:, 1]
+    swap = ids[i] > ids[j]
+    a, b = np.where(swap, j, i), np.where(swap, i, j)
+    pairs = np.unique(np.stack([ids[a], ids[b], labels[a], labels[b]], axis=1), axis=0)
+    return pa.table([pa.array(pairs[:, k], pa.int64()) for k in range(4)], ["a", "b", "la", "lb"])
+
+
+def _open_pairs(met: DataFrame, members: DataFrame, now: DataFrame, nearest: int) -> DataFrame:
+    """(a, b, la, lb): sets of labels that met and are still apart, compared in tiles by sizes and sketches.
+
+    members: (was, id, n_shingles, sketch), was being the label under which a set met; now: (was, label), labels since."""
+    label = lambda df, old, new: df.join(now.select(F.col("was").alias(old), F.col("label").alias(new)), old)
+    part = lambda n: F.pmod(F.xxhash64("id", F.lit(7)), F.greatest(F.ceil(n / F.lit(TILE)), F.lit(1))).cast("int")
+    upto = lambda n: F.greatest(F.ceil(n / F.lit(TILE)), F.lit(1)).cast("int")
+    size = members.groupBy("was").agg(F.count(F.lit(1)).alias("n"))
+
+    # two labels: the sets of the larger one on the left, those of all smaller ones that met it on the right
+    two = label(label(met.filter("hot is null").select("la", "lb").distinct(), "la", "na"), "lb", "nb").filter("na <> nb")
+    two = two.join(size.select(F.col("was").alias("la"), F.col("n").alias("sa")), "la").join(size.select(F.col("was").alias("lb"), F.col("n").alias("sb")), "lb")
+    two = two.filter("sa > 1 or sb > 1")  # two sets alone are compared already
+    first = F.struct(F.col("sa"), F.col("la")) >= F.struct(F.col("sb"), F.col("lb"))
+    pick = lambda x, y, name: F.when(first, F.col(x)).otherwise(F.col(y)).alias(name)
+    two = materialize(two.select(pick("la", "lb", "big"), pick("lb", "la", "small"), pick("sa", "sb", "n_big"), pick("sb", "sa", "n_small")), "open-labels")
+    tasks = two.groupBy("big").agg(F.first("n_big").alias("n_big"), F.sum("n_small").alias("n_right"))
+    each = members.join(now, "was")
+    left = each.join(tasks.withColumnRenamed("big", "was"), "was").withColumn("j", F.explode(F.sequence(F.lit(0), upto(F.col("n_right")) - 1)))
+    left = left.select(F.lit(0).alias("kind"), F.col("was").alias("task"), part(F.col("n_big")).alias("i"), "j", F.lit(0).alias("side"), "id", "label", "n_shingles", "sketch")
+    right = two.select("big", F.col("small").alias("was")).join(tasks, "big").join(each, "was").withColumn("i", F.explode(F.sequence(F.lit(0), upto(F.col("n_big")) - 1)))
+    right = right.select(F.lit(0).alias("kind"), F.col("big").alias("task"), "i", part(F.col("n_right")).alias("j"), F.lit(1).alias("side"), "id", "label", "n_shingles", "sketch")
+
+    # open groups: all of their sets on both sides
+    hot = met.filter("hot is not null").select("hot", F.col("la").alias("was")).distinct()
+    mixed = hot.join(now, "was").join(size, "was").groupBy("hot").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum("n").alias("n_hot")).filter("lo < hi").select("hot", "n_hot")
+    inside = hot.join(mixed, "hot").join(each, "was").withColumn("h", part(F.col("n_hot"))).withColumn("last", upto(F.col("n_hot")) - 1)
+    inside = materialize(inside.select("hot", "h", "last", "id", "label", "n_shingles", "sketch"), "open-groups")
+    keep = ["kind", "task", "i", "j", "side", "id", "label", "n_shingles", "sketch"]
+    one = inside.withColumns({"kind": F.lit(1), "task": F.col("hot"), "i": F.col("h"), "j": F.explode(F.sequence("h", "last")), "side": F.lit(0)})
+    other = inside.withColumns({"kind": F.lit(1), "task": F.col("hot"), "i": F.explode(F.sequence(F.lit(0), F.col("h"))), "j": F.col("h"), "side": F.lit(1)})
+
+    rows = left.unionByName(right).unionByName(one.select(keep)).unionByName(other.select(keep))
+    rows = materialize(rows.select(F.xxhash64("kind", "task", "i", "j").alias("tile"), "side", "id", "label", "n_shingles", "sketch"), "tiles")
+    n_tasks = max(8, rows.count() // TILE_ROWS)
+    found = rows.groupBy(F.pmod("tile", F.lit(n_tasks)).alias("part")).applyInArrow(lambda t: _tile(t, nearest), "a long, b long, la long, lb long")
+    return found.distinct()
 
 
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", small: int = SMALL) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of docs; groups of up to small sets yield their pairs at once."""
+    """(doc_id, n_shingles, component_id) for each row of docs; a signature of up to small labels yields their pairs at once."""
     return labelled(docs, text_col, id_col, small).select("doc_id", "n_shingles", "component_id")
 
 
@@ -365,52 +486,59 @@ def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") ->
     return out
 
 
+def _relabel(now: DataFrame, links: DataFrame) -> DataFrame:
+    """(was, label) after links (la, lb) between labels."""
+    merged = components(links.select(F.col("la").alias("a"), F.col("lb").alias("b"))).withColumnRenamed("id", "label")
+    return now.join(merged, "label", "left").select("was", F.coalesce("component_id", "label").alias("label"))
+
+
 def labelled(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", small: int = SMALL) -> DataFrame:
     """(doc_id, key, n_shingles, component, component_id) for each row of docs: component is a key, component_id the smallest id."""
     sets = materialize(set_digests(docs, text_col, id_col), "set-digests")
     some = F.col("n_shingles") > 0
     reps = sets.filter(some).groupBy("d1", "d2").agg(F.min("key").alias("rep"), F.min("doc_id").alias("name"))
-    named = sets.join(reps, ["d1", "d2"], "left").select("doc_id", "key", "n_shingles", "sketch", *(F.when(some, F.col(c)).otherwise(F.col(o)).alias(c) for c, o in (("rep", "key"), ("name", "doc_id"))))
-    classes = materialize(named, "classes")
-    known = classes.dropDuplicates(["key"])
-    n_buckets = max(16, total_bytes(docs, text_col)[1] // BUCKET_BYTES)
-    met = materialize(_blocks(docs, text_col, id_col, n_buckets).groupBy("bucket").applyInArrow(lambda t: _meet(t, small), "a long, b long, hot long"), "met")
-    pairs = materialize(_representatives(met.filter("hot is null").select("a", "b").distinct(), known), "pairs")
-    links = materialize(verify(pairs, docs, text_col, id_col), "links")
-    labels = components(links)
-
-    # members of large groups that the first round left in different components
-    reps = known.select("key", "rep")
-    hot = met.filter("hot is not null").select("hot", F.col("a").alias("key")).join(reps, "key").select("hot", F.col("rep").alias("id"))
-    hot = materialize(hot, "hot")
-    for turn in range(LEADERS):  # other leaders first: what they link needs no pairs of members below
-        named = hot.join(labels, "id", "left").select("hot", "id", F.coalesce("component_id", "id").alias("label"))
-        lead = named.groupBy("hot").agg(F.min_by(F.struct("id", "label"), F.xxhash64("id", F.lit(turn))).alias("lead"))
-        star = named.join(lead, "hot").filter("label <> lead.label").select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct()
-        star = materialize(_possible(star, known).join(pairs, ["a", "b"], "left_anti"), "star-pairs")
-        if not star.limit(1).count():
+    named = sets.drop("sketch", "seeds").join(reps, ["d1", "d2"], "left")
+    classes = materialize(named.select("doc_id", "key", "n_shingles", *(F.when(some, F.col(c)).otherwise(F.col(o)).alias(c) for c, o in (("rep", "key"), ("name", "doc_id")))), "classes")
+    known = sets.filter(some).select("key", "n_shingles", "sketch", "seeds").join(reps.select("rep"), F.col("key") == F.col("rep"), "left_semi").dropDuplicates(["key"])
+    known = materialize(known, "representatives")
+    to_verify = lambda pairs: verify(pairs, docs, text_col, id_col)
+
+    # 1: sets that share one of their smallest signatures
+    tried = materialize(_possible(_seed_pairs(known), known), "seed-pairs")
+    labels = materialize(components(to_verify(tried)), "labels").withColumnRenamed("component_id", "label")
+
+    # 2: all signatures, one set of each label; copies stay out
+    marks = classes.filter("n_shingles > 0").select("key", "rep").distinct().join(labels.withColumnRenamed("id", "rep"), "rep", "left")
+    marks = materialize(marks.filter("key <> rep or label is not null").select(F.col("key").alias("_marked"), F.when(F.col("key") == F.col("rep"), F.col("label")).alias("_label")), "marks")
+    few = marks.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    rows = docs.select(row_key(text_col, id_col).alias("key"), F.col(text_col).alias("text"))
+    rows = rows.join(F.broadcast(marks) if few else marks, F.col("key") == F.col("_marked"), "left").filter("_marked is null or _label is not null")
+    rows = rows.select("key", F.coalesce("_label", "key").alias("label"), "text")
+    n_buckets = max(8, total_bytes(docs, text_col)[1] // BUCKET_BYTES)
+    met = materialize(_blocks(rows, n_buckets).groupBy("bucket").applyInArrow(lambda t: _meet(t, small), MET), "met")
+    pairs = met.filter("hot is null").select("a", "b", "la", "lb").distinct().join(tried, ["a", "b"], "left_anti")
+    pairs = materialize(_possible(pairs, known), "pairs")
+    tried = tried.unionByName(pairs.select("a", "b"))
+    members = known.select(F.col("key").alias("id"), "n_shingles", "sketch").join(labels, "id", "left")
+    members = materialize(members.select(F.coalesce("label", "id").alias("was"), "id", "n_shingles", "sketch"), "members")
+    now = members.select("was", F.col("was").alias("label")).distinct()
+    now = materialize(_relabel(now, to_verify(pairs)), "labels-now")
+
+    # 3: sets of labels that met but stayed apart
+    for nearest in (NEAREST, 0):
+        late = materialize(_open_pairs(met, members, now, nearest).join(tried, ["a", "b"], "left_anti"), "late-pairs")
+        if not late.limit(1).count():
+            if nearest:
+                continue
             break
-        pairs = pairs.unionByName(star)
-        links = links.unionByName(materialize(verify(star, docs, text_col, id_col), "star-links"))
-        labels = components(links)
-    hot = materialize(hot.join(labels, "id", "left").select("hot", "id", F.coalesce("component_id", "id").alias("label")), "hot-labels")
-    mixed = hot.groupBy("hot").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("hot")
-    open_ = hot.join(mixed, "hot").distinct().join(known.select(F.col("key").alias("id"), "n_shingles", "sketch"), "id")
-    open_ = materialize(open_, "open")
-    if open_.limit(1).count():
-        x, y = open_.alias("x"), open_.alias("y")
-        near = f"x.hot = y.hot and x.id < y.id and x.label <> y.label and {MAY_LINK}"
-        late = x.join(y, F.expr(near)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-        late = materialize(late.join(pairs, ["a", "b"], "left_anti"), "late-pairs")
-        more = materialize(verify(late, docs, text_col, id_col), "late-links")
-        if more.limit(1).count():
-            labels = components(links.unionByName(more))
-    names = known.filter("key = rep").select(F.col("key").alias("id"), "name").join(labels, "id")
-    names = materialize(names.groupBy("component_id").agg(F.min("name").alias("_name")), "names")
-    labels = labels.join(names, "component_id").select(F.col("id").alias("_id"), F.col("component_id").alias("_component"), "_name")
-    out = classes.join(labels, classes["rep"] == labels["_id"], "left")
-    named = F.when(F.col("_id").isNull(), F.col("name")).otherwise(F.col("_name"))
-    return out.select("doc_id", "key", "n_shingles", F.coalesce("_component", "rep").alias("component"), named.alias("component_id"))
+        tried = tried.unionByName(late.select("a", "b"))
+        now = materialize(_relabel(now, to_verify(late)), "labels-now")
+
+    final = members.select("was", F.col("id").alias("rep")).join(now, "was").select("rep", "label")
+    out = classes.join(final, "rep", "left").withColumn("component", F.coalesce("label", "rep"))
+    out = materialize(out.select("doc_id", "key", "n_shingles", "component", "name"), "components")
+    names = out.groupBy("component").agg(F.min("name").alias("component_id"))
+    return out.drop("name").join(names, "component").select("doc_id", "key", "n_shingles", "component", "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
