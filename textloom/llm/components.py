@@ -17,6 +17,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(id, component_id) for every id that occurs in edges (a long, b long); component_id is the smallest id reachable."""
     edges = edges.filter("a <> b").selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct()
     edges = materialize(edges, "edges")
+    if not edges.limit(1).count():
+        return edges.selectExpr("a AS id", "b AS component_id")
     both = edges.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(edges.select(F.col("b").alias("src"), F.col("a").alias("dst")))
     labels = materialize(both.groupBy("src").agg(F.least(F.col("src"), F.min("dst")).alias("label")).withColumnRenamed("src", "id"), "labels")
     for _ in range(max_rounds):

@@ -22,7 +22,7 @@ Sets that are equal are collapsed first (128-bit digests). Only connected compon
    documents belong to sends one row a batch. A signature with one label says nothing new; of up to SMALL labels each two
    pair up by these sets, more labels pair up with the first and form an open group.
 3. Labels that met without a link are compared set by set in tiles of TILE x TILE, by sizes and parity sketches: at first
-   the NEAREST for each set, then all that are left in different components.
+   the NEAREST for each set, then, where a set had more, all that are left in different components.
 
 All pairs are verified on the sets (64-bit hashes of their shingles); links lead to components. No similar pair of
 different components is left out.
@@ -47,7 +47,7 @@ from textloom.llm.common import load, materialize, mix64, shingle_sets, slices,
 from textloom.llm.components import components
 
 WIDTH = 5
-SEEDS, SMALL, NEAREST, TILE = 4, 8, 2, 1024
+SEEDS, SMALL, NEAREST, TILE = 4, 8, 16, 1024
 SKETCH = 1024
 SALTS = 16
 BUCKET_BYTES = 8 << 20
@@ -394,7 +394,7 @@ def _seed_pairs(known: DataFrame) -> DataFrame:
 
 
 def _tile(table: pa.Table, nearest: int) -> pa.Table:
-    """Pairs of sets of different labels in the tiles of one task that may link; of each right set the nearest (0: all)."""
+    """Pairs of sets of different labels in the tiles of one task that may link; of each right set the nearest (0: all), with more set if it had others."""
     order = table.sort_by([("tile", "ascending"), ("side", "ascending"), ("id", "ascending")])
     tile, side = order.column("tile").to_numpy(), order.column("side").to_numpy()
     ids, labels, n = (order.column(c).to_numpy() for c in ("id", "label", "n_shingles"))
@@ -415,19 +415,21 @@ def _tile(table: pa.Table, nearest: int) -> pa.Table:
                 good = _may_link(n[j1], n[i1], differ)
                 out.append(np.stack([j1[good], i1[good], differ[good]], axis=1))
     found = np.concatenate(out) if out else np.zeros((0, 3), np.int64)
+    more = np.zeros(len(found), bool)
     if nearest and len(found):
         found = found[np.lexsort((found[:, 1], found[:, 2], found[:, 0]))]
-        begin = np.searchsorted(found[:, 0], found[:, 0])
-        found = found[np.arange(len(found)) - begin < nearest]
+        begin, end = (np.searchsorted(found[:, 0], found[:, 0], side) for side in ("left", "right"))
+        low = np.arange(len(found)) - begin < nearest
+        found, more = found[low], (end - begin > nearest)[low]
     j, i = found[:, 0], found[:, 1]
     swap = ids[i] > ids[j]
     a, b = np.where(swap, j, i), np.where(swap, i, j)
-    pairs = np.unique(np.stack([ids[a], ids[b], labels[a], labels[b]], axis=1), axis=0)
-    return pa.table([pa.array(pairs[:, k], pa.int64()) for k in range(4)], ["a", "b", "la", "lb"])
+    pairs = np.stack([ids[a], ids[b], labels[a], labels[b]], axis=1)
+    return pa.table([*(pa.array(pairs[:, k], pa.int64()) for k in range(4)), pa.array(more)], ["a", "b", "la", "lb", "more"])
 
 
 def _open_pairs(met: DataFrame, members: DataFrame, now: DataFrame, nearest: int) -> DataFrame:
-    """(a, b, la, lb): sets of labels that met and are still apart, compared in tiles by sizes and sketches.
+    """(a, b, la, lb, more): sets of labels that met and are still apart, compared in tiles by sizes and sketches.
 
     members: (was, id, n_shingles, sketch), was being the label under which a set met; now: (was, label), labels since."""
     label = lambda df, old, new: df.join(now.select(F.col("was").alias(old), F.col("label").alias(new)), old)
@@ -461,8 +463,8 @@ def _open_pairs(met: DataFrame, members: DataFrame, now: DataFrame, nearest: int
     rows = left.unionByName(right).unionByName(one.select(keep)).unionByName(other.select(keep))
     rows = materialize(rows.select(F.xxhash64("kind", "task", "i", "j").alias("tile"), "side", "id", "label", "n_shingles", "sketch"), "tiles")
     n_tasks = max(8, rows.count() // TILE_ROWS)
-    found = rows.groupBy(F.pmod("tile", F.lit(n_tasks)).alias("part")).applyInArrow(lambda t: _tile(t, nearest), "a long, b long, la long, lb long")
-    return found.distinct()
+    found = rows.groupBy(F.pmod("tile", F.lit(n_tasks)).alias("part")).applyInArrow(lambda t: _tile(t, nearest), "a long, b long, la long, lb long, more boolean")
+    return found.groupBy("a", "b", "la", "lb").agg(F.max("more").alias("more"))
 
 
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", small: int = SMALL) -> DataFrame:
@@ -526,13 +528,13 @@ def labelled(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sm
 
     # 3: sets of labels that met but stayed apart
     for nearest in (NEAREST, 0):
-        late = materialize(_open_pairs(met, members, now, nearest).join(tried, ["a", "b"], "left_anti"), "late-pairs")
-        if not late.limit(1).count():
-            if nearest:
-                continue
+        late = materialize(_open_pairs(met, members, now, nearest), "late-pairs")
+        fresh = materialize(late.drop("more").join(tried, ["a", "b"], "left_anti"), "fresh-pairs")
+        if fresh.limit(1).count():
+            tried = tried.unionByName(fresh.select("a", "b"))
+            now = materialize(_relabel(now, to_verify(fresh)), "labels-now")
+        if not late.filter("more").limit(1).count():
             break
-        tried = tried.unionByName(late.select("a", "b"))
-        now = materialize(_relabel(now, to_verify(late)), "labels-now")
 
     final = members.select("was", F.col("id").alias("rep")).join(now, "was").select("rep", "label")
     out = classes.join(final, "rep", "left").withColumn("component", F.coalesce("label", "rep"))
