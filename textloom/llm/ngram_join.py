@@ -5,9 +5,10 @@ each set takes part in the instances of its own band and the next. Within an ins
 similar pair has at most k = 2 * largest size / 9 elements. The shingle domain is hashed into partitions:
 
 * k >= 4: into n > k / 2 partitions of three parts each; at least n - k / 2 partitions of a similar pair differ in one
-  element at most, so two of their parts agree: each two parts of a partition are a signature. Signatures of few elements
-  say little: each set leaves out those below the largest bar that fewer than n - k / 2 of its partitions fall short of.
-  As equal signatures have equally many elements, one that both sets keep remains.
+  element at most, so two of their parts agree: each two parts of a partition are a signature. Signatures of few elements,
+  or of common ones only (passages that many documents share), say little: each set leaves out those below the largest bar
+  that fewer than n - k / 2 of its partitions fall short of. As equal signatures have equally many elements, rare or not,
+  one that both sets keep remains, whatever counts as common.
 * k <= 3: into k + 3 partitions; a similar pair agrees on three of them at least, so every subset of three is a signature.
 * k = 0: similar sets are equal and meet as copies below.
 
@@ -20,7 +21,8 @@ Sets that are equal are collapsed first (128-bit digests). Only connected compon
    each family of near copies, has a label from then on.
 2. Under all signatures labels meet: blocks hold one set of each label for a signature, so a family that a third of all
    documents belong to sends one row a batch. A signature with one label says nothing new; of up to SMALL labels each two
-   pair up by these sets, more labels pair up with the first and form an open group.
+   pair up by these sets; more labels pair up with a label of several sets, and the others form the open group of that
+   label; where all sets are alone, they form an open group.
 3. Labels that met without a link are compared set by set in tiles of TILE x TILE, by sizes and parity sketches: at first
    the NEAREST for each set, then, where a set had more, all that are left in different components.
 
@@ -47,10 +49,12 @@ from textloom.llm.common import load, materialize, mix64, shingle_sets, slices,
 from textloom.llm.components import components
 
 WIDTH = 5
-SEEDS, SMALL, NEAREST, TILE = 4, 8, 16, 1024
+SEEDS, SMALL, NEAREST, TILE = 12, 8, 16, 4096
 SKETCH = 1024
 SALTS = 16
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 16 << 20
+#: Shingles in this share of the sets count as common, told by SLOTS counters; groups of more labels are merged across buckets.
+COMMON_SHARE, SLOTS, LARGE = 0.002, 1 << 20, 64
 TILE_ROWS = 16_384
 BROADCAST_IDS = 500_000
 U64 = np.uint64
@@ -75,7 +79,11 @@ def _shape(instance: int) -> tuple[int, int]:
     return k, (k + 3 if k <= 3 else -(-(k // 2 + 1) * 5 // 4) + 1)
 
 
-def _one_instance(hashes: np.ndarray, offsets: np.ndarray, instance: int, seed: int):
+def _slot(hashes: np.ndarray) -> np.ndarray:
+    return (mix64(hashes ^ U64(0x6A09E667F3BCC909)) >> U64(44)).astype(np.int64)
+
+
+def _one_instance(hashes: np.ndarray, offsets: np.ndarray, instance: int, seed: int, common: np.ndarray | None):
     """Signatures of some sets in an instance: (set, signature) without elements apart: (set, signature), (set, empty signature)."""
     k, n = _shape(instance)
     sizes = np.diff(offsets)
@@ -99,17 +107,20 @@ def _one_instance(hashes: np.ndarray, offsets: np.ndarray, instance: int, seed:
         pair = lambda x: np.stack([x[:, i::3] + x[:, j::3] for i, j in ((0, 1), (0, 2), (1, 2))], axis=2).reshape(len(sizes), slots)
         signs = mix64(pair(content) ^ mix64(np.arange(slots, dtype=np.uint64) * U64(8191) + salt))
         held = pair(filled)
+        if common is not None:
+            rare = np.bincount(slot[~common[_slot(hashes)]], minlength=content.size).reshape(-1, slots)
+            held = held + (pair(rare) << 32)
         # the sets' poorest signatures go: fewer than n - k / 2 partitions may have one below the bar
         agree = n - k // 2
         bar = np.partition(held.reshape(len(sizes), n, 3).min(axis=2), agree - 1, axis=1)[:, agree - 1]
-        some = held >= np.maximum(bar, 1)[:, None]
+        some = held >= np.maximum(bar, 1)[:, None]  # rare elements count first
         needed = (held == 0) & (bar == 0)[:, None]
     a, b = np.nonzero(some), np.nonzero(needed)
     return (a[0], signs[a]), (b[0], signs[b])
 
 
-def signatures(hashes: np.ndarray, offsets: np.ndarray, seed: int = 0, depth: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """(set, 64-bit signature) rows of the sets hashes[offsets[i]:offsets[i + 1]]."""
+def signatures(hashes: np.ndarray, offsets: np.ndarray, common: np.ndarray | None = None, seed: int = 0, depth: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """(set, 64-bit signature) rows of the sets hashes[offsets[i]:offsets[i + 1]]; common: by slot, whether shingles are."""
     sizes = np.diff(offsets)
     band = np.searchsorted(LOW, sizes, side="right") - 1
     sets, signs, bare_sets, bare_signs = [], [], [], []
@@ -118,7 +129,7 @@ def signatures(hashes: np.ndarray, offsets: np.ndarray, seed: int = 0, depth: in
         at = np.concatenate([[0], np.cumsum(sizes[mine])])
         elements = hashes[np.repeat(offsets[mine] - at[:-1], sizes[mine]) + np.arange(at[-1])]
         for instance in (int(b), int(b) + 1):
-            (s, v), (es, ev) = _one_instance(elements, at, instance, seed)
+            (s, v), (es, ev) = _one_instance(elements, at, instance, seed, common)
             sets.append(mine[s])
             signs.append(v)
             bare_sets.append(mine[es])
@@ -130,7 +141,7 @@ def signatures(hashes: np.ndarray, offsets: np.ndarray, seed: int = 0, depth: in
         few = np.unique(es)
         at = np.concatenate([[0], np.cumsum(sizes[few])])
         elements = hashes[np.repeat(offsets[few] - at[:-1], sizes[few]) + np.arange(at[-1])]
-        s2, v2 = signatures(elements, at, seed + 1, depth - 1)
+        s2, v2 = signatures(elements, at, common, seed + 1, depth - 1)
         order = np.argsort(s2, kind="stable")
         s2, v2 = s2[order], v2[order]
         cuts = np.searchsorted(s2, np.arange(len(few) + 1))
@@ -184,10 +195,12 @@ def row_key(text_col: str = "text", id_col: str = "doc_id") -> Column:
 
 
 def set_digests(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """(doc_id, key, n_shingles, d1, d2, sketch, seeds) of every row."""
+    """(doc_id, key, n_shingles, d1, d2, sketch, seeds, common) of every row; common, at the first row of a batch, holds
+    slot << 32 | sets for the slots of shingles that many sets of the batch have."""
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
         n, one, two, sketch, seeds, many = [], [], [], [], [], []
+        seen = np.zeros(SLOTS, np.int64)
         texts = text_bytes(batch.column("text"))
         for a, b in slices(texts):
             hashes, offsets = shingle_sets(texts[a:b], WIDTH)
@@ -198,6 +211,7 @@ def set_digests(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
             _, first, again = np.unique(np.stack([d1, d2], axis=1), axis=0, return_index=True, return_inverse=True)
             again = again.reshape(-1)
             hashes, offsets = _subset(hashes, offsets, first)
+            seen += np.bincount(_slot(hashes), minlength=SLOTS)
             sketch.append(_sketches(hashes, offsets).reshape(-1, SKETCH // 8)[again].reshape(-1))
             values, at = _subset(*_seeds(hashes, offsets), again)
             seeds.append(values.view(np.int64))
@@ -205,29 +219,48 @@ def set_digests(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
         cat = lambda x, kind=np.int64: np.concatenate(x) if x else np.zeros(0, kind)
         held = pa.FixedSizeBinaryArray.from_buffers(pa.binary(SKETCH // 8), len(texts), [None, pa.py_buffer(cat(sketch, np.uint8).tobytes())]).cast(pa.binary())
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(cat(many))]), pa.int32()), pa.array(cat(seeds), pa.int64()))
-        return [*(pa.array(cat(x), pa.int64()) for x in (n, one, two)), held, lists]
+        often = np.flatnonzero(seen >= max(4 + 4 * seen.mean(), COMMON_SHARE * len(texts)))
+        common = [(often << 32 | seen[often]).tolist(), *[None] * (len(texts) - 1)] if texts else []
+        return [*(pa.array(cat(x), pa.int64()) for x in (n, one, two)), held, lists, pa.array(common, pa.list_(pa.int64()))]
 
     rows = docs.select(F.col(id_col).alias("doc_id"), row_key(text_col, id_col).alias("key"), F.col(text_col).alias("text"))
-    return with_arrow_columns(rows, make, {"n_shingles": "long", "d1": "long", "d2": "long", "sketch": "binary", "seeds": "array<long>"}, drop=("text",))
+    return with_arrow_columns(rows, make, {"n_shingles": "long", "d1": "long", "d2": "long", "sketch": "binary", "seeds": "array<long>", "common": "array<long>"}, drop=("text",))
+
+
+def _common(sets: DataFrame) -> np.ndarray:
+    """By slot, whether its shingles are in COMMON_SHARE of the sets; at most 1 / COMMON_SHARE slots a shingle of a set reach the driver.
+
+    This decides which signatures are left out, not which pairs are found."""
+    n = sets.filter("n_shingles > 0").select("d1", "d2").distinct().count()
+    counts = sets.select(F.explode("common").alias("c")).groupBy(F.shiftright("c", 32).alias("slot")).agg(F.sum(F.col("c").bitwiseAND(F.lit((1 << 32) - 1))).alias("n"))
+    out = np.zeros(SLOTS, bool)
+    out[[r.slot for r in counts.filter(F.col("n") >= COMMON_SHARE * n).select("slot").collect()]] = True
+    return out
 
 
-def _blocks(rows: DataFrame, n_buckets: int) -> DataFrame:
-    """(bucket, block): the signatures of an Arrow batch of (key, label, text) that fall into a bucket, one set for each label."""
+def _blocks(rows: DataFrame, n_buckets: int, common: np.ndarray) -> DataFrame:
+    """(bucket, block): the signatures of an Arrow batch of (key, label, text) that fall into a bucket, one set for each label.
+
+    label is null for sets that are alone."""
+    bits = np.packbits(common).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
         for batch in batches:
-            keys, labels, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), text_bytes(batch.column(2))
+            keys, texts = batch.column(0).to_numpy(), text_bytes(batch.column(2))
+            alone = batch.column(1).is_null().to_numpy(zero_copy_only=False)
+            labels = np.where(alone, keys, batch.column(1).fill_null(0).to_numpy())
             for a, b in slices(texts):
                 hashes, offsets = shingle_sets(texts[a:b], WIDTH)
-                own, sign = signatures(hashes, offsets)
-                id_, label = keys[a:b], labels[a:b]
+                own, sign = signatures(hashes, offsets, common)
+                id_, label, single = keys[a:b], labels[a:b], alone[a:b]
                 order = np.lexsort((own, label[own], sign))
                 own, sign = own[order], sign[order]
                 fresh = np.ones(len(own), bool)
                 fresh[1:] = (sign[1:] != sign[:-1]) | (label[own[1:]] != label[own[:-1]])
                 own, sign = own[fresh], sign[fresh]
                 bucket = (sign >> U64(32)) % U64(n_buckets)
-                order = np.lexsort((own, id_[own] == label[own], bucket))  # sets with another label first
+                order = np.lexsort((own, single[own], bucket))  # sets with a label first
                 own, sign, bucket = own[order], sign[order].astype(np.uint32), bucket[order]
                 names, first = np.unique(bucket, return_index=True)
                 blocks = []
@@ -235,22 +268,22 @@ def _blocks(rows: DataFrame, n_buckets: int) -> DataFrame:
                     part = own[lo:hi]
                     starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
                     here, runs = part[starts], np.diff(np.append(starts, len(part)))
-                    other = label[here][id_[here] != label[here]]
-                    head = np.array([len(here), len(other)], np.int64).tobytes()
-                    blocks.append(head + id_[here].tobytes() + other.tobytes() + runs.astype(np.int32).tobytes() + sign[lo:hi].tobytes())
+                    named = label[here][~single[here]]
+                    head = np.array([len(here), len(named)], np.int64).tobytes()
+                    blocks.append(head + id_[here].tobytes() + named.tobytes() + runs.astype(np.int32).tobytes() + sign[lo:hi].tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int64)), pa.array(blocks, pa.binary())], ["bucket", "block"])
 
     return rows.select("key", "label", "text").mapInArrow(run, "bucket long, block binary")
 
 
-def _unpack(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(set, label, signature) rows of a block."""
+def _unpack(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(set, label, whether it is alone, signature) rows of a block."""
     n, m = np.frombuffer(block, np.int64, 2).tolist()
     ids = np.frombuffer(block, np.int64, n, 16)
     labels = np.concatenate([np.frombuffer(block, np.int64, m, 16 + 8 * n), ids[m:]])
     at = 16 + 8 * (n + m)
     runs = np.frombuffer(block, np.int32, n, at)
-    return np.repeat(ids, runs), np.repeat(labels, runs), np.frombuffer(block, np.uint32, -1, at + 4 * n)
+    return np.repeat(ids, runs), np.repeat(labels, runs), np.repeat(np.arange(n) >= m, runs), np.frombuffer(block, np.uint32, -1, at + 4 * n)
 
 
 def _merge(groups: list[np.ndarray]) -> list[np.ndarray]:
@@ -282,20 +315,21 @@ MET = "a long, b long, la long, lb long, hot long"
 
 def _meet(table: pa.Table, small: int) -> pa.Table:
     """Of one bucket: pairs of sets a and b of the labels la and lb, and the labels la of open groups (hot)."""
+    if not table.num_rows:
+        return pa.table([pa.array([], pa.int64())] * 5, ["a", "b", "la", "lb", "hot"])
     parts = [_unpack(x) for x in table.column("block").to_pylist()]
-    ids, labels, sign = (np.concatenate([p[i] for p in parts]) for i in range(3))
-    order = np.argsort(sign, kind="stable")
-    ids, labels, sign = ids[order], labels[order], sign[order]
+    rows = [np.concatenate([p[i] for p in parts]) for i in range(4)]
+    pick = lambda which: [x[which] for x in rows]
+    rows = pick(np.argsort(rows[3], kind="stable"))
     # most signatures are alone: drop them before the exact order
-    many = np.zeros(len(sign), bool)
-    many[1:] = sign[1:] == sign[:-1]
+    many = np.zeros(len(rows[3]), bool)
+    many[1:] = rows[3][1:] == rows[3][:-1]
     many[:-1] |= many[1:]
-    ids, labels, sign = ids[many], labels[many], sign[many]
-    order = np.lexsort((ids, labels, sign))
-    ids, labels, sign = ids[order], labels[order], sign[order]
-    keep = np.ones(len(ids), bool)
-    keep[1:] = (sign[1:] != sign[:-1]) | (labels[1:] != labels[:-1])
-    ids, labels, sign = ids[keep], labels[keep], sign[keep]
+    rows = pick(many)
+    rows = pick(np.lexsort((rows[0], rows[1], rows[3])))
+    keep = np.ones(len(rows[0]), bool)
+    keep[1:] = (rows[3][1:] != rows[3][:-1]) | (rows[1][1:] != rows[1][:-1])
+    ids, labels, single, sign = pick(keep)
     first = np.flatnonzero(np.concatenate([[True], sign[1:] != sign[:-1]])) if len(sign) else np.zeros(0, np.int64)
     size = np.diff(np.concatenate([first, [len(ids)]]))
     first, size = first[size > 1], size[size > 1]
@@ -306,19 +340,27 @@ def _meet(table: pa.Table, small: int) -> pa.Table:
             left.append(at + i)
             right.append(at + j)
     large: dict[bytes, np.ndarray] = {}
+    around: dict[int, list[np.ndarray]] = {}
     for at, m in zip(first[size > small], size[size > small], strict=True):
-        left.append(np.full(m - 1, at))
-        right.append(np.arange(at + 1, at + m))
-        own = labels[at : at + m]
-        large.setdefault(own.tobytes(), own)
-    merged = _merge(list(large.values()))
+        own, named = np.arange(at, at + m), np.flatnonzero(~single[at : at + m])
+        centre = at + (named[mix64(labels[at + named].view(np.uint64)).argmin()] if len(named) else 0)
+        left.append(np.full(m - 1, centre))
+        right.append(own[own != centre])
+        if len(named):
+            around.setdefault(int(labels[centre]), []).append(labels[right[-1]])
+        else:
+            large.setdefault(labels[own].tobytes(), labels[own])
+    # open groups of unlabelled sets that are large go by the one with the smallest hash, so that those of different buckets are one
+    groups = {label: np.unique(np.concatenate(x)) for label, x in around.items()}
+    for n, g in enumerate(_merge(list(large.values()))):
+        groups[~int(mix64(g.view(np.uint64)).min() >> U64(1)) if len(g) > LARGE else int(table.column("bucket")[0].as_py()) << 32 | n] = g
     cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
     a, b = cat(left), cat(right)
     pairs = np.unique(np.stack([ids[a], ids[b], labels[a], labels[b]], axis=1), axis=0)
     swap = pairs[:, 0] > pairs[:, 1]
     pairs[swap] = pairs[swap][:, [1, 0, 3, 2]]
     pairs = np.unique(pairs, axis=0)
-    hot = cat([np.full(len(g), int(table.column("bucket")[0].as_py()) << 32 | n) for n, g in enumerate(merged)])
+    merged, hot = list(groups.values()), cat([np.full(len(g), name) for name, g in groups.items()])
     none = pa.nulls(len(hot), pa.int64())
     columns = [pa.concat_arrays([pa.array(pairs[:, i], pa.int64()), pa.array(cat(merged), pa.int64()) if i == 2 else none]) for i in range(4)]
     return pa.table([*columns, pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(hot, pa.int64())])], ["a", "b", "la", "lb", "hot"])
@@ -394,7 +436,9 @@ def _seed_pairs(known: DataFrame) -> DataFrame:
 
 
 def _tile(table: pa.Table, nearest: int) -> pa.Table:
-    """Pairs of sets of different labels in the tiles of one task that may link; of each right set the nearest (0: all), with more set if it had others."""
+    """Pairs of sets of different labels in the tiles of one task that may link; of each right set the nearest (0: all), with more set if it had others.
+
+    side: 0 left, 1 right, 2 both."""
     order = table.sort_by([("tile", "ascending"), ("side", "ascending"), ("id", "ascending")])
     tile, side = order.column("tile").to_numpy(), order.column("side").to_numpy()
     ids, labels, n = (order.column(c).to_numpy() for c in ("id", "label", "n_shingles"))
@@ -402,11 +446,13 @@ def _tile(table: pa.Table, nearest: int) -> pa.Table:
     out = []
     edges = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1], [True]])) if len(tile) else np.zeros(1, np.int64)
     for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-        cut = lo + int(np.searchsorted(side[lo:hi], 1))
-        for x in range(cut, hi, 64):
+        alone = side[lo] == 2
+        cut = hi if alone else lo + int(np.searchsorted(side[lo:hi], 1))
+        for x in range(lo if alone else cut, hi, 64):
             right = np.arange(x, min(x + 64, hi))
+            apart = ids[right][:, None] > ids[None, lo:cut] if alone else ids[right][:, None] != ids[None, lo:cut]
             j, i = np.nonzero(
-                (labels[right][:, None] != labels[None, lo:cut]) & (ids[right][:, None] != ids[None, lo:cut])
+                apart & (labels[right][:, None] != labels[None, lo:cut])
                 & (5 * np.minimum(n[right][:, None], n[None, lo:cut]) >= 4 * np.maximum(n[right][:, None], n[None, lo:cut]))
             )
             for at in range(0, len(i), 1 << 15):
@@ -457,12 +503,13 @@ def _open_pairs(met: DataFrame, members: DataFrame, now: DataFrame, nearest: int
     inside = hot.join(mixed, "hot").join(each, "was").withColumn("h", part(F.col("n_hot"))).withColumn("last", upto(F.col("n_hot")) - 1)
     inside = materialize(inside.select("hot", "h", "last", "id", "label", "n_shingles", "sketch"), "open-groups")
     keep = ["kind", "task", "i", "j", "side", "id", "label", "n_shingles", "sketch"]
-    one = inside.withColumns({"kind": F.lit(1), "task": F.col("hot"), "i": F.col("h"), "j": F.explode(F.sequence("h", "last")), "side": F.lit(0)})
-    other = inside.withColumns({"kind": F.lit(1), "task": F.col("hot"), "i": F.explode(F.sequence(F.lit(0), F.col("h"))), "j": F.col("h"), "side": F.lit(1)})
+    tiles = inside.withColumn("_", F.explode(F.sequence(F.lit(0), F.col("last")))).withColumns({"kind": F.lit(1), "task": F.col("hot"), "i": F.least("h", "_"), "j": F.greatest("h", "_")})
+    tiles = tiles.withColumn("side", F.when(F.col("i") == F.col("j"), 2).when(F.col("h") == F.col("i"), 0).otherwise(1))
 
-    rows = left.unionByName(right).unionByName(one.select(keep)).unionByName(other.select(keep))
-    rows = materialize(rows.select(F.xxhash64("kind", "task", "i", "j").alias("tile"), "side", "id", "label", "n_shingles", "sketch"), "tiles")
-    n_tasks = max(8, rows.count() // TILE_ROWS)
+    rows = left.unionByName(right).unionByName(tiles.select(keep))
+    rows = rows.select(F.xxhash64("kind", "task", "i", "j").alias("tile"), "side", "id", "label", "n_shingles", "sketch")
+    n_rows = two.agg(F.sum("n_small")).first()[0] or 0
+    n_tasks = max(8, (n_rows + (inside.agg(F.sum(F.col("last") + 1)).first()[0] or 0)) // TILE_ROWS)
     found = rows.groupBy(F.pmod("tile", F.lit(n_tasks)).alias("part")).applyInArrow(lambda t: _tile(t, nearest), "a long, b long, la long, lb long, more boolean")
     return found.groupBy("a", "b", "la", "lb").agg(F.max("more").alias("more"))
 
@@ -515,9 +562,9 @@ def labelled(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sm
     few = marks.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     rows = docs.select(row_key(text_col, id_col).alias("key"), F.col(text_col).alias("text"))
     rows = rows.join(F.broadcast(marks) if few else marks, F.col("key") == F.col("_marked"), "left").filter("_marked is null or _label is not null")
-    rows = rows.select("key", F.coalesce("_label", "key").alias("label"), "text")
+    rows = rows.select("key", F.col("_label").alias("label"), "text")
     n_buckets = max(8, total_bytes(docs, text_col)[1] // BUCKET_BYTES)
-    met = materialize(_blocks(rows, n_buckets).groupBy("bucket").applyInArrow(lambda t: _meet(t, small), MET), "met")
+    met = materialize(_blocks(rows, n_buckets, _common(sets)).groupBy("bucket").applyInArrow(lambda t: _meet(t, small), MET), "met")
     pairs = met.filter("hot is null").select("a", "b", "la", "lb").distinct().join(tried, ["a", "b"], "left_anti")
     pairs = materialize(_possible(pairs, known), "pairs")
     tried = tried.unionByName(pairs.select("a", "b"))
