@@ -37,7 +37,7 @@ from textloom.llm.common import joined, load, mix64, slices, text_bytes, total_b
 WINDOW, K, ARM = 50, 12, 19
 SPREAD = WINDOW - K + 1
 MAX_RUN = 43
-BUCKET_BYTES, GROUP_BYTES, SLICE = 4 << 20, 8 << 20, 4 << 20
+BUCKET_BYTES, GROUP_BYTES, SLICE, BLOCK = 4 << 20, 8 << 20, 4 << 20, 1 << 17
 U64 = np.uint64
 
 
@@ -57,6 +57,33 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def _minimizers(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each place: the 36-bit hash of its gram, the smallest hash of the window that begins there, and the first and last place of it.
+
+    Done in BLOCK places at a time, which stay in the processor's cache."""
+    n = len(buf)
+    grams, least = np.empty(n, np.uint64), np.empty(n, np.uint64)
+    left, right = np.empty(n, np.uint8), np.empty(n, np.uint8)
+    low = U64((1 << 28) - 1)
+    for lo in range(0, n, BLOCK):
+        hi = min(lo + BLOCK, n)
+        words = _words(buf[lo : hi + SPREAD - 1 + K])
+        g = words * U64(0x9E3779B97F4A7C15)
+        g[:-4] ^= words[4:] * U64(0xC2B2AE3D27D4EB4F)
+        g ^= g >> U64(32)
+        g *= U64(0x94D049BB133111EB)
+        g &= ~low
+        grams[lo:hi] = g[: hi - lo]
+        where = np.arange(len(g), dtype=np.uint64)
+        # the smallest hash of each window with its first place below it, and again with its last
+        first, last = _sliding_min(g | where, SPREAD)[: hi - lo], _sliding_min(g | (low - where), SPREAD)[: hi - lo]
+        least[lo:hi] = first >> U64(28)
+        left[lo:hi] = (first & low) - where[: hi - lo]
+        right[lo:hi] = low - (last & low) - where[: hi - lo]
+    grams >>= U64(28)
+    return grams, least, left, right
+
+
 def window_runs(texts: list[bytes]):
     """Strings of windows of the texts: buffer, start, length, text, offset in the text, minimizer hash, its place (255: not unique), (string, place) of the others."""
     buf, offsets = joined(texts)
@@ -65,17 +92,11 @@ def window_runs(texts: list[bytes]):
     total = int(n_windows.sum())
     if not total:
         return None
-    words = _words(buf)
-    grams = mix64(words * U64(0x9E3779B97F4A7C15) ^ mix64(np.concatenate([words[4:], np.zeros(4, np.uint64)]) + U64(77)))
-    grams >>= U64(28)
-    # the smallest hash of each window with its first place below it, and again with its last
-    where = np.arange(len(buf), dtype=np.uint64) & U64((1 << 28) - 1)
-    leftmost = _sliding_min(grams << U64(28) | where, SPREAD)
-    rightmost = _sliding_min(grams << U64(28) | (U64((1 << 28) - 1) - where), SPREAD)
+    grams, smallest, leftmost, rightmost = _minimizers(buf)
     begin = np.cumsum(n_windows) - n_windows
     shift = np.repeat(offsets[:-1] - begin, n_windows)
     start = np.arange(total) + shift
-    least = (leftmost >> U64(28))[start]
+    least = smallest[start]
     new = np.ones(total, bool)
     new[1:] = (least[1:] != least[:-1]) | (np.diff(start) != 1)
     first = np.flatnonzero(new)
@@ -87,9 +108,8 @@ def window_runs(texts: list[bytes]):
         first = np.repeat(first, pieces) + nth * MAX_RUN
     a, low = start[first], least[first]
     size = length + WINDOW - 1
-    mask = U64((1 << 28) - 1)
-    left = ((leftmost[a] - a.astype(np.uint64)) & mask).astype(np.int64)
-    right = ((mask - rightmost[a + length - 1] - a.astype(np.uint64)) & mask).astype(np.int64)
+    left = leftmost[a].astype(np.int64)
+    right = rightmost[a + length - 1] + length - 1
     text = np.searchsorted(offsets, a, side="right") - 1
     # a minimizer that occurs again in its string: all its places
     unsure = np.flatnonzero(left != right)
@@ -307,30 +327,28 @@ def _read_block(block: bytes) -> dict[str, np.ndarray]:
     return out
 
 
-def column_sort(buf: np.ndarray, start: np.ndarray, size: np.ndarray, cap: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def column_sort(buf: np.ndarray, start: np.ndarray, size: np.ndarray, cap: int = WINDOW, least: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All suffixes of the strings in order: (string, suffix length, common prefix with the one before, up to cap).
 
-    Column-wise construction: round j inserts the suffix of length j of each string that has one. A row of the stream
-    holds owner, length, common prefix and the symbol before the suffix (0: none) in one 64-bit word.
+    Column-wise construction: round j inserts the suffix of length j of each string that has one. A row of the stream is
+    owner * 128 + length; beside it run its common prefix and the transform, the symbol before the suffix (0: none).
+    Common prefixes are kept up in rounds from least on; below, suffixes are shorter than any prefix that counts.
     """
     n = len(start)
     words = _words(buf)
     present = np.flatnonzero(np.bincount(buf, minlength=256))
     code = np.zeros(256, np.uint8)
     code[present] = np.arange(1, len(present) + 1)  # keeps order; leaves 0 free (at most 243 byte values occur in UTF-8)
-    text, kinds, step = code[buf], len(present) + 1, 128
-    block_base = np.repeat(np.arange(0, ((n + len(buf)) // step + 1) * kinds, kinds, dtype=np.int32), step)
-    row = lambda owner, length, symbol: owner.astype(np.uint64) << U64(32) | U64(length) << U64(16) | symbol.astype(np.uint64)
-    stream = row(np.arange(n), 0, text[start + size - 1])
+    text = code[buf]
+    stream, bwt, prefix = np.arange(n, dtype=np.uint32) << 7, text[start + size - 1], np.zeros(n, np.uint8)
     active, place = np.arange(n), np.arange(n)
-    lanes = np.arange(step)
 
     def common(left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Common prefix of the suffixes of two arrays of rows, up to cap."""
         most = np.full(len(left), cap)
         at = []
         for rows in (left, right):
-            owner, length = (rows >> U64(32)).astype(np.int64), (rows >> U64(16) & U64(255)).astype(np.int64)
+            owner, length = (rows >> 7).astype(np.int64), (rows & 127).astype(np.int64)
             most = np.minimum(most, length)
             at.append(start[owner] + size[owner] - length)
         out, open_ = np.zeros(len(left), np.int64), np.flatnonzero(most > 0)
@@ -349,35 +367,31 @@ def column_sort(buf: np.ndarray, start: np.ndarray, size: np.ndarray, cap: int =
     for j in range(1, int(size.max(initial=0)) + 1):
         keep = size[active] >= j
         active, place = active[keep], place[keep]
-        bwt = np.ascontiguousarray(stream.view(np.uint8)[0::8])
-        symbol = bwt[place]
-        # rank of each symbol among equal symbols before its place: counts of whole blocks, then within the block
-        blocks = len(bwt) // step + 1
-        table = np.bincount(block_base[: len(bwt)] + bwt, minlength=blocks * kinds).reshape(blocks, kinds).astype(np.int32)
-        totals = table.sum(axis=0, dtype=np.int64)
-        totals[0] = n  # the empty suffixes come first
-        before = np.zeros((blocks, kinds), np.int32)
-        np.cumsum(table[:-1], axis=0, out=before[1:])
-        block = place // step
-        rank = before[block, symbol].astype(np.int64)
-        padded = np.concatenate([bwt, np.zeros(step, np.uint8)])
-        lined = np.ndarray((blocks, step), np.uint8, padded)
-        for lo in range(0, len(place), 1 << 13):
-            part = slice(lo, lo + (1 << 13))
-            rank[part] += ((lined[block[part]] == symbol[part, None]) & (lanes < (place[part] % step)[:, None])).sum(axis=1)
-        place = (np.cumsum(totals) - totals)[symbol] + rank
+        # rows in the stable order of their symbols are the suffixes of the next stream; the n empty ones come first
+        order = np.argsort(bwt, kind="stable")
+        rank = np.empty(len(bwt), np.int32)
+        rank[order] = np.arange(len(bwt), dtype=np.int32)
+        place = rank[place].astype(np.int64) + (n - np.count_nonzero(bwt == 0))
         order = np.argsort(place)
         active, place = active[order], place[order]
         old = np.ones(len(stream) + len(place), bool)
         old[place] = False
+        at = np.flatnonzero(old)
         previous = np.where(size[active] > j, text[np.maximum(start[active] + size[active] - j - 1, 0)], 0)
-        merged = np.empty(len(old), np.uint64)
-        merged[old], merged[place] = stream, row(active, j, previous)
-        stream = merged
-        follows = place[np.concatenate([place[1:] != place[:-1] + 1, [place[-1] + 1 < len(stream)]])] + 1
-        changed = np.concatenate([place, follows])
-        stream.view(np.uint8)[1::8][changed] = common(stream[changed - 1], stream[changed])
-    return (stream >> U64(32)).astype(np.int64), (stream >> U64(16) & U64(255)).astype(np.int64), (stream >> U64(8) & U64(255)).astype(np.int64)
+        rows, symbols = np.empty(len(old), np.uint32), np.empty(len(old), np.uint8)
+        rows[at], rows[place] = stream, active << 7 | j
+        symbols[at], symbols[place] = bwt, previous
+        stream, bwt = rows, symbols
+        if j >= least:
+            follows = place[np.concatenate([place[1:] != place[:-1] + 1, [place[-1] + 1 < len(stream)]])] + 1
+            changed = np.concatenate([place, follows])
+            merged = np.zeros(len(stream), np.uint8)
+            merged[at] = prefix
+            prefix = merged
+            prefix[changed] = common(stream[changed - 1], stream[changed])
+        elif j + 1 == least:
+            prefix = np.zeros(len(stream), np.uint8)
+    return (stream >> 7).astype(np.int64), (stream & 127).astype(np.int64), prefix.astype(np.int64)
 
 
 def _shared(key: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -431,7 +445,7 @@ def _solve(table: pa.Table, n_groups: int) -> pa.Table:
         sort = _overlapping(text, origin, size, place[live[one]].astype(np.int64), mark[live[one]])
         if len(sort):
             body = text[_spans_of(origin[sort], size[sort])]
-            owner, length, prefix = column_sort(body, np.cumsum(size[sort]) - size[sort], size[sort])
+            owner, length, prefix = column_sort(body, np.cumsum(size[sort]) - size[sort], size[sort], least=WINDOW)
             full = np.flatnonzero(length >= WINDOW)
             _, group = np.unique(np.cumsum(prefix < WINDOW)[full], return_inverse=True)
             owner, length = sort[owner[full]], length[full]
