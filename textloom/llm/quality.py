@@ -81,9 +81,12 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-def train(samples: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 7) -> Model:
-    """samples: (buckets, counts, label). Softmax over two classes, averaged embeddings, one document a step."""
+def train(samples: list[tuple[np.ndarray, np.ndarray, int]], prior: float | None = None, seed: int = 7) -> Model:
+    """samples: (buckets, counts, label). Softmax over two classes, averaged embeddings, one document a step.
+
+    prior: the share of label 1 where the model is used; that of the samples if not given."""
     labels = np.array([y for _, _, y in samples])
+    prior = float(labels.mean()) if prior is None and len(labels) else prior
     if len(set(labels.tolist())) < 2:
         share = min(max(labels.mean() if len(labels) else 0.5, 1e-6), 1 - 1e-6)
         return Model(np.zeros(BUCKETS), np.log(share / (1 - share)))
@@ -110,14 +113,14 @@ def train(samples: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 7) -> M
             bias -= 0.1 * p
             table[buckets] -= np.minimum(share * len(buckets), 4.0)[:, None] * into
     # the classes were weighted alike; the prior goes back into the bias
-    prior = np.log(np.mean(labels == 1) / np.mean(labels == 0))
-    return Model(table @ (out[1] - out[0]), bias[1] - bias[0] + prior)
+    return Model(table @ (out[1] - out[0]), bias[1] - bias[0] + np.log(prior / (1 - prior)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality") -> Model:
-    """Train on a bounded sample of the labelled documents outside the held-out fold."""
+    """Train on a bounded sample of the labelled documents outside the held-out fold; the prior is that of all of them."""
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).filter("_id is not null and _y in (0, 1)")
     known = known.filter(F.crc32(F.col("_id").cast("string")) % 5 != 0).distinct()
+    prior = known.agg(F.avg("_y")).first()[0]
     chosen = None
     for y in (0, 1):
         part = known.filter(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(sample // 2)
@@ -135,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text_col: str
 
     kind = labels.schema[id_col].dataType.simpleString()
     got = rows.mapInArrow(run, f"id {kind}, y int, buckets binary, counts binary").orderBy("id", "y").limit(2 * sample).collect()
-    return train([(np.frombuffer(r.buckets, np.int32), np.frombuffer(r.counts, np.int32), r.y) for r in got])
+    return train([(np.frombuffer(r.buckets, np.int32), np.frombuffer(r.counts, np.int32), r.y) for r in got], prior)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
