@@ -72,6 +72,8 @@ def find_exponent(sources: DataFrame, entropy_share: float | None, max_repeats:
         return 1.0
     if not up and fits([0.0])[0]:
         return 0.0
+    if not up and not fits([1.0])[0]:
+        raise ValueError(f"a budget of {budget:.0f} tokens over {total} takes some source more than {max_repeats} times, whatever the exponent")
     for _ in range(-(-steps // 3)):
         width = (high - low) / 8
         points = [low + width * k for k in range(1, 8)]
