@@ -94,10 +94,11 @@ class Quantiser:
 def near_rows(model: Quantiser | None, own: np.ndarray, x: np.ndarray, code: np.ndarray, hat: np.ndarray, err: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Places and exact distances of the rows of a block that are ranked exactly for one query.
 
-    These are the KEEP best by the tables and all that tie with the last, and every row that may lie nearer to the query
+    These are the KEEP (twice k, if that is more) best by the tables and all that tie with the last, and every row that may lie nearer to the query
     than to its own code (and than the k-th found): such rows the tables can't tell apart, as in a group of near copies.
     """
-    if model is None or len(x) <= KEEP:
+    keep = max(KEEP, 2 * (k + 1))
+    if model is None or len(x) <= keep:
         pick = np.arange(len(x))
         return pick, np.sqrt(((x - own) ** 2).sum(axis=1))
     table = model.tables(own[None])[0]
@@ -105,7 +106,7 @@ def near_rows(model: Quantiser | None, own: np.ndarray, x: np.ndarray, code: np.
     for b in range(code.shape[1]):
         inner += table[b][code[:, b]]
     near = (x * x).sum(axis=1) - 2.0 * inner
-    pick = np.flatnonzero(near <= np.partition(near, KEEP - 1)[KEEP - 1])
+    pick = np.flatnonzero(near <= np.partition(near, keep - 1)[keep - 1])
     exact = np.sqrt(((x[pick] - own) ** 2).sum(axis=1))
     bar = np.partition(exact, k)[k]
     far = np.sqrt(np.maximum(own @ own - 2.0 * inner + hat, 0))
