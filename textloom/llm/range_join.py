@@ -73,8 +73,9 @@ def link_vectors(rows: DataFrame, threshold: float = THRESHOLD, id_col: str = "v
     rows = rows.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast(kind).alias("v"))
     good = rows.filter(valid("v")).withColumn("key", vector_key("v"))
     good = materialize(good, "vectors")
-    # one row for each distinct vector: smallest id and how many rows have it
-    classes = materialize(good.groupBy("key").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n"), F.min("v").alias("v")), "vector-classes")
+    # one row for each distinct vector: an id of its own, the smallest vec_id and how many rows have it
+    classes = good.groupBy("key").agg(F.min("vec_id").alias("name"), F.count(F.lit(1)).alias("n"), F.min("v").alias("v"))
+    classes = materialize(classes.withColumn("id", F.xxhash64("key")), "vector-classes")
     total = classes.count()
     eps = math.sqrt(max(2 - 2 * threshold, 0)) * (1 + 1e-9) + 1e-9
     n_pivots = max(1, min(MAX_PIVOTS, total // ROWS_A_PIVOT))
@@ -143,8 +144,11 @@ def link_vectors(rows: DataFrame, threshold: float = THRESHOLD, id_col: str = "v
     found = materialize(found, "links")
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     labels = components(found.select(F.col("root").alias("a"), F.col("id").alias("b"))).withColumnRenamed("id", "_id")
-    merged = classes.select("key", "id", "n").join(counts, "id", "left").join(labels, F.col("id") == F.col("_id"), "left")
-    merged = merged.select("key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+    merged = classes.select("key", "id", "name", "n").join(counts, "id", "left").join(labels, F.col("id") == F.col("_id"), "left")
+    merged = merged.select("key", "name", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("group"))
+    merged = materialize(merged, "vector-groups")
+    names = merged.groupBy("group").agg(F.min("name").alias("component_id"))
+    merged = merged.join(names, "group").select("key", "n_links", "component_id")
     linked = good.select("vec_id", "key").join(merged, "key").select("vec_id", "n_links", "component_id")
     alone = rows.filter(~valid("v")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone)
