@@ -8,8 +8,9 @@ new and skips the lookup in the count table, and a key whose count falls to 0 le
 rows, so a shard fits in one task at any corpus size.
 
 Removal: keys found in at least min_docs documents lose their lines everywhere. Keys with more than 1/HEAVY_SHARE of all
-postings (at most HEAVY_SHARE keys, a bound by counting) are looked up by a broadcast join; the postings of other keys
-meet their shard, where the filter of removable keys rejects most and the exact table decides the rest.
+postings, or more than SHARD_ROWS of them, are looked up by a join (broadcast while they can be at most BROADCAST_KEYS by
+counting, else one whose hot keys Spark splits); the postings of other keys meet their shard, where the filter of removable
+keys rejects most and the exact table decides the rest. No key brings more than SHARD_ROWS postings to a shard.
 
 Defined results: null or empty text is one empty line; keys shorter than min_len code points never count; each row is a
 document, repeated doc_ids included; extra columns of docs are ignored by the query and kept by dedup_lines(); an empty
@@ -31,7 +32,7 @@ from textloom.llm.common import WS, load, materialize, text_bytes, with_arrow_co
 
 MIN_LEN, MIN_DOCS = 1, 10
 SHARD_ROWS = 65_536
-HEAVY_SHARE = 1_000
+HEAVY_SHARE, BROADCAST_KEYS = 1_000, 500_000
 COUNTS = "shard long, h1 long, h2 long, refs long"
 FILTERS = "shard long, filter binary, n_keys long"
 
@@ -221,9 +222,9 @@ def removable(posts: DataFrame, counts: DataFrame, n_shards: int, min_docs: int
     """The postings (doc_id, h1, h2) whose key at least min_docs documents hold."""
     hot = counts.filter(F.col("refs") >= min_docs)
     total = counts.agg(F.sum("refs")).first()[0] or 0
-    bar = max(total // HEAVY_SHARE, 1)
-    heavy = hot.filter(F.col("refs") > bar).select("h1", "h2")  # at most HEAVY_SHARE keys, as the refs sum to total
-    tested = posts.join(F.broadcast(heavy.withColumn("heavy", F.lit(True))), ["h1", "h2"], "left")
+    bar = min(max(total // HEAVY_SHARE, 1), SHARD_ROWS)
+    heavy = hot.filter(F.col("refs") > bar).select("h1", "h2", F.lit(True).alias("heavy"))  # at most total / bar keys, as the refs sum to total
+    tested = posts.join(F.broadcast(heavy) if total // bar <= BROADCAST_KEYS else heavy, ["h1", "h2"], "left")
     by_heavy = tested.filter("heavy").select("doc_id", "h1", "h2")
     rest = tested.filter("heavy is null").select(_shard(n_shards).alias("shard"), "doc_id", "h1", "h2")
     few = hot.filter(F.col("refs") <= bar)
