@@ -3,8 +3,9 @@
 A rule is a verdict for a host, its subdomains and a path prefix; of the rules that fit, the longest wins (of equally
 long ones the one with the longer host, then block). URLs that a rule decides are the labelled examples: at most SAMPLE
 of each verdict (those with the smallest hashes; a documented bound) train boosted trees. Features: lengths, depth, digit
-ratio, character entropy, parameter counts, and the smoothed share of blocked examples for the host's last label and for
-the first path segment. Training grows trees level by level from gradient sums per node, feature and bin, which Spark
+ratio, character entropy, parameter counts, and the smoothed share of blocked URLs for the host's last label and for the
+first path segment, counted over one half of all URLs that a rule decides; the trees learn from the other half, so they
+see how far these shares can be trusted. Training grows trees level by level from gradient sums per node, feature and bin, which Spark
 aggregates; the finished ensemble is one expression over the features of a row.
 
 Defined results: a url that is null or has no "://" has empty host and path, fits no rule and is judged by the trees;
@@ -26,6 +27,8 @@ RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www
 SAMPLE, TREES, DEPTH, RATE, BINS, L2 = 5_000, 10, 3, 0.4, 16, 1.0
 #: More rules than this are joined instead of held in the expression of every row.
 INLINE_RULES = 256
+#: More values of a share than this are joined by a shuffle.
+BROADCAST_VALUES = 100_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FEATURES = ("url_length", "host_length", "path_length", "query_length", "depth", "host_labels", "digit_ratio", "host_digit_ratio", "entropy", "host_entropy", "n_params", "n_hyphens", "tail_share", "head_share")
 
@@ -82,20 +85,27 @@ def lexical(urls: DataFrame) -> DataFrame:
         "host_entropy": _entropy(F.col("host")),
         "n_params": F.when(query == "", 0).otherwise(F.size(F.split(query, "[&;]"))).cast("double"),
         "n_hyphens": F.regexp_count("url", F.lit("[-_]")).cast("double"),
-        "tail": F.element_at(F.split("host", r"\."), -1),
-        "head": F.coalesce(F.get(F.filter(F.split("path", "/"), lambda x: x != ""), F.lit(0)), F.lit("")),
+        **_tail_and_head(),
     })
 
 
-def _shares(examples: DataFrame, key: str) -> dict[str, float]:
-    """The smoothed share of blocked examples for the commonest 200 values of key."""
-    rows = examples.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("blocked")).orderBy(F.desc("n"), key).limit(200).collect()
-    return {r[key]: (r.blocked + 1) / (r.n + 2) for r in rows}
+def _shares(known: DataFrame, key: str) -> DataFrame:
+    """(key, share): the smoothed share of blocked URLs for every value of key."""
+    counts = known.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ruled") == "block").alias("blocked"))
+    return materialize(counts.select(F.col(key).alias(f"_{key}"), ((F.col("blocked") + 1) / (F.col("n") + 2)).alias(f"{key}_share")), f"{key}-shares")
 
 
-def _lookup(key: str, shares: dict[str, float]) -> Column:
-    table = F.create_map(*[x for k, v in shares.items() for x in (F.lit(k), F.lit(v))]) if shares else None
-    return F.coalesce(F.element_at(table, F.col(key)), F.lit(0.5)) if shares else F.lit(0.5)
+def _look_up(urls: DataFrame, shares: dict[str, DataFrame]) -> DataFrame:
+    """urls with tail_share and head_share; 0.5 for unknown values."""
+    for key, table in shares.items():
+        few = table.limit(BROADCAST_VALUES + 1).count() <= BROADCAST_VALUES
+        urls = urls.join(F.broadcast(table) if few else table, F.col(key) == F.col(f"_{key}"), "left").drop(f"_{key}")
+    return urls.fillna(0.5, [f"{key}_share" for key in shares])
+
+
+def _tail_and_head() -> dict[str, Column]:
+    """The host's last label and the first segment of the path."""
+    return {"tail": F.element_at(F.split("host", r"\."), -1), "head": F.coalesce(F.get(F.filter(F.split("path", "/"), lambda x: x != ""), F.lit(0)), F.lit(""))}
 
 
 def _score(trees: list[dict], base: float) -> Column:
@@ -170,14 +180,14 @@ def judge_urls(pages: DataFrame, rules=RULES, url_col: str = "url") -> DataFrame
     url = F.col(url_col)
     ruled = match_rules(pages.withColumns({"host": host_of(url), "path": path_of(url)}), rules)
     known = ruled.filter("ruled is not null").select(url.alias("url"), "host", "path", "ruled").distinct()
-    picked = reduce(DataFrame.unionByName, [known.filter(F.col("ruled") == v).orderBy(F.xxhash64("url"), "url").limit(SAMPLE) for v in ("allow", "block")])
+    known = materialize(known.withColumns({"order": F.xxhash64("url"), **_tail_and_head()}), "ruled-urls")
+    shares = {k: _shares(known.filter("order % 2 = 0"), k) for k in ("tail", "head")}
+    half = known.filter("order % 2 <> 0").drop("tail", "head")
+    picked = reduce(DataFrame.unionByName, [half.filter(F.col("ruled") == v).orderBy("order", "url").limit(SAMPLE) for v in ("allow", "block")])
     examples = lexical(picked).withColumn("y", F.when(F.col("ruled") == "block", 1.0).otherwise(0.0))
-    examples = materialize(examples, "url-examples")
-    shares = {k: _shares(examples, k) for k in ("tail", "head")}
-    with_shares = lambda df: df.withColumns({"tail_share": _lookup("tail", shares["tail"]), "head_share": _lookup("head", shares["head"])})
-    examples = materialize(with_shares(examples).select(*FEATURES, "y"), "url-features")
+    examples = materialize(_look_up(examples, shares).select(*FEATURES, "y"), "url-features")
     odds = boost(examples)
-    scored = with_shares(lexical(ruled.withColumn("_url", url).drop(url_col).withColumnRenamed("_url", "url"))).withColumn("log_odds", odds)
+    scored = _look_up(lexical(ruled.withColumn("_url", url).drop(url_col).withColumnRenamed("_url", "url")), shares).withColumn("log_odds", odds)
     if url_col != "url":
         scored = scored.withColumnRenamed("url", url_col)
     verdict = F.coalesce(F.col("ruled"), F.when(F.col("log_odds") > 0, "block").otherwise("allow"))
