@@ -13,7 +13,7 @@ leads to, and where a page has other text beside the path, its end moves up. Hos
 wrapper; they, and pages without the wrapper's path, fall back to all article or main elements or else to the whole page.
 
 Defined results: null, empty or markup-free html gives its text as one page without template (the empty string if none);
-unclosed elements end with their parent; html, body, main and article are never boilerplate, nor
+unclosed elements end with their parent; elements nested deeper than MAX_DEPTH lie side by side; html, body, main and article are never boilerplate, nor
 are forms and containers with a boilerplate name that hold most of the page's text while no article is beside them; a page
 of which nothing is left is read without such names, roles and forms; a page cut inside a tag or comment loses that tag or comment; character
 references are decoded once; blocks are separated by one line feed and white space is [\\x20\\x09-\\x0D]; a null url has the
@@ -38,11 +38,13 @@ from pyspark.sql.window import Window
 from textloom.llm.common import load, materialize, with_arrow_columns
 from textloom.llm.url_filter import host_of
 
-PAGES, MIN_PAGES, CONSTANT_SHARE, NEAR_SHARE = 8, 3, 0.8, 0.6
+PAGES, MIN_PAGES, CONSTANT_SHARE, NEAR_SHARE, MAX_DEPTH = 8, 3, 0.8, 0.6, 200
 BROADCAST_BYTES, BROADCAST_HOSTS = 8 << 20, 20_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math textarea select title".split())
+RAW = frozenset("script style noscript iframe textarea title".split())
+#: Left out with all that they hold.
+SKIPPED = frozenset("template object svg math select button".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -55,6 +57,8 @@ MARKS = frozenset(
     "masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted related reply replies respond share sharing "
     "sidebar social sponsor sponsored subscribe toolbar widget widgets".split()
 )
+#: Of these, the words that mark an inline element as well.
+INLINE_MARKS = frozenset("ad ads advert adverts advertisement promo promoted sponsor sponsored".split())
 #: Never boilerplate by class, id or role: they hold the page or its article.
 HOLDERS = frozenset("html body main article".split())
 #: A block element that starts closes an open one of these.
@@ -81,14 +85,14 @@ class Node:
         return f"{self.tag}.{self.key}"
 
 
-def _traits(attributes: str) -> tuple[str, bool]:
-    """Class and id for matching, and whether they or the role mark boilerplate."""
+def _traits(attributes: str, words: frozenset[str] = MARKS) -> tuple[str, bool]:
+    """Class and id for matching, and whether words in them or the role mark boilerplate."""
     key, bad = "", False
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name in ("class", "id"):
             key += quote(value)
-            bad |= any(w in MARKS for w in re.split(r"[^a-z]+", value))
+            bad |= any(w in words for w in re.split(r"[^a-z]+", value))
         elif name == "role":
             bad |= value in ROLES
         else:
@@ -114,10 +118,12 @@ def _has_article(node: Node) -> bool:
 def _unmark(root: Node) -> None:
     """Forms and containers marked by a name or role count as unmarked where they hold most of the page's text, if no article is beside them."""
     total, at = _measure(root), root
-    while at and not _has_article(root):
+    alone = not _has_article(root)
+    while at and alone:
         at = next((i for i in at.items if isinstance(i, Node) and i.tag != "head" and 2 * i.size > total), None)
-        if at and (at.tag in ("form", "fieldset") or at.tag not in BOILERPLATE):
+        if at and at.bad and (at.tag in ("form", "fieldset") or at.tag not in BOILERPLATE):
             at.bad = False
+            alone = not _has_article(root)
 
 
 def parse(html: str, marks: bool = True) -> Node:
@@ -130,8 +136,12 @@ def parse(html: str, marks: bool = True) -> Node:
 
 def _tree(html: str, marks: bool) -> Node:
     root = Node("#")
-    stack, at, skip = [root], 0, ""
-    while m := _TOKEN.search(html, at):
+    stack, deep, at, skip, inside, resume, unclosed = [root], [], 0, "", 0, 0, set()
+    while (m := _TOKEN.search(html, at)) or skip:
+        if not m:  # what should be skipped has no end: read on after its start
+            unclosed.add(skip)
+            at, skip = resume, ""
+            continue
         if not skip and m.start() > at:
             stack[-1].items.append(html[at : m.start()])
         at = m.end()
@@ -143,11 +153,15 @@ def _tree(html: str, marks: bool) -> Node:
                 at = _END[tag].search(html, at).end()
             continue
         if skip:
-            if m[1] and tag == skip:
-                skip = ""
+            if tag == skip and not m[3].rstrip().endswith("/"):
+                inside += -1 if m[1] else 1
+                skip = skip if inside else ""
             continue
         if m[1]:
-            if tag in BLOCKS:
+            if tag in deep:
+                while deep.pop() != tag:
+                    pass
+            elif tag in BLOCKS:
                 for depth in range(len(stack) - 1, 0, -1):
                     if stack[depth].tag == tag:
                         del stack[depth:]
@@ -156,9 +170,10 @@ def _tree(html: str, marks: bool) -> Node:
         if tag == "br":
             stack[-1].items.append("\n")
         if tag not in BLOCKS:
-            key, bad = _traits(m[3]) if m[3] and marks and tag not in VOID else ("", False)
-            if not (tag == "button" or (bad and tag in ("span", "button", "ins"))):
-                continue
+            key, bad = _traits(m[3], INLINE_MARKS) if m[3] and marks and tag not in VOID else ("", False)
+            if (tag in SKIPPED or (bad and tag in ("span", "ins"))) and tag not in unclosed and not m[3].rstrip().endswith("/"):
+                skip, inside, resume = tag, 1, at
+            continue
         if tag in CLOSES_P and stack[-1].tag == "p":
             stack.pop()
         if tag in ITEMS:
@@ -175,11 +190,11 @@ def _tree(html: str, marks: bool) -> Node:
         bad = bad and marks and tag not in HOLDERS
         node = Node(tag, key, bad or (tag in BOILERPLATE and (marks or tag not in ("form", "fieldset"))))
         stack[-1].items.append(node)
-        if tag in BLOCKS:
+        if len(stack) < MAX_DEPTH or (node.bad and not stack[-1].bad):
             stack.append(node)
-        else:  # a marked inline element or a button: skipped to its end
-            skip = tag
-    if not skip and at < len(html):
+        else:
+            deep.append(tag)
+    if at < len(html):
         stack[-1].items.append(html[at:])
     return root
 
