@@ -233,3 +233,39 @@ def test_null_and_repeated_ids(spark):
     # a batch without any word
     bare = spark.createDataFrame([(None, ""), (1, None)], DOCS).coalesce(1)
     assert sorted(r.component_id or 0 for r in ngram_join.near_duplicates(bare).collect()) == [0, 1]
+
+
+def test_range_join_with_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (1, [0.99, 0.1, 0.0]), (2, [0.98, 0.12, 0.0]), (3, [0.0, 0.0, 1.0]), (None, [0.0, 0.05, 1.0])]
+    got = range_join.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0) for r in got) == [(0, 1, 3), (1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 1, 3)]
+
+
+def test_line_keys_beyond_the_heavy_bar(spark, monkeypatch):
+    """Hot keys joined by broadcast, by a shuffle, or met in their shard: the same result."""
+    rows = [(i, f"hot\nwarm {i % 4}\nown {i}") for i in range(80)]
+    df = spark.createDataFrame(rows, DOCS)
+    for shard, keys in ((65_536, 500_000), (5, 500_000), (5, 0)):
+        monkeypatch.setattr(line_dedup, "SHARD_ROWS", shard)
+        monkeypatch.setattr(line_dedup, "BROADCAST_KEYS", keys)
+        got = sorted((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in line_dedup.dedup_lines(df, min_docs=10).collect())
+        assert got == lines_brute(rows, 10)
+
+
+def test_ngram_join_on_odd_tables(spark):
+    """Only texts without words, only short ones, large copies in one batch, and a large family around common passages."""
+    rng = random.Random(9)
+    passage = [f"p{i}" for i in range(60)]
+    family = [f"f{i}" for i in range(80)]
+    long_ = " ".join(f"w{i}" for i in range(150_000))
+    some = []
+    for i in range(120):
+        own = list(family)
+        for _ in range(rng.randint(0, 4)):
+            own[rng.randrange(80)] = f"x{rng.random()}"
+        some.append((i, " ".join(own)))
+        some.append((500 + i, " ".join([*passage, *(f"y{rng.random()}" for _ in range(40))])))
+    for rows in ([(1, None), (2, ""), (3, " \t")], [(i, f"a{i % 3} b c") for i in range(9)], [(1, long_), (2, long_), (3, long_ + " end")], some):
+        df = spark.createDataFrame(rows, DOCS).coalesce(1)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(df, small=4).collect()}
+        assert got == ngram_brute(rows)

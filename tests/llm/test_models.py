@@ -273,3 +273,89 @@ def test_pipeline(spark, sf_dir):
     codec = pieces.ChunkCodec(pieces.model_path())
     ids = lambda t: hashlib.sha256(",".join(map(str, codec.model.encode(t or ""))).encode()).hexdigest()
     assert sorted((r.doc_id, r.ids_sha256) for r in after.collect()) == sorted((r.doc_id, ids(r.text)) for r in before.collect())
+
+
+def test_ann_with_many_neighbours(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(700)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.search(df, df.filter("vec_id = 100"), k=200).collect()
+    assert len(got) == 200 and [r.vec_id for r in sorted(got, key=lambda r: r["rank"])][:20] == [i for _, i in nearest(rows, 200)[100]][:20]
+
+
+def test_mixing_refuses_what_no_exponent_reaches(spark):
+    df = spark.createDataFrame([(i, "w w", "ab"[i % 2]) for i in range(50)], "doc_id long, text string, source string")
+    with pytest.raises(ValueError, match="more than 2.0 times"):
+        mixing.mix(df, entropy_share=None, max_repeats=2.0, budget=1000)
+
+
+def test_quality_prior_is_of_all_labels(spark):
+    """A model of a small sample of each class still knows how common label 1 is."""
+    docs = spark.createDataFrame([(i, f"good {i}" if i % 10 else f"bad {i}") for i in range(2000)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 10 > 0).cast("int").alias("quality"))
+    few, all_ = quality.fit(docs, labels, sample=40), quality.fit(docs, labels, sample=4000)
+    assert abs(few.bias - all_.bias) < 1.0 and few.bias > 1
+
+
+def test_trees_judge_hosts_without_rules(spark):
+    """Trees learned from ruled hosts judge the paths of hosts that no rule decides."""
+    rng = random.Random(3)
+    path = lambda bad: ("/es/" if bad else "/en/") + "/".join(str(rng.randint(0, 99)) for _ in range(rng.randint(1, 4)))
+    rules = (("allow", "com", "/en/"), ("block", "com", "/es/"))
+    rows = [(f"http://h{rng.randint(0, 60)}.com{path(i % 2 == 0)}", (i + 1) % 2) for i in range(800)]
+    free = [(f"http://u{rng.randint(0, 60)}.org{path(i % 2 == 0)}", (i + 1) % 2) for i in range(200)]
+    out = url_filter.judge_urls(spark.createDataFrame(rows + free, "url string, bad int"), rules).filter("rule is null").collect()
+    assert len(out) == 200 and np.mean([(r.verdict == "block") == (r.bad == 1) for r in out]) > 0.9
+
+
+def test_url_rules_by_brute_force(spark, sf_dir):
+    def judged(url):
+        host, rest = "", ""
+        if url and "://" in url:
+            after = url.split("://", 1)[1]
+            n = next((i for i, c in enumerate(after) if c in "/?#"), len(after))
+            host, rest = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in after[:n]), after[n:]
+        path = rest[: next((i for i, c in enumerate(rest) if c in "?#"), len(rest))]
+        fits = [(len(h + p), h + p, v) for v, h, p in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return (host, path, *(max(fits)[1:] if fits else (None, None)))
+
+    urls = {r.page_id: r.url for r in common.load(spark, sf_dir, "pages").select("page_id", "url").collect()}
+    for r in url_filter.query(spark, sf_dir).collect():
+        host, path, rule, verdict = judged(urls[r.page_id])
+        assert (r.host, r.path, r.rule) == (host, path, rule) and r.verdict == (verdict or r.verdict)
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<p>The <span class='header-anchor'>API</span> works</p>", "The API works"),
+        ("<p>x <span class='ad'>ad <span>in</span> more</span> y</p>", "x y"),
+        ("<p>a</p><svg><svg>i</svg>drawn</svg><p>b</p>", "a\nb"),
+        ("<p>x <span class='ad'>never closed<p>y</p>", "x never closed\ny"),
+        ("<div>" * 3000 + "<p>deep</p>" + "</div>" * 3000 + "<p>after</p>", "deep\nafter"),
+        ("<div>" * 300 + "<nav><div>menu</div></nav><p>deep</p>" + "</div>" * 300, "deep"),
+        ("<p>" + "<b><i>" * 5000 + "t" + "</i></b>" * 5000 + "</p>", "t"),
+        ("<article>" + "<p>para</p>" * 20_000 + "</article>", "\n".join(["para"] * 20_000)),
+    ],
+)
+def test_nesting(html, text):
+    assert wrappers.extract(html) == text
+    wrappers.induce([f"{html}<p>{i}</p>" for i in range(3)])
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Nulls, empty and repeated rows, other columns, and no rows at all."""
+    labels = [(i, int(i % 2), 0) for i in range(40)]
+    rows = [(i, f"some good words number {i} are here\nand a second line {i}" if i % 2 else "@@ ## !!", "en", "ab"[i % 2], 5, "x") for i in range(40)]
+    rows += [(None, None, None, None, None, None), (100, "", None, "c", 0, None), (3, rows[3][1], "en", "b", 5, "x")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, block string"
+    for name, docs in (("some", rows), ("none", [])):
+        at = tmp_path / name
+        spark.createDataFrame(docs, schema).write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame(labels if docs else [], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+        df = spark.read.parquet(f"{at}/documents.parquet")
+        for step, stage in corpus_pipeline.STAGES:
+            df = common.materialize(stage(spark, df, str(at)), step.replace(" ", "-"))
+            if step != corpus_pipeline.STAGES[-1][0]:
+                assert df.columns == [f.split()[0] for f in schema.split(", ")], step
+        assert (df.count() > 0) == bool(docs)
