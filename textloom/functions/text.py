@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # Words, patterns, scores and formats that results must agree on.
 SEVERITY_WORDS = (
@@ -304,3 +307,25 @@ def omission_marker(omitted: Column, errors: Column, warnings: Column) -> Column
     part = lambda n, word: F.when(n > 0, F.concat(n.cast("string"), F.lit(f" {word}"), F.when(n == 1, "").otherwise("s")))
     parts = F.concat_ws(", ", part(errors, "error"), part(warnings, "warning"))
     return F.when(omitted == 0, "").otherwise(F.concat(F.lit("--- "), omitted.cast("string"), F.lit(" lines omitted"), F.when(parts != "", F.concat(F.lit(" ("), parts, F.lit(")"))).otherwise(""), F.lit(" ---")))
+
+
+@F.pandas_udf(DoubleType())
+def char_entropy(texts: pd.Series) -> pd.Series:
+    """Shannon entropy of the characters over the logarithm of how many differ; 0 for fewer than two kinds, null for null."""
+    return texts.map(lambda t: None if t is None else _entropy(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)))
+
+
+@F.pandas_udf(DoubleType())
+def byte_entropy(texts: pd.Series) -> pd.Series:
+    """As char_entropy, of the UTF-8 bytes."""
+    return texts.map(lambda t: None if t is None else _entropy(np.frombuffer(t.encode(), np.uint8)))
+
+
+def _bits(counts: np.ndarray) -> float:
+    p = counts[counts > 0] / max(counts.sum(), 1)
+    return float(-(p * np.log2(p)).sum()) + 0.0
+
+
+def _entropy(codes: np.ndarray) -> float:
+    counts = np.unique(codes, return_counts=True)[1]
+    return _bits(counts) / float(np.log2(len(counts))) if len(counts) > 1 else 0.0

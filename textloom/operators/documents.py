@@ -24,17 +24,17 @@ def log_summary(lines: DataFrame, caps: dict[str, int] | None = None) -> DataFra
     return groups.withColumn("_rank", rank).filter(F.col("_rank") <= X.lookup(F.col("level"), caps)).drop("_rank")
 
 
-SEARCH_FORMS = (r"^(.+?):(\d+):(\d+):(.+)$", r"^(.+?):(\d+):(.+)$", r"^(.+?):(.+)$")
+SEARCH_FORMS = (r"(.+?):(\d+):\d+:(.+)", r"(.+?):(\d+):(.+)", r"(.+?):(.+)")
 
 
 def parse_matches(lines: DataFrame) -> DataFrame:
     """doc_id, line_no, file, number, content of lines file:line:col:text, file:line:text or file:text."""
     line = F.col("line")
-    form = F.when(line.rlike(SEARCH_FORMS[0]), 0).when(line.rlike(SEARCH_FORMS[1]), 1).when(line.rlike(SEARCH_FORMS[2]), 2)
-    formed = lines.filter(line.contains(":")).withColumn("form", form).filter("form is not null")
-    get = lambda *groups: F.when(F.col("form") == 0, F.regexp_extract(line, SEARCH_FORMS[0], groups[0])).when(F.col("form") == 1, F.regexp_extract(line, SEARCH_FORMS[1], groups[1])).otherwise(F.regexp_extract(line, SEARCH_FORMS[2], groups[2]))
-    number = F.when(F.col("form") < 2, get(2, 2, 0)).otherwise("0")
-    return formed.select("doc_id", "line_no", get(1, 1, 1).alias("file"), F.coalesce(number.try_cast("long"), F.lit(0)).alias("number"), get(4, 3, 2).alias("content"))
+    # one match a line: its groups, joined by a control character; the first form that fits wins
+    joined = F.regexp_replace(line, f"^(?:{'|'.join(SEARCH_FORMS)})$", "$1$4$7\u0001$2$5\u0001$3$6$8")
+    parts = F.filter(F.array(F.split(joined, "\u0001", 3)), lambda x: F.size(x) == 3)
+    formed = lines.filter(line.contains(":")).select("doc_id", "line_no", F.explode(parts).alias("p"))
+    return formed.select("doc_id", "line_no", F.col("p")[0].alias("file"), F.coalesce(F.col("p")[1].try_cast("long"), F.lit(0)).alias("number"), F.col("p")[2].alias("content"))
 
 
 def match_score(file: Column, content: Column) -> Column:
@@ -55,7 +55,8 @@ def match_score(file: Column, content: Column) -> Column:
 
 def search_rank(lines: DataFrame, per_file: int = 10, files: int = 20, least: float = 0.1) -> DataFrame:
     """The best matches of the best files of each search output; a file scores its best plus half its mean."""
-    scored = parse_matches(lines).withColumn("score", F.round(match_score(F.col("file"), F.col("content")), 6)).filter(F.col("score") >= least)
+    score = F.array(F.round(match_score(F.col("file"), F.col("content")), 6))
+    scored = parse_matches(lines).withColumn("score", F.explode(F.filter(score, lambda x: x >= least)))  # worked out once
     of_file = Window.partitionBy("doc_id", "file")
     ranked = scored.withColumns({"rank": F.row_number().over(of_file.orderBy(F.desc("score"), "line_no")), "file_score": F.round(F.max("score").over(of_file) + 0.5 * F.avg("score").over(of_file), 6)})
     place = F.dense_rank().over(by_doc().orderBy(F.desc("file_score"), "file"))

@@ -140,9 +140,8 @@ def _positional(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chars = docs(spark, sf_dir).select("doc_id", F.explode(F.filter(F.split("text", ""), lambda c: c != "")).alias("c")).groupBy("doc_id", "c").agg(F.count(F.lit(1)).alias("n"))
-    share = F.col("n") / F.sum("n").over(Window.partitionBy("doc_id"))
-    return chars.withColumn("p", share).groupBy("doc_id").agg(F.round(F.when(F.count(F.lit(1)) > 1, -F.sum(F.col("p") * F.log2("p")) / F.log2(F.count(F.lit(1)))).otherwise(0.0), 6).alias("entropy"))
+    some = table(spark, sf_dir, "documents").filter("text <> ''")
+    return some.select("doc_id", F.round(X.char_entropy("text"), 6).alias("entropy"))
 
 
 def _set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,8 +176,8 @@ QUERIES = {
     "redact_text": _docs(lambda: X.redact(F.col("text")).alias("redacted")),
     "redact_counts": lambda s, d: docs(s, d).select("doc_id", X.redact_count(F.col("text")).alias("n")).filter("n > 0"),
     "hash_paths": lambda s, d: table(s, d, "pages").select("page_id", X.hash_path(F.regexp_replace("url", r"^https?:/", "")).alias("hashed")),
-    "mask_values": _docs(lambda: X.mask(F.left("text", F.col("doc_id").cast("int") % 9)).alias("masked")),
-    "content_keys": _docs(lambda: X.content_marker(X.content_key(F.col("text"))).alias("marker"), lambda: X.secret_digest(F.left("text", F.lit(12))).alias("digest")),
+    "mask_values": lambda s, d: table(s, d, "events").select("event_id", X.mask(F.col("event_type")).alias("masked"), X.mask(F.col("event_id").cast("string")).alias("masked_id")),
+    "content_keys": _docs(lambda: X.content_marker(X.content_key(F.col("text"))).alias("marker"), lambda: X.secret_digest(F.col("text")).alias("digest")),
     "content_types": _docs(lambda: X.content_type(F.col("text")).alias("content_type")),
     "anchors_top": _logs(lambda x: x.withColumn("kind", X.anchor_type(F.col("line"))).filter("kind is not null").withColumn("rank", F.row_number().over(runs.by_doc().orderBy(F.desc(X.anchor_priority(F.col("line"))), "line_no"))).filter("rank <= 20").select("doc_id", "line_no", "kind", "rank")),
     "query_anchors": _docs(lambda: F.array_sort(F.array_distinct(F.concat(F.regexp_extract_all("text", F.lit(f"({X.UUID})")), F.regexp_extract_all("text", F.lit(r"\b(\d{4,})\b")), F.regexp_extract_all("text", F.lit(r"([\w.+-]+@[\w-]+\.[\w.]+)"))))).alias("anchors")),
@@ -204,7 +203,7 @@ QUERIES = {
     "window_dedup": _logs(lambda x: neardup.window_dedup(x).select("doc_id", "line_no")),
     "unique_lines": _logs(lambda x: neardup.count_unique(x)),
     "code_filter": lambda s, d: documents.code_filter(docs(s, d), F.lit("python")).select("doc_id", F.sha2("code", 256).alias("code_sha256")),
-    "overflow_lists": _lines(lambda x: x.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.left("line", F.lit(8)))).alias("items")).select("doc_id", X.join_with_overflow(F.col("items"), 3, "lines").alias("joined"))),
+    "overflow_lists": _lines(lambda x: x.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("items")).select("doc_id", X.join_with_overflow(F.col("items"), 3, "lines").alias("joined"))),
     "formats": lambda s, d: table(s, d, "events").select("event_id", X.format_tokens(F.col("event_id") * 977).alias("tokens"), X.format_duration((F.col("event_id") * 37).cast("long")).alias("duration"), X.truncate(F.col("props"), 7).alias("props")),
 }
 
@@ -225,8 +224,8 @@ ORACLES = {
     "redact_text": f"SELECT doc_id, {_replaced(TEXT, X.REDACTIONS)} AS redacted FROM documents",
     "hash_paths": r"""SELECT page_id, CASE WHEN p = '' THEN p ELSE regexp_replace(CASE WHEN b = '' THEN 'root' ELSE b END, '[^A-Za-z0-9_.-]', '_', 'g') || '#' || left(sha256(p), 8) END AS hashed
       FROM (SELECT page_id, p, list_extract(string_split(regexp_replace(p, '/+$', ''), '/'), -1) AS b FROM (SELECT page_id, regexp_replace(url, '^https?:/', '') AS p FROM pages))""",
-    "mask_values": f"SELECT doc_id, CASE WHEN length(v) <= 4 THEN '****' ELSE left(v, 2) || '****' || right(v, 2) END AS masked FROM (SELECT doc_id, left({TEXT}, (doc_id % 9)::INT) AS v FROM documents)",
-    "content_keys": f"SELECT doc_id, '<<ccr:' || left(sha256({TEXT}), 24) || '>>' AS marker, '<redacted; ' || strlen(left({TEXT}, 12)) || ' bytes; sha256=' || left(sha256(left({TEXT}, 12)), 8) || '>' AS digest FROM documents",
+    "mask_values": "SELECT event_id, CASE WHEN length(event_type) <= 4 THEN '****' ELSE left(event_type, 2) || '****' || right(event_type, 2) END AS masked, CASE WHEN length(i) <= 4 THEN '****' ELSE left(i, 2) || '****' || right(i, 2) END AS masked_id FROM (SELECT *, event_id::VARCHAR AS i FROM events)",
+    "content_keys": f"SELECT doc_id, '<<ccr:' || left(sha256({TEXT}), 24) || '>>' AS marker, '<redacted; ' || strlen({TEXT}) || ' bytes; sha256=' || left(sha256({TEXT}), 8) || '>' AS digest FROM documents",
     "normalize_lines": LOG + f"SELECT {normalize_sql('line')} AS template, count(*) AS n FROM logs GROUP BY 1",
     "log_summary": LOG + f""", g AS (SELECT doc_id, {level_sql('line')} AS level, {normalize_sql('line')} AS template, count(*) AS n, min_by(line, line_no) AS example FROM logs GROUP BY 1, 2, 3)
       SELECT doc_id, level, template, n, example FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, level ORDER BY n DESC, template) AS r FROM g WHERE level IS NOT NULL) WHERE r <= CASE level WHEN 'error' THEN 10 WHEN 'warn' THEN 5 ELSE 0 END""",
@@ -265,7 +264,7 @@ ORACLES = {
       SELECT doc_id, change, count(*) AS n FROM (SELECT coalesce(l.doc_id, r.doc_id) AS doc_id, CASE WHEN l.line IS NULL THEN 'added' WHEN r.line IS NULL THEN 'removed' WHEN l.line = r.line THEN 'same'
         WHEN len(list_intersect(list_distinct(string_split(l.line, '')), list_distinct(string_split(r.line, '')))) > 0.5 * len(list_distinct(list_concat(string_split(l.line, ''), string_split(r.line, '')))) THEN 'modified' ELSE 'replaced' END AS change
         FROM l FULL JOIN r ON l.doc_id = r.doc_id AND l.line_no = r.line_no) GROUP BY 1, 2""",
-    "overflow_lists": LINE + "SELECT doc_id, CASE WHEN len(xs) > 3 THEN array_to_string(xs[1:3], ', ') || ', … +' || (len(xs) - 3) || ' more lines' ELSE array_to_string(xs, ', ') END AS joined FROM (SELECT doc_id, list_sort(list(DISTINCT left(line, 8))) AS xs FROM lines GROUP BY 1)",
+    "overflow_lists": LINE + "SELECT doc_id, CASE WHEN len(xs) > 3 THEN array_to_string(xs[1:3], ', ') || ', … +' || (len(xs) - 3) || ' more lines' ELSE array_to_string(xs, ', ') END AS joined FROM (SELECT doc_id, list_sort(list(DISTINCT line)) AS xs FROM lines GROUP BY 1)",
     # one decimal place, halves up
     "formats": """SELECT event_id, CASE WHEN t >= 1000000 THEN ((t + 50000) // 1000000) || '.' || ((t + 50000) // 100000 % 10) || 'M' WHEN t >= 1000 THEN ((t + 50) // 1000) || '.' || ((t + 50) // 100 % 10) || 'K' ELSE t::VARCHAR END AS tokens,
       CASE WHEN d < 1000 THEN d || 'ms' WHEN d < 60000 THEN ((d + 50) // 1000) || '.' || ((d + 50) // 100 % 10) || 's' ELSE (d // 60000) || 'm' || ((d % 60000) // 1000) || 's' END AS duration, CASE WHEN length(props) <= 7 THEN props ELSE left(props, 4) || '...' END AS props

@@ -58,12 +58,12 @@ history AS (
 
 def failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, ts, raw_command, error_message, fallback_succeeded: command lines that could not be parsed."""
-    return table(spark, sf_dir, "events").filter("event_id % 13 = 0").select(
+    return table(spark, sf_dir, "events").select(
         F.col("event_id").alias("id"), "ts", F.concat("event_type", F.lit(" ??")).alias("raw_command"), F.lit("unexpected argument").alias("error_message"), (F.col("event_id") % 3 == 0).alias("fallback_succeeded")
     )
 
 
-FAILURES_SQL = "failures AS (SELECT event_id AS id, ts, event_type || ' ??' AS raw_command, event_id % 3 = 0 AS fallback_succeeded FROM events WHERE event_id % 13 = 0)"
+FAILURES_SQL = "failures AS (SELECT event_id AS id, ts, event_type || ' ??' AS raw_command, event_id % 3 = 0 AS fallback_succeeded FROM events)"
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +123,7 @@ def session_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     command = F.concat(F.element_at(tools, (F.pmod(F.length("text"), F.lit(5)) + 1).cast("int")), F.lit(" --n "), F.pmod(F.length("text"), F.lit(4)).cast("string"), F.when(F.col("seq") % 3 == 0, F.lit(" -v")).otherwise(""))
     joined = uses.join(results, ["session_id", "seq"], "left")
     failed = F.pmod(F.length("text"), F.lit(3)) == 0
-    return joined.select("session_id", "seq", command.alias("command"), failed.alias("is_error"), F.when(failed, F.concat(F.lit("error: unknown option in "), F.left("text", F.lit(20)))).otherwise(F.coalesce("output", F.lit(""))).alias("output"))
+    return joined.select("session_id", "seq", command.alias("command"), failed.alias("is_error"), F.when(failed, F.concat(F.lit("error: unknown option in "), F.col("text"))).otherwise(F.coalesce("output", F.lit(""))).alias("output"))
 
 
 SESSIONS_SQL = """
@@ -131,7 +131,7 @@ sessions AS (
   SELECT a.conv_id AS session_id, a.turn AS seq,
          (['git status', 'cargo test', 'git log', 'npm run', 'docker ps'])[length(a.text) % 5 + 1] || ' --n ' || length(a.text) % 4 || CASE WHEN a.turn % 3 = 0 THEN ' -v' ELSE '' END AS command,
          length(a.text) % 3 = 0 AS is_error,
-         CASE WHEN length(a.text) % 3 = 0 THEN 'error: unknown option in ' || left(a.text, 20) ELSE coalesce(b.text, '') END AS output
+         CASE WHEN length(a.text) % 3 = 0 THEN 'error: unknown option in ' || a.text ELSE coalesce(b.text, '') END AS output
   FROM conversations a LEFT JOIN conversations b ON a.conv_id = b.conv_id AND b.turn - 1 = a.turn AND b.role = 'user'
   WHERE a.role = 'assistant')
 """
