@@ -329,3 +329,55 @@ def _bits(counts: np.ndarray) -> float:
 def _entropy(codes: np.ndarray) -> float:
     counts = np.unique(codes, return_counts=True)[1]
     return _bits(counts) / float(np.log2(len(counts))) if len(counts) > 1 else 0.0
+
+
+def cost_per_million(cost_per_token: Column) -> Column:
+    """A cost for each token as dollars a million tokens; costs that are not positive or not finite count as 0."""
+    bad = cost_per_token.isNull() | F.isnan(cost_per_token) | (F.abs(cost_per_token) == float("inf")) | (cost_per_token <= 0)
+    return F.when(bad, "$0.00/MTok").otherwise(F.format_string("$%.2f/MTok", cost_per_token * 1_000_000.0))
+
+
+def iso_date(text: Column) -> Column:
+    return F.left(text, F.lit(10))
+
+
+def field_hash(name: Column) -> Column:
+    return F.left(F.sha2(name, 256), F.lit(8))
+
+
+def strip_program_path(command: Column) -> Column:
+    """The command with its program's folder left out."""
+    return F.regexp_replace(command, r"^[^ ]*/([^ /]+)(?= |\z)", "$1")
+
+
+def is_uuid(text: Column) -> Column:
+    return text.rlike(r"\A(?=[0-9A-Fa-f-]{36}\z).{8}-.{4}-.{4}-.{4}-")
+
+
+def number_before(text: Column, word: str) -> Column:
+    """The number that stands before word, null if there is none."""
+    return F.regexp_extract(text, rf"(\d+)\s*{word}", 1).try_cast("long")
+
+
+def numbered(line: Column, number: Column, of: Column) -> Column:
+    """A line with its number, as wide as the last one's."""
+    return F.concat(F.lpad(number.cast("string"), F.length(of.cast("string")), " "), F.lit(" │ "), line)
+
+
+#: How detected kinds of content are routed, the priority of log levels, and dollars a million tokens in and out.
+ROUTES = {"json_array": "json", "code": "code", "search": "logs", "build": "logs", "diff": "git_diff", "html": "html", "text": "plain_text"}
+LEVEL_PRIORITIES = {"error": 100, "fail": 90, "warn": 70, "info": 40, "debug": 20, "trace": 10}
+UNKNOWN_PRIORITY = 30
+DOLLARS_IN, DOLLARS_OUT = 3.0, 15.0
+
+
+def route(kind: Column) -> Column:
+    return lookup(kind, ROUTES)
+
+
+def level_priority(level: Column) -> Column:
+    return F.coalesce(lookup(level, LEVEL_PRIORITIES), F.lit(UNKNOWN_PRIORITY))
+
+
+def simple_cost(tokens_in: Column, tokens_out: Column) -> Column:
+    return (tokens_in * DOLLARS_IN + tokens_out * DOLLARS_OUT) / 1_000_000.0
