@@ -269,3 +269,15 @@ def test_ngram_join_on_odd_tables(spark):
         df = spark.createDataFrame(rows, DOCS).coalesce(1)
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(df, small=4).collect()}
         assert got == ngram_brute(rows)
+
+
+def test_keep_one_leaves_clashing_columns(spark, monkeypatch):
+    words = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, words, 7), (2, words, 8), (2, words, 6), (3, "", 9), (None, None, 5), (4, "other words stand alone here now", 4), (4, "other words stand alone here now", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _key long").withColumn("_gone", F.lit("x")).withColumn("_kept", F.lit("y"))
+    expected = [(None, 5), (1, 7), (3, 9), (4, 3)]
+    for bound in (ngram_join.BROADCAST_IDS, 0):
+        monkeypatch.setattr(ngram_join, "BROADCAST_IDS", bound)
+        kept = ngram_join.keep_one(df)
+        assert kept.columns == df.columns
+        assert sorted(((r.doc_id, r["_key"]) for r in kept.collect()), key=lambda x: x[0] or 0) == expected

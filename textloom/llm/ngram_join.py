@@ -392,8 +392,10 @@ def _possible(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return near.select(*names, "_na", "_nb", "_sa", "_sb").mapInArrow(check, pairs.schema)
 
 
-def verify(pairs: DataFrame, docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """The pairs (a, b and other columns) whose texts' shingle sets have 100 * |intersection| >= 80 * |union|."""
+def verify(pairs: DataFrame, docs: DataFrame, text_col: str, id_col: str, repeated: bool = True) -> DataFrame:
+    """The pairs (a, b and other columns) whose texts' shingle sets have 100 * |intersection| >= 80 * |union|.
+
+    repeated: rows may be equal in id and text; without such rows the sets need no shuffle before that of the join."""
     ids = materialize(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "_need"), "pair-ids")
     need = F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
     texts = docs.select(row_key(text_col, id_col).alias("id"), F.col(text_col).alias("text")).join(need, F.col("id") == F.col("_need")).drop("_need")
@@ -406,7 +408,8 @@ def verify(pairs: DataFrame, docs: DataFrame, text_col: str, id_col: str) -> Dat
             out += [hashes[offsets[i] : offsets[i + 1]].tobytes() for i in range(b - a)]
         return [pa.array(out, pa.binary())]
 
-    held = materialize(with_arrow_columns(texts, sets, {"elements": "binary"}, drop=("text",)).dropDuplicates(["id"]), "sets")
+    held = with_arrow_columns(texts, sets, {"elements": "binary"}, drop=("text",))
+    held = materialize(held.dropDuplicates(["id"]) if repeated else held, "sets")
     both = pairs.join(held.select(F.col("id").alias("b"), F.col("elements").alias("_right")), "b")
     names = pairs.columns
     both = both.join(held.select(F.col("id").alias("a"), F.col("elements").alias("_left")), "a").select(*names, "_left", "_right")
@@ -524,14 +527,19 @@ def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") ->
     rows = materialize(labelled(docs, text_col, id_col).select("doc_id", "key", "n_shingles", "component"), "labelled")
     copies = rows.filter("n_shingles > 0").groupBy("component", "key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
     first = copies.groupBy("component").agg(F.min_by(F.struct("key", "copies"), F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first"))
-    empty = rows.filter("n_shingles = 0").select(F.col("key").alias("_kept"), F.lit(1).cast("long").alias("copies")).distinct()
-    kept = materialize(first.select(F.col("first.key").alias("_kept"), F.col("first.copies").alias("copies")).unionByName(empty), "kept")
-    keyed = docs.withColumn("_key", row_key(text_col, id_col))
-    out = keyed.join(kept.filter("copies = 1"), F.col("_key") == F.col("_kept"), "left_semi").select(*docs.columns)
+    kept = materialize(first.select(F.col("first.key").alias("_kept"), F.col("first.copies").alias("copies")), "kept")
     again = kept.filter("copies > 1")
+    gone = copies.select(F.col("key").alias("_gone")).join(kept, F.col("_gone") == F.col("_kept"), "left_anti")
+    gone = materialize(gone.unionByName(again.select(F.col("_kept").alias("_gone"))), "gone")
+    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS  # texts are shuffled only beyond that
+    name = "_key"
+    while name in docs.columns:
+        name += "_"
+    keyed = docs.withColumn(name, row_key(text_col, id_col))
+    out = keyed.join(F.broadcast(gone) if few else gone, keyed[name] == gone["_gone"], "left_anti").select(*docs.columns)
     if again.limit(1).count():  # rows equal in id and text: the smallest by all columns
-        same = keyed.join(again, F.col("_key") == F.col("_kept"), "left_semi")
-        out = out.unionByName(same.groupBy("_key").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*"))
+        same = keyed.join(again, keyed[name] == again["_kept"], "left_semi")
+        out = out.unionByName(same.groupBy(name).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*"))
     return out
 
 
@@ -550,7 +558,8 @@ def labelled(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sm
     classes = materialize(named.select("doc_id", "key", "n_shingles", *(F.when(some, F.col(c)).otherwise(F.col(o)).alias(c) for c, o in (("rep", "key"), ("name", "doc_id")))), "classes")
     known = sets.filter(some).select("key", "n_shingles", "sketch", "seeds").join(reps.select("rep"), F.col("key") == F.col("rep"), "left_semi").dropDuplicates(["key"])
     known = materialize(known, "representatives")
-    to_verify = lambda pairs: verify(pairs, docs, text_col, id_col)
+    repeated = sets.groupBy("key").count().filter("count > 1").limit(1).count() > 0
+    to_verify = lambda pairs: verify(pairs, docs, text_col, id_col, repeated)
 
     # 1: sets that share one of their smallest signatures
     tried = materialize(_possible(_seed_pairs(known), known), "seed-pairs")
