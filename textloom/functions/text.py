@@ -381,3 +381,41 @@ def level_priority(level: Column) -> Column:
 
 def simple_cost(tokens_in: Column, tokens_out: Column) -> Column:
     return (tokens_in * DOLLARS_IN + tokens_out * DOLLARS_OUT) / 1_000_000.0
+
+
+def common_directory(low: Column, high: Column) -> Column:
+    """The directories that the smallest and the largest of a set of paths share, and so all of them, with a slash at the end."""
+    a, b = F.split(low, "/"), F.split(high, "/")
+    n = F.least(F.size(a), F.size(b)) - 1
+    differ = F.array_position(F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n), lambda x, y: x == y), False)
+    shared = F.when(differ == 0, n.cast("long")).otherwise(differ - 1).cast("int")
+    return F.when(shared > 0, F.concat(F.array_join(F.slice(a, F.lit(1), shared), "/"), F.lit("/"))).otherwise("")
+
+
+def line_format(line: Column) -> Column:
+    """The tool whose log a line tells, null if it tells none."""
+    text = F.trim(line)
+    return (
+        F.when(text.rlike("PASSED|FAILED|test session"), "pytest")
+        .when(text.rlike(r"^(PASS|FAIL) ") & text.contains(".test."), "jest")
+        .when(text.rlike(r"^(Compiling|Finished) |error\[E"), "cargo")
+        .when(text.rlike("npm (ERR|WARN)"), "npm")
+        .when(text.rlike(r"^make\[|Entering directory"), "make")
+    )
+
+
+def window_around(line: Column, word: str, most: int) -> Column:
+    """A trimmed line, cut to most characters around the first occurrence of a word in any case where it has more bytes."""
+    text = F.regexp_replace(line, r"^\s+|\s+$", "")
+    at, n = F.instr(F.lower(text), word.lower()), F.length(text)
+    start = F.greatest(at - 1 - most // 3, F.lit(0))
+    start = F.when(start + most >= n, F.greatest(n - most, F.lit(0))).otherwise(start)
+    part = F.substring(text, start + 1, F.lit(most))
+    tail = start + most >= n
+    around = F.when((start > 0) & ~tail, F.concat(F.lit("..."), part, F.lit("..."))).when(start > 0, F.concat(F.lit("..."), part)).otherwise(F.concat(part, F.lit("...")))
+    return F.when(F.octet_length(text) <= most, text).when(at > 0, around).otherwise(F.concat(F.left(text, F.lit(most - 3)), F.lit("...")))
+
+
+def minify_json(text: Column) -> Column:
+    """JSON without white space between values; other text as it is."""
+    return F.coalesce(F.to_json(F.try_parse_json(text)), text)

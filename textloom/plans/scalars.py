@@ -45,7 +45,29 @@ def _uuids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy(X.is_uuid(value).alias("is_uuid")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _directories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The directory that the paths of each user share; a single path has none."""
+    path = F.expr("concat('/srv/u', user_id % 3, '/d', event_id % (1 + user_id % 2), '/f', event_id)")
+    by = table(spark, sf_dir, "events").groupBy("user_id").agg(F.min(path).alias("low"), F.max(path).alias("high"), F.count(F.lit(1)).alias("n"))
+    return by.select("user_id", F.when(F.col("n") > 1, X.common_directory(F.col("low"), F.col("high"))).otherwise("").alias("directory"))
+
+
+def _formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The format of each user's log, told by the first of its ten first lines that tells one."""
+    forms = F.array(*map(F.lit, ("step", " t PASSED", "PASS a.test.js", "Compiling x", "npm WARN y", "make[1]: go", "PASS a", "done")))
+    lines = table(spark, sf_dir, "events").select(
+        "user_id", F.element_at(forms, (F.col("event_id") % 8 + 1).cast("int")).alias("line"), F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("line_no")
+    )
+    told = X.line_format(F.col("line"))
+    first = F.min_by(F.when(F.col("line_no") <= 10, told), F.when((F.col("line_no") <= 10) & told.isNotNull(), F.col("line_no")))
+    return lines.groupBy("user_id").agg(F.coalesce(first, F.lit("generic")).alias("format"))
+
+
 QUERIES = {
+    "common_directories": _directories,
+    "log_formats": _formats,
+    "match_windows": lambda s, d: text_lines(s, d).select("doc_id", "line_no", X.window_around(F.col("line"), "an", 60).alias("shown")),
+    "json_minified": lambda s, d: table(s, d, "events").select("event_id", X.minify_json(F.concat(F.lit(" "), F.replace(F.col("props"), F.lit(":"), F.lit(" :\n ")))).alias("props")),
     "numbered_lines": _numbered,
     "tail_lines": _tail,
     "stripped_programs": _commands,
@@ -62,6 +84,11 @@ QUERIES = {
 
 #: Values are written out here, not taken from the library.
 ORACLES = {
+    "common_directories": "SELECT user_id, CASE WHEN count(*) = 1 THEN '' ELSE '/srv/u' || user_id % 3 || '/' || CASE WHEN min(event_id % (1 + user_id % 2)) = max(event_id % (1 + user_id % 2)) THEN 'd' || min(event_id % (1 + user_id % 2)) || '/' ELSE '' END END AS directory FROM events GROUP BY user_id",
+    "log_formats": "WITH l AS (SELECT user_id, event_id, event_id % 8 AS k, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events), f AS (SELECT user_id, arg_min(k, event_id) FILTER (r <= 10 AND k BETWEEN 1 AND 5) AS k FROM l GROUP BY 1) SELECT user_id, coalesce((['pytest', 'jest', 'cargo', 'npm', 'make'])[k], 'generic') AS format FROM f",
+    "match_windows": f"""WITH {LINES_SQL}, t AS (SELECT doc_id, line_no, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS t FROM lines), p AS (SELECT *, instr(lower(t), 'an') AS hit, length(t) AS n FROM t), q AS (SELECT *, CASE WHEN greatest(hit - 21, 0) + 60 >= n THEN greatest(n - 60, 0) ELSE greatest(hit - 21, 0) END AS b FROM p)
+      SELECT doc_id, line_no, CASE WHEN strlen(t) <= 60 THEN t WHEN hit = 0 THEN left(t, 57) || '...' ELSE CASE WHEN b > 0 THEN '...' ELSE '' END || substring(t, b + 1, 60) || CASE WHEN b + 60 < n OR b = 0 THEN '...' ELSE '' END END AS shown FROM q""",
+    "json_minified": "SELECT event_id, json(props)::VARCHAR AS props FROM events",
     "numbered_lines": f"WITH {LINES_SQL} SELECT doc_id, line_no, lpad((line_no + 1)::VARCHAR, length(n::VARCHAR)::INT, ' ') || ' │ ' || line AS line FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM lines)",
     "tail_lines": f"WITH {LINES_SQL} SELECT doc_id, line_no, line FROM (SELECT *, max(line_no) OVER (PARTITION BY doc_id) AS last FROM lines) WHERE line_no > last - 5",
     "stripped_programs": "SELECT event_id, event_type || ' -x /a/b ' || event_id AS command FROM events",
