@@ -170,3 +170,15 @@ def test_sessions(spark, tmp_path):
     assert (row.command, row.seq, row.output, row.is_error) == ("git status", 1, "clean", False)
     assert one(spark, "cd x && git log | head; echo 'a && b'", sessions.split_chain) == ["cd x", "git log", "head", "echo 'a && b'"]
     assert one(spark, "git diff --stat", lambda c: sessions.classify(c)["savings_pct"]) == 80.0
+
+
+def test_store_put_with_ties(spark):
+    import datetime
+
+    from textloom.plans import records
+
+    schema = "hash string, original string, created_at timestamp_ntz, ttl_seconds long"
+    at = datetime.datetime(2024, 1, 1)
+    store = spark.createDataFrame([("a", "old", at, None), ("b", "kept", at, 5), ("b", "kept", at, None)], schema)
+    new = spark.createDataFrame([("a", "new", at, 5), ("a", "new", at, 9)], schema)
+    assert sorted((r.hash, r.original, r.ttl_seconds) for r in records.put(store, new).collect()) == [("a", "new", 9), ("b", "kept", None)]

@@ -26,9 +26,10 @@ def arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def put(store: DataFrame, new: DataFrame) -> DataFrame:
-    """The content store after an upsert: of each hash the newest row stays."""
-    both = store.unionByName(new)
-    return both.withColumn("_rank", F.row_number().over(Window.partitionBy("hash").orderBy(F.desc("created_at")))).filter("_rank = 1").drop("_rank")
+    """The content store after an upsert: of each hash the newest row stays; of equally new ones a row of new, then the longest to live."""
+    both = store.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    order = [F.desc("created_at"), F.desc("_new"), F.desc_nulls_first("ttl_seconds"), F.asc("original")]
+    return both.withColumn("_rank", F.row_number().over(Window.partitionBy("hash").orderBy(*order))).filter("_rank = 1").drop("_rank", "_new")
 
 
 def live(store: DataFrame, now) -> DataFrame:
@@ -70,7 +71,7 @@ ORACLES = {
     "json_field_profile": f"""WITH {ITEMS}, s AS (SELECT doc_id, event_id, event_id - lag(event_id) OVER (PARTITION BY doc_id ORDER BY event_id) AS step FROM items), m AS (SELECT *, avg(step) OVER (PARTITION BY doc_id) AS mean FROM s)
       SELECT doc_id, round(count(DISTINCT event_id) / count(event_id), 6) AS distinct_share, round(avg(CASE WHEN step IS NOT NULL THEN (step >= 0.5 * mean AND step <= 2 * mean)::INT END), 6) AS even_share, coalesce(min(step) >= 0, true) AS rising FROM m GROUP BY 1""",
     "json_error_items": f"WITH {ITEMS} SELECT doc_id, count(*) AS n FROM items WHERE event_type = 'error' GROUP BY 1",
-    "content_store": """WITH r AS (SELECT left(sha256(props), 24) AS hash, props, ts, CASE WHEN event_id % 2 = 0 THEN 604800 END AS ttl FROM events), k AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY hash ORDER BY ts DESC) = 1)
+    "content_store": """WITH r AS (SELECT left(sha256(props), 24) AS hash, props, ts, CASE WHEN event_id % 2 = 0 THEN 604800 END AS ttl, event_id % 3 <> 0 AS new FROM events), k AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY hash ORDER BY ts DESC, new DESC, ttl DESC NULLS FIRST) = 1)
       SELECT ttl IS NULL AS for_ever, count(*) AS n, sum(strlen(props))::BIGINT AS bytes FROM k WHERE ttl IS NULL OR floor(epoch(ts)) + ttl > epoch(TIMESTAMP '2024-02-02 00:00:00') GROUP BY 1""",
     "tumbling_events": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "sliding_events": "SELECT time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE * k AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events, range(2) t(k) GROUP BY ALL",
