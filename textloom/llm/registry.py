@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.llm import ann, line_dedup, mixing, ngram_join, pieces, quality, range_join, substring_dedup, url_filter, wrappers
+from textloom.llm import ann, decontaminate, filter_audit, line_dedup, mixing, ngram_join, pieces, quality, range_join, substring_dedup, url_filter, wrappers
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -15,10 +15,14 @@ QUERIES = {
     "op8_mixing": mixing.query,
     "op9_quality_classifier": quality.query,
     "op10_html_extraction": wrappers.query,
+    "op11_filter_audit": filter_audit.query,
+    "op12_decontamination": decontaminate.query,
 }
 
 ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE,
     "op2_range_join": range_join.ORACLE,
     "op8_mixing": mixing.oracle(),
+    "op11_filter_audit": filter_audit.ORACLE,
+    "op12_decontamination": decontaminate.ORACLE,
 }
