@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.llm import ann, decontaminate, filter_audit, line_dedup, mixing, ngram_join, pieces, quality, range_join, substring_dedup, url_filter, wrappers
+from textloom.llm import ann, decontaminate, filter_audit, line_dedup, mixing, ngram_join, pieces, quality, range_join, source_divergence, substring_dedup, url_filter, wrappers
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_html_extraction": wrappers.query,
     "op11_filter_audit": filter_audit.query,
     "op12_decontamination": decontaminate.query,
+    "op13_source_divergence": source_divergence.query,
 }
 
 ORACLES = {
@@ -25,4 +26,5 @@ ORACLES = {
     "op8_mixing": mixing.oracle(),
     "op11_filter_audit": filter_audit.ORACLE,
     "op12_decontamination": decontaminate.ORACLE,
+    "op13_source_divergence": source_divergence.ORACLE,
 }
