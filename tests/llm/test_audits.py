@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 from itertools import permutations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,20 +148,24 @@ def test_source_divergence(spark):
 
 def test_trie_merges_and_walks_in_byte_order():
     rng = random.Random(8)
-    words = ["".join(rng.choice("ab中é") for _ in range(rng.randint(1, 7))).encode() for _ in range(400)]
-    one, two, both = source_divergence.RadixTrie(), source_divergence.RadixTrie(), Counter()
-    for i, w in enumerate(words):
-        (one if i % 2 else two).add(w, {str(i % 3): (i, 1)})
-        both[w, str(i % 3)] += i
+    words = ["".join(rng.choice("ab中é") for _ in range(rng.choice([1, 2, 4, 7, 40]))).encode() for _ in range(400)]
+    both, tries = Counter(), []
+    for half in (0, 1):
+        mine = [(w, i % 3, i) for i, w in enumerate(words) if i % 2 == half]
+        names = [f"s{k}" for k in (range(3) if half else (2, 0, 1))]
+        array = lambda k: np.array([m[k] for m in mine], np.int64)
+        tries.append(source_divergence.RadixTrie.of(pa.array([m[0] for m in mine], pa.large_binary()), np.arange(len(mine)), names, array(1), array(2), np.ones(len(mine), np.int64)))
+        for w, k, i in mine:
+            both[w, names[k]] += i
+    flat = lambda t: {(t.terms[i].as_py(), t.names[t.source[k]]): int(t.n[k]) for i in range(len(t.terms)) for k in range(t.begin[i], t.begin[i + 1])}
     for depth in (1, 3, 50):
-        merged = source_divergence.RadixTrie()
-        for trie in (two, one):
-            for piece in trie.pieces("x", depth):
-                assert all(piece["unit"] == piece["unit"][:depth] for _ in piece["rest"]) and piece["size"] == len(piece["n"])
-                merged.absorb(piece)
-        walked = list(merged.walk())
-        assert [t for t, _ in walked] == sorted(set(words))
-        assert {(t, s): n for t, c in walked for s, (n, _) in c.items()} == dict(both) and merged.size == len(both)
+        batches = [b for t in tries for b in t.pieces("x", depth)]
+        units = [[r["unit"] for b in t.pieces("x", depth) for r in b.to_pylist()] for t in tries]
+        assert all(u == sorted(set(u)) for u in units)
+        assert all(r["size"] == len(r["n"]) == sum(r["width"]) and r["unit"] == r["rest"][0][:depth] for b in batches for r in b.to_pylist())
+        merged = source_divergence.RadixTrie.of_pieces(pa.Table.from_batches(batches))
+        assert merged.terms.to_pylist() == sorted(set(words))
+        assert flat(merged) == dict(both) == flat(source_divergence.RadixTrie.merge(tries)) and merged.size == len(both)
 
 
 def test_shares_are_exact():

@@ -21,189 +21,280 @@ square of the sources of one language, which is also the size of that part of th
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
-from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.common import load, materialize, text_bytes
 
 MIN_DOCS, TOP, SCALE = 3, 200, 1_000_000_000
-DEPTH, MAX_DEPTH, RANGE, LEAVES = 3, 96, 500_000, 300_000
-SLICE = 1 << 20
+DEPTH, MAX_DEPTH, RANGE, LEAVES = 3, 96, 500_000, 1_000_000
+SLICE = 4 << 20
 CELLS = 1 << 20
 
 #: Letters and non-ASCII bytes stay, A-Z lower-cased; every other byte separates terms.
 _TERM = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
-PIECE = pa.schema(
-    [
-        ("lang", pa.string()),
-        ("unit", pa.binary()),
-        ("size", pa.int64()),
-        ("sources", pa.list_(pa.string())),
-        ("shared", pa.list_(pa.int32())),
-        ("rest", pa.list_(pa.binary())),
-        ("width", pa.list_(pa.int32())),
-        ("source", pa.list_(pa.int32())),
-        ("n", pa.list_(pa.int64())),
-        ("docs", pa.list_(pa.int64())),
-    ]
-)
 PIECES = "lang string, unit binary, size long, sources array<string>, shared array<int>, rest array<binary>, width array<int>, source array<int>, n array<long>, docs array<long>"
+KEPT = "lang string, range_id string, term string, sources array<string>, counts array<long>"
+
+
+def _list(offsets: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
+
+
+def _flat(column: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
+    """The values of a column of lists, one after the other, and the size of each list."""
+    whole = column.combine_chunks()
+    whole = whole if isinstance(whole, pa.Array) else pa.concat_arrays(column.chunks)
+    return whole.flatten(), whole.value_lengths().to_numpy(zero_copy_only=False)
+
+
+def _binary(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Byte strings of these sizes, one after the other in data."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _bytes_of(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of large binary strings and where each string begins, one more at the end."""
+    offsets = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1]
+    data = strings.buffers()[2]
+    return np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8), offsets
+
+
+def common_prefixes(terms: pa.Array) -> np.ndarray:
+    """How many bytes each of some sorted terms shares with the one before it: the depth at which it leaves that one's path."""
+    n, width = len(terms), 24
+    out = np.zeros(n, np.int64)
+    data, offsets = _bytes_of(terms)
+    sizes = np.diff(offsets)
+    for i in range(1, n, CELLS // width):
+        j = min(n, i + CELLS // width)
+        at = offsets[i - 1 : j, None] + np.arange(width)
+        heads = np.where(np.arange(width) < sizes[i - 1 : j, None], data[np.minimum(at, len(data) - 1)].astype(np.int16), -1)
+        same = heads[1:] == heads[:-1]
+        out[i:j] = np.minimum(np.where(same.all(axis=1), width, same.argmin(axis=1)), np.minimum(sizes[i - 1 : j - 1], sizes[i:j]))
+    for i in np.flatnonzero(out >= width).tolist():
+        a, b = data[offsets[i - 1] : offsets[i]], data[offsets[i] : offsets[i + 1]]
+        k = min(len(a), len(b))
+        unlike = np.flatnonzero(a[:k] != b[:k])
+        out[i] = unlike[0] if len(unlike) else k
+    return out
 
 
 class RadixTrie:
-    """A byte trie with merged edges; a node is [edge, children by first byte, counters by source or None]."""
-
-    def __init__(self):
-        self.root: list = [b"", {}, None]
-        self.size = 0  # counters in all leaves
-
-    def add(self, term: bytes, counters: dict[str, tuple[int, int]]) -> None:
-        """Add (occurrences, documents) by source to a term's leaf."""
-        node, rest = self.root, term
-        while rest:
-            child = node[1].get(rest[0])
-            if child is None:
-                child = node[1][rest[0]] = [rest, {}, None]
-                node = child
-                break
-            edge = child[0]
-            if not rest.startswith(edge):
-                k = len(commonprefix((edge, rest)))
-                fork = node[1][rest[0]] = [edge[:k], {edge[k]: child}, None]
-                child[0] = edge[k:]
-                child, edge = fork, fork[0]
-            node, rest = child, rest[len(edge) :]
-        held = node[2]
-        if held is None:
-            node[2] = dict(counters)
-            self.size += len(counters)
+    """A byte trie with merged edges, as arrays: its leaves in preorder, and how deep each one leaves the path before it.
+
+    An inner node is a stretch of leaves whose depths are at least its own; cutting at a depth is cutting where depths are
+    lower. Each leaf has counters (occurrences, documents) by source.
+    """
+
+    def __init__(self, terms: pa.Array, begin: np.ndarray, names: list[str], source: np.ndarray, n: np.ndarray, docs: np.ndarray):
+        self.terms, self.begin, self.names, self.source, self.n, self.docs = terms, begin, names, source, n, docs
+
+    @property
+    def size(self) -> int:
+        return len(self.n)
+
+    @classmethod
+    def of(cls, terms: pa.Array, term: np.ndarray, names: list[str], source: np.ndarray, n: np.ndarray, docs: np.ndarray, sum_docs: bool = True) -> RadixTrie:
+        """From counters of terms[term] in any order; equal ones are added up (documents of one text's slices are not)."""
+        coded = pa.DictionaryArray.from_arrays(pa.array(term.astype(np.int32)), terms).dictionary.dictionary_encode()
+        order = pc.sort_indices(coded.dictionary).to_numpy()
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        key = rank[coded.indices.to_numpy()][term] * max(len(names), 1) + source
+        by = np.argsort(key, kind="stable")
+        key = key[by]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        leaf, own = np.divmod(key[first], max(len(names), 1))
+        used = np.unique(leaf)
+        add = lambda values, how=np.add: how.reduceat(values[by], first) if len(first) else values[:0]
+        begin = np.concatenate([np.searchsorted(leaf, used), [len(leaf)]])
+        return cls(coded.dictionary.take(pa.array(order[used])), begin, names, own, add(n), add(docs, np.add if sum_docs else np.maximum))
+
+    @classmethod
+    def merge(cls, tries: list[RadixTrie], sum_docs: bool = True) -> RadixTrie:
+        names = sorted({x for t in tries for x in t.names})
+        place = {x: i for i, x in enumerate(names)}
+        shift = np.cumsum([0, *(len(t.terms) for t in tries)])
+        term = np.concatenate([np.repeat(np.arange(len(t.terms)), np.diff(t.begin)) + shift[i] for i, t in enumerate(tries)])
+        source = np.concatenate([np.array([place[x] for x in t.names], np.int64)[t.source] for t in tries])
+        join = lambda name: np.concatenate([getattr(t, name) for t in tries])
+        return cls.of(pa.concat_arrays([t.terms for t in tries]), term, names, source, join("n"), join("docs"), sum_docs)
+
+    def pieces(self, lang: str, depth: int) -> Iterator[pa.RecordBatch]:
+        """A row for each prefix of depth bytes (a shorter term is a prefix of its own): its subtree in preorder, front-coded."""
+        if not len(self.terms):
             return
-        for source, (n, d) in counters.items():
-            old = held.get(source)
-            if old is None:
-                self.size += 1
-                held[source] = (n, d)
-            else:
-                held[source] = (old[0] + n, old[1] + d)
-
-    def walk(self) -> Iterator[tuple[bytes, dict[str, tuple[int, int]]]]:
-        """Terms and counters in the order of their bytes."""
-        todo = [(b"", self.root)]
-        while todo:
-            prefix, node = todo.pop()
-            term = prefix + node[0]
-            if node[2]:
-                yield term, node[2]
-            todo += [(term, node[1][b]) for b in sorted(node[1], reverse=True)]
-
-    def pieces(self, lang: str, depth: int) -> Iterator[dict]:
-        """One row of PIECE for each prefix of depth bytes; a shorter term is a prefix of its own."""
-        unit, last, row, index = None, b"", None, {}
-        for term, counters in self.walk():
-            if term[:depth] != unit:
-                if row:
-                    yield row
-                unit, last, index = term[:depth], b"", {}
-                row = {k: [] for k in PIECE.names} | {"lang": lang, "unit": unit, "size": 0}
-            k = len(commonprefix((last, term)))
-            row["shared"].append(k)
-            row["rest"].append(term[k:])
-            row["width"].append(len(counters))
-            row["size"] += len(counters)
-            for source, (n, d) in counters.items():
-                if source not in index:
-                    index[source] = len(index)
-                    row["sources"].append(source)
-                row["source"].append(index[source])
-                row["n"].append(n)
-                row["docs"].append(d)
-            last = term
-        if row:
-            yield row
-
-    def absorb(self, piece: dict) -> None:
-        """Merge a piece into this trie."""
-        term, at = b"", 0
-        for shared, rest, width in zip(piece["shared"], piece["rest"], piece["width"], strict=True):
-            term = term[:shared] + rest
-            part = slice(at, at + width)
-            at += width
-            self.add(term, {piece["sources"][s]: (n, d) for s, n, d in zip(piece["source"][part], piece["n"][part], piece["docs"][part], strict=True)})
-
-
-def terms(text: bytes) -> Iterator[list[bytes]]:
-    """The terms of a text, in lists of about SLICE bytes."""
-    plain, at = text.translate(_TERM), 0
-    while at < len(plain):
-        end = plain.find(b" ", at + SLICE)
-        end = len(plain) if end < 0 else end
-        yield plain[at:end].split()
-        at = end
-
-
-def _rows(pieces: Iterator[dict]) -> Iterator[pa.RecordBatch]:
-    """Pieces as batches of about 100,000 counters."""
-    held, size = [], 0
-    for piece in pieces:
-        held.append(piece)
-        size += piece["size"]
-        if size > 100_000:
-            yield pa.RecordBatch.from_pylist(held, PIECE)
-            held, size = [], 0
-    if held:
-        yield pa.RecordBatch.from_pylist(held, PIECE)
-
-
-def count_terms(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", depth: int = DEPTH, leaves: int = LEAVES) -> DataFrame:
+        shared = common_prefixes(self.terms)
+        cut = np.flatnonzero(np.concatenate([[True], shared[1:] < depth]))
+        shared[cut] = 0
+        data, offsets = _bytes_of(self.terms)
+        sizes = np.diff(offsets) - shared
+        at = np.repeat(offsets[:-1] + shared, sizes) + _ramp(sizes)
+        heads = np.minimum(np.diff(offsets)[cut], depth)
+        unit = _binary(data[np.repeat(offsets[:-1][cut], heads) + _ramp(heads)], heads)
+        leaves, counters = np.concatenate([cut, [len(self.terms)]]), np.concatenate([self.begin[cut], [self.size]])
+        of_unit = np.repeat(np.arange(len(cut)), np.diff(counters))
+        kinds, local = np.unique(of_unit * len(self.names) + self.source, return_inverse=True)
+        held = np.searchsorted(kinds, np.arange(len(cut) + 1) * len(self.names))
+        columns = [
+            pa.array([lang] * len(cut), pa.string()),
+            unit.cast(pa.binary()),
+            pa.array(np.diff(counters)),
+            _list(held, pa.array(self.names, pa.string()).take(pa.array(kinds % len(self.names)))),
+            _list(leaves, pa.array(shared.astype(np.int32))),
+            _list(leaves, _binary(data[at], sizes).cast(pa.binary())),
+            _list(leaves, pa.array(np.diff(self.begin).astype(np.int32))),
+            _list(counters, pa.array((local - held[of_unit]).astype(np.int32))),
+            _list(counters, pa.array(self.n)),
+            _list(counters, pa.array(self.docs)),
+        ]
+        whole = pa.RecordBatch.from_arrays(columns, ["lang", "unit", "size", "sources", "shared", "rest", "width", "source", "n", "docs"])
+        for i in range(0, len(cut), 256):
+            yield whole.slice(i, 256)
+
+    @classmethod
+    def of_pieces(cls, table: pa.Table) -> RadixTrie:
+        """The merged tries of pieces of one language."""
+        shared, _ = _flat(table["shared"])
+        rest, _ = _flat(table["rest"])
+        width, _ = _flat(table["width"])
+        source, counters = _flat(table["source"])
+        names, held = _flat(table["sources"])
+        terms, term = [], b""
+        for k, x in zip(shared.to_pylist(), rest.to_pylist(), strict=True):
+            term = term[:k] + x
+            terms.append(term)
+        coded = names.dictionary_encode()
+        first = np.concatenate([[0], np.cumsum(held)])[:-1]
+        own = coded.indices.to_numpy()[np.repeat(first, counters) + source.to_numpy()].astype(np.int64)
+        leaf = np.repeat(np.arange(len(terms)), width.to_numpy())
+        return cls.of(pa.array(terms, pa.large_binary()), leaf, coded.dictionary.to_pylist(), own, _flat(table["n"])[0].to_numpy(), _flat(table["docs"])[0].to_numpy())
+
+
+def _ramp(sizes: np.ndarray) -> np.ndarray:
+    """0 to size - 1 for each of sizes, one after the other."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def slices(texts: list[bytes], size: int = SLICE) -> Iterator[tuple[list[int], list[bytes], bool]]:
+    """Texts (by index) of about size bytes in all with separators for bytes that no term has; a long text comes in parts (True)."""
+    rows, held, total = [], [], 0
+    for i, text in enumerate(texts):
+        plain = text.translate(_TERM)
+        if len(plain) > size:
+            at = 0
+            while at < len(plain):
+                end = plain.find(b" ", at + size)
+                end = len(plain) if end < 0 else end
+                yield [i], [plain[at:end]], True
+                at = end
+            continue
+        rows.append(i)
+        held.append(plain)
+        total += len(plain)
+        if total > size:
+            yield rows, held, False
+            rows, held, total = [], [], 0
+    if rows:
+        yield rows, held, False
+
+
+def count_slice(texts: list[bytes], group: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Terms, and for each group and term that occurs in it: group, term, occurrences, documents."""
+    buf = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+    inside = buf != 32
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).view(np.int8)))
+    starts, ends = edges[0::2], edges[1::2]
+    bounds = np.cumsum([len(t) + 1 for t in texts])
+    doc = np.searchsorted(bounds, starts, side="right")
+    coded = _binary(buf[inside], ends - starts).dictionary_encode()
+    n = max(len(coded.dictionary), 1)
+    key = (group[doc] * n + coded.indices.to_numpy()) * len(texts) + doc
+    key.sort()
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    times = np.diff(np.concatenate([first, [len(key)]]))
+    pair = key[first] // len(texts)
+    one = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
+    of_group, term = np.divmod(pair[one], n)
+    return coded.dictionary, of_group, term, np.add.reduceat(times, one) if len(one) else times, np.diff(np.concatenate([one, [len(pair)]]))
+
+
+def count_terms(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", depth: int = DEPTH, leaves: int = LEAVES, size: int = SLICE) -> DataFrame:
     """The pieces of the tries of each partition of docs."""
 
-    def pieces(batches) -> Iterator[dict]:
-        tries: dict[str, RadixTrie] = defaultdict(RadixTrie)
+    def run(batches):
+        held: dict[str, list[RadixTrie]] = defaultdict(list)
         for batch in batches:
-            counts, holders = defaultdict(Counter), defaultdict(Counter)
-            for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2)), strict=True):
-                own: set[bytes] = set()
-                for found in terms(text):
-                    counts[lang, source].update(found)
-                    own.update(found)
-                holders[lang, source].update(own)
-            merged: dict[str, dict] = defaultdict(lambda: defaultdict(dict))
-            for (lang, source), counter in counts.items():
-                held, into = holders[lang, source], merged[lang]
-                for term, n in counter.items():
-                    into[term][source] = (n, held[term])
-            for lang, found in merged.items():
-                trie = tries[lang]
-                for term, counters in found.items():
-                    trie.add(term, counters)
-            if sum(t.size for t in tries.values()) > leaves:
-                for lang in list(tries):
-                    yield from tries.pop(lang).pieces(lang, depth)
-        for lang in list(tries):
-            yield from tries.pop(lang).pieces(lang, depth)
+            langs, sources, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2))
+            for rows, parts, long in _together(slices(texts, size)):
+                groups = sorted({(langs[i], sources[i]) for i in rows})
+                place = {g: k for k, g in enumerate(groups)}
+                group = np.array([place[langs[i], sources[i]] for i in rows], np.int64)
+                for lang, trie in _by_lang(parts, group, groups, long):
+                    held[lang].append(trie)
+            if sum(t.size for tries in held.values() for t in tries) > leaves:
+                yield from _send(held, depth)
+        yield from _send(held, depth)
 
     text = lambda name: F.coalesce(F.col(name).cast("string"), F.lit("")).alias(name)
-    return docs.select(text(lang_col), text(source_col), text_col).mapInArrow(lambda batches: _rows(pieces(batches)), PIECES)
+    return docs.select(text(lang_col), text(source_col), text_col).mapInArrow(run, PIECES)
+
+
+def _together(parts: Iterator[tuple[list[int], list[bytes], bool]]) -> Iterator[tuple[list[int], list[bytes], bool]]:
+    """The parts of one long text in one list."""
+    long: tuple[list[int], list[bytes]] | None = None
+    for rows, texts, is_long in parts:
+        if long and (not is_long or long[0] != rows):
+            yield *long, True
+            long = None
+        if is_long:
+            long = (rows, (long[1] if long else []) + texts)
+        else:
+            yield rows, texts, False
+    if long:
+        yield *long, True
+
+
+def _by_lang(texts: list[bytes], group: np.ndarray, groups: list[tuple[str, str]], long: bool) -> Iterator[tuple[str, RadixTrie]]:
+    """A trie a language; the parts of a long text count as one document."""
+    if long:
+        (lang, source), tries = groups[0], []
+        for part in texts:
+            terms, own, term, n, docs = count_slice([part], group)
+            tries.append(RadixTrie.of(terms, term, [source], own, n, docs))
+        yield lang, RadixTrie.merge(tries, sum_docs=False)
+        return
+    terms, own, term, n, docs = count_slice(texts, group)
+    for lang in dict.fromkeys(g[0] for g in groups):
+        mine = [k for k, g in enumerate(groups) if g[0] == lang]
+        some = (own >= mine[0]) & (own <= mine[-1])  # groups are sorted, so those of a language lie side by side
+        yield lang, RadixTrie.of(terms, term[some], [groups[k][1] for k in mine], own[some] - mine[0], n[some], docs[some])
+
+
+def _send(held: dict[str, list[RadixTrie]], depth: int) -> Iterator[pa.RecordBatch]:
+    for lang in list(held):
+        yield from RadixTrie.merge(held.pop(lang)).pieces(lang, depth)
 
 
 def cut_again(pieces: DataFrame, depth: int) -> DataFrame:
     """The same counters in pieces of longer prefixes."""
 
-    def cut(batches) -> Iterator[dict]:
+    def cut(batches):
         for batch in batches:
-            for piece in batch.to_pylist():
-                trie = RadixTrie()
-                trie.absorb(piece)
-                yield from trie.pieces(piece["lang"], depth)
+            table = pa.Table.from_batches([batch])
+            for lang in table["lang"].unique().to_pylist():
+                yield from RadixTrie.of_pieces(table.filter(pc.equal(table["lang"], lang))).pieces(lang, depth)
 
-    return pieces.mapInArrow(lambda batches: _rows(cut(batches)), PIECES)
+    return pieces.mapInArrow(cut, PIECES)
 
 
 def by_range(pieces: DataFrame, most: int = RANGE, depth: int = DEPTH) -> DataFrame:
@@ -226,22 +317,22 @@ def merge_ranges(ranged: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(lang, range_id, term, sources, counts): the merged leaves of terms that at least min_docs documents hold."""
 
     def merge(table: pa.Table) -> pa.Table:
-        trie = RadixTrie()
-        for batch in table.to_batches(max_chunksize=1000):
-            for piece in batch.to_pylist():
-                trie.absorb(piece)
-        found = [(t, c) for t, c in trie.walk() if sum(d for _, d in c.values()) >= min_docs]
+        trie = RadixTrie.of_pieces(table)
+        kept = np.flatnonzero(np.add.reduceat(trie.docs, trie.begin[:-1]) >= min_docs)
+        width = np.diff(trie.begin)[kept]
+        at = np.repeat(trie.begin[kept], width) + _ramp(width)
+        offsets = np.concatenate([[0], np.cumsum(width)])
         return pa.table(
             {
-                "lang": pa.array([table["lang"][0].as_py()] * len(found), pa.string()),
-                "range_id": pa.array([table["range_id"][0].as_py()] * len(found), pa.string()),
-                "term": pa.array([t.decode() for t, _ in found], pa.string()),
-                "sources": pa.array([list(c) for _, c in found], pa.list_(pa.string())),
-                "counts": pa.array([[n for n, _ in c.values()] for _, c in found], pa.list_(pa.int64())),
+                "lang": pa.array([table["lang"][0].as_py()] * len(kept), pa.string()),
+                "range_id": pa.array([table["range_id"][0].as_py()] * len(kept), pa.string()),
+                "term": trie.terms.take(pa.array(kept)).cast(pa.large_string()).cast(pa.string()),
+                "sources": _list(offsets, pa.array(trie.names, pa.string()).take(pa.array(trie.source[at]))),
+                "counts": _list(offsets, pa.array(trie.n[at])),
             }
         )
 
-    return ranged.groupBy("lang", "range_id").applyInArrow(merge, "lang string, range_id string, term string, sources array<string>, counts array<long>")
+    return ranged.groupBy("lang", "range_id").applyInArrow(merge, KEPT)
 
 
 def share(count: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -325,22 +416,24 @@ def divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
         source_of = {s: i for i, (s, _) in enumerate(names)}
         v = given["v"][0].as_py()
         totals = np.array([n for _, n in names], np.int64) + v
-        rows = sorted(zip((t.encode() for t in found["term"].to_pylist()), found["sources"].to_pylist(), found["counts"].to_pylist(), strict=True), key=lambda r: r[0])
-        term = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows]).astype(np.int64)
-        source = np.array([source_of[s] for r in rows for s in r[1]], np.int64)
-        count = np.array([n for r in rows for n in r[2]], np.int64)
+        order = pc.sort_indices(found["term"].cast(pa.binary()))  # the order of a walk through the trie
+        found = found.take(order)
+        held, width = _flat(found["sources"])
+        coded = held.dictionary_encode()
+        source = np.array([source_of[x] for x in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy()] if len(held) else np.zeros(0, np.int64)
+        term = np.repeat(np.arange(len(width)), width)
+        count = _flat(found["counts"])[0].to_numpy()
         n = len(names)
-        sums = pair_sums(len(rows), term, source, count, totals) if v else np.zeros((n, n), np.int64)
-        chosen, value = top_terms(term, source, count, totals, sum(c for _, c in names) + v, top) if len(rows) else (np.zeros(0, np.int64),) * 2
+        sums = pair_sums(len(width), term, source, count, totals) if v else np.zeros((n, n), np.int64)
+        chosen, value = top_terms(term, source, count, totals, sum(c for _, c in names) + v, top) if len(width) else (np.zeros(0, np.int64),) * 2
         left, right = np.nonzero(~np.eye(n, dtype=bool))
         label = pa.array([s for s, _ in names], pa.string())
-        words = pa.array([r[0].decode() for r in rows], pa.string())
         return pa.table(
             {
                 "lang": pa.array([given["lang"][0].as_py()] * (len(left) + len(chosen)), pa.string()),
                 "source": pa.chunked_array([label.take(pa.array(left)), label.take(pa.array(source[chosen]))]),
                 "part": pa.array(["pair"] * len(left) + ["term"] * len(chosen), pa.string()),
-                "item": pa.chunked_array([label.take(pa.array(right)), words.take(pa.array(term[chosen]))]),
+                "item": pa.chunked_array([label.take(pa.array(right)), found["term"].combine_chunks().take(pa.array(term[chosen]))]),
                 "value": pa.array(np.concatenate([sums[left, right], value])),
             }
         )
