@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.operators import summaries
+from textloom.operators import handlers, summaries
 from textloom.sources.tables import table
 
 #: The line of each event in SQL that both engines read: u is the user, e the event, rn its number within the user's.
@@ -30,6 +30,8 @@ LINES = {
       ELSE CASE e % 4 WHEN 0 THEN 'src/f' || e % 3 || '.ts(' || e || ',' || rn || '): error TS' || (2000 + e % 7) || ': Type ' || repeat('long ', e % 40) || 'x' WHEN 1 THEN '  ' || repeat('context ', e % 30) || 'y'
         WHEN 2 THEN 'other' ELSE chr(9) || 'tab ' || e || ' ' END END""",
     "log": """CASE WHEN rn % 9 = 8 THEN '---END---' WHEN rn % 9 = 0 THEN 'abc' || e || ' ' || repeat('subject ', e % 20) || '(2 days ago) <me>' WHEN rn % 9 = 4 THEN 'Signed-off-by: me' WHEN e % 5 < u % 4 THEN '' ELSE ' body ' || e || ' ' END""",
+    "push": """CASE WHEN rn % 11 = 0 THEN 'Enumerating objects: ' || e WHEN rn % 11 = 3 THEN '  Total ' || e WHEN rn % 11 = 5 THEN '' WHEN u % 3 = 0 AND e % 7 = 0 THEN '   abc..def  main -> main' || e || ' (x)'
+      WHEN u % 3 = 1 AND rn = 20 THEN 'Everything up-to-date' WHEN u % 3 = 2 AND e % 5 = 0 THEN 'odd -> ' ELSE 'remote: ' || e END""",
     "diff": """CASE WHEN rn % 40 = 0 THEN 'diff --git a/f' || e || ' b/f' || e WHEN rn % 40 = 1 THEN '--- a/f' WHEN rn % 40 = 2 THEN '+++ b/f' WHEN rn % 40 IN (3, 17) THEN '@@ -1,9 +1,9 @@ fn f' || e || '()'
       ELSE CASE e % 6 WHEN 0 THEN '+added ' || e WHEN 1 THEN '-removed ' || e WHEN 2 THEN '\\ No newline' WHEN 3 THEN '+++ odd' ELSE ' context ' || e END END""",
 }
@@ -48,6 +50,11 @@ QUERIES = {
     "tsc_summaries": lambda s, d: summaries.tsc_summary(lines(s, d, "tsc"), 32),
     "git_log_summaries": lambda s, d: summaries.git_log_summary(lines(s, d, "log"), 5, chunk=32),
     "git_diff_summaries": lambda s, d: summaries.git_diff_summary(lines(s, d, "diff"), 50, 6, 32),
+    "cargo_build_blocks": lambda s, d: handlers.output_blocks(lines(s, d, "cargo"), "cargo build", 32).select("doc_id", "block", "text"),
+    "cargo_test_blocks": lambda s, d: handlers.output_blocks(lines(s, d, "cargo"), "cargo test", 32).select("doc_id", "block", "text"),
+    "tsc_blocks": lambda s, d: handlers.output_blocks(lines(s, d, "tsc"), "tsc", 32),
+    "git_push_lines": lambda s, d: handlers.push_lines(lines(s, d, "push")),
+    "git_push_summaries": lambda s, d: handlers.push_summary(lines(s, d, "push")),
 }
 
 
@@ -171,4 +178,27 @@ ORACLES = {
         ELSE a END, {{'o': []::VARCHAR[], 'f': false, 'p': 0, 'm': 0, 'h': false, 's': 0, 'k': 0, 't': false}}) AS z FROM lines GROUP BY doc_id)
   SELECT doc_id, array_to_string(list_concat(z.o, CASE WHEN len(z.o) >= 50 THEN [chr(10) || '... (more changes truncated)'] ELSE [] END, CASE WHEN z.k > 0 THEN ['  ... (' || z.k || ' lines truncated)'] ELSE [] END,
     CASE WHEN z.f AND z.p + z.m > 0 THEN ['  +' || z.p || ' -' || z.m] ELSE [] END, CASE WHEN z.t OR z.k > 0 OR len(z.o) >= 50 THEN ['[full diff: git diff]'] ELSE [] END), chr(10)) AS summary FROM folded""",
+    "cargo_build_blocks": f"WITH {_lines_sql('cargo')}, {_BUILD} SELECT doc_id, unnest(b) AS text, generate_subscripts(b, 1) AS block FROM built",
+    "cargo_test_blocks": f"""WITH {_lines_sql("cargo")},
+  folded AS (
+    SELECT doc_id, list_reduce(list(line ORDER BY line_no), lambda a, x: CASE
+        WHEN regexp_matches(x, '^\\s*(Compiling|Download(ing|ed)|Finished)') OR starts_with(x, 'running ') OR regexp_matches(x, '^test .*\\.\\.\\. (ok|FAILED)$') THEN a
+        WHEN x = 'failures:' THEN {{'s': true, 'n': a.n OR a.s, 'in': a.in, 'b': a.b}}
+        WHEN starts_with(x, 'test result:') THEN {{'s': false, 'n': false, 'in': a.in, 'b': a.b}}
+        WHEN a.n THEN a
+        WHEN a.s AND starts_with(x, '---- ') THEN {{'s': true, 'n': false, 'in': true, 'b': list_append(a.b, x)}}
+        WHEN a.in AND a.s THEN {{'s': true, 'n': false, 'in': true, 'b': list_append(a.b[1:len(a.b) - 1], a.b[len(a.b)] || chr(10) || x)}}
+        ELSE {{'s': a.s, 'n': false, 'in': false, 'b': a.b}} END, {{'s': false, 'n': false, 'in': false, 'b': []::VARCHAR[]}}).b AS b FROM lines GROUP BY doc_id)
+  SELECT doc_id, unnest(b) AS text, generate_subscripts(b, 1) AS block FROM folded""",
+    "tsc_blocks": f"""WITH {_lines_sql("tsc")},
+  folded AS (
+    SELECT doc_id, list_reduce(list({{'n': line_no, 'l': line}} ORDER BY line_no), lambda a, x: CASE
+        WHEN starts_with(x.l, 'Found ') THEN a
+        WHEN regexp_matches(x.l, '^.+?\\(\\d+,\\d+\\):\\s+(error|warning)\\s+TS\\d+:\\s+.+$') THEN {{'b': list_append(a.b, {{'f': x.n, 't': x.n, 'l': x.l}}), 'in': true}}
+        WHEN a.in AND regexp_matches(x.l, '^(  |\\t)') THEN {{'b': list_append(a.b[1:len(a.b) - 1], {{'f': a.b[len(a.b)].f, 't': x.n, 'l': a.b[len(a.b)].l || chr(10) || x.l}}), 'in': true}}
+        ELSE {{'b': a.b, 'in': false}} END, {{'b': []::STRUCT(f BIGINT, t BIGINT, l VARCHAR)[], 'in': false}}).b AS b FROM lines GROUP BY doc_id)
+  SELECT doc_id, i AS block, b[i].f AS first_line, b[i].t AS last_line, b[i].l AS text FROM (SELECT doc_id, b, unnest(range(1, len(b) + 1)) AS i FROM folded)""",
+    "git_push_lines": f"WITH {_lines_sql('push')} SELECT * FROM lines WHERE line <> '' AND NOT regexp_matches(line, '^\\s*((Enumerating|Counting|Compressing|Writing) objects:|Delta compression using|Total )')",
+    "git_push_summaries": f"""WITH {_lines_sql("push")}, kept AS (SELECT *, regexp_extract(line, ' -> \\s*(\\S+)', 1) AS dest FROM lines WHERE line <> '' AND NOT regexp_matches(line, '^\\s*((Enumerating|Counting|Compressing|Writing) objects:|Delta compression using|Total )'))
+  SELECT doc_id, CASE WHEN bool_or(contains(line, 'Everything up-to-date')) THEN 'ok (up-to-date)' ELSE 'ok' || coalesce(' ' || (list(dest ORDER BY line_no) FILTER (dest <> ''))[1], '') END AS summary FROM kept GROUP BY doc_id""",
 }
