@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from textloom.plans import history, outputs, records, scalars, sessions, texts, tooling
+from textloom.plans import compression, history, outputs, records, scalars, sessions, texts, tooling
 
-PARTS = (history, texts, scalars, sessions, records, tooling, outputs)
+PARTS = (history, texts, scalars, sessions, records, tooling, outputs, compression)
 QUERIES = {k: f for part in PARTS for k, f in part.QUERIES.items()}
 ORACLES = {k: q for part in PARTS for k, q in part.ORACLES.items()}

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
@@ -60,24 +61,31 @@ def select_by_score(lines: DataFrame, score: Column, most: int) -> DataFrame:
     return scored.withColumn("_rank", rank).filter(F.col("_rank") <= most).select("doc_id", "line_no", "line", "score")
 
 
-def token_budget(lines: DataFrame, score: Column, budget: int, tokens: Column | None = None) -> DataFrame:
-    """Lines taken by falling score whenever they still fit the budget; lines that don't fit are passed over.
+def take_within(rows: DataFrame, budget: int, cost: str, by: list[Column], group: str = "doc_id") -> DataFrame:
+    """rows with kept: in the order of by, each row that still fits the group's budget takes its cost from it, others are passed over."""
+    ordered = rows.repartition(group).sortWithinPartitions(group, *by)
+    names = ordered.columns
+    g, c = names.index(group), names.index(cost)
 
-    What fits depends on what was taken before, so each document is walked in one pass over (tokens, score) columns only.
-    """
-    scored = lines.withColumns({"score": score, "tokens": X.tokens_by_bytes(F.col("line")) if tokens is None else tokens})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, left = object(), budget
+        for batch in batches:
+            kept = []
+            for key, need in zip(batch.column(g).to_pylist(), batch.column(c).to_pylist(), strict=True):
+                if key != now:
+                    now, left = key, budget
+                fits = need <= left
+                left -= need if fits else 0
+                kept.append(fits)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kept, pa.bool_())], [*names, "kept"])
+
+    return ordered.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema), "kept boolean"]))
 
-    def walk(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["score", "line_no"], ascending=[False, True], kind="stable")
-        left, kept = budget, []
-        for need in part.tokens:
-            fits = need <= left
-            kept.append(fits)
-            left -= need if fits else 0
-        return part[kept][["doc_id", "line_no"]]
-
-    kept = scored.select("doc_id", "line_no", "score", "tokens").groupBy("doc_id").applyInPandas(walk, "doc_id long, line_no long")
-    return scored.join(kept, ["doc_id", "line_no"])
+
+def token_budget(lines: DataFrame, score: Column, budget: int, tokens: Column | None = None) -> DataFrame:
+    """Lines taken by falling score whenever they still fit the budget; lines that don't fit are passed over."""
+    scored = lines.withColumns({"score": score, "tokens": X.tokens_by_bytes(F.col("line")) if tokens is None else tokens})
+    return take_within(scored, budget, "tokens", [F.desc("score"), F.asc("line_no")]).filter("kept").drop("kept")
 
 
 def blocks(lines: DataFrame, start: str, continues: str = r"^\s+\S") -> DataFrame:

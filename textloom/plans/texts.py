@@ -220,6 +220,9 @@ ORACLES = {
     "length_bands": LINE + f"SELECT CASE WHEN n < 10 THEN 0.2::DOUBLE WHEN n < 30 THEN 0.4 WHEN n < 100 THEN 0.6 WHEN n < 200 THEN 0.5 ELSE 0.3 END AS priority, CASE WHEN n < 10 THEN 0.3::DOUBLE WHEN n < 30 THEN 0.5 WHEN n < 200 THEN 0.7 ELSE 0.4 END AS confidence, count(*) AS n FROM (SELECT strlen({TRIM}) AS n FROM lines) WHERE n > 0 GROUP BY ALL",
     "line_scores": LOG + f"SELECT doc_id, line_no, round({SCORE_SQL}, 6) AS score FROM logs",
     "select_by_score": LOG + f"SELECT doc_id, line_no FROM (SELECT doc_id, line_no, row_number() OVER (PARTITION BY doc_id ORDER BY (line_no = 0 OR line_no = last)::INT DESC, score DESC, line_no) AS r FROM (SELECT doc_id, line_no, max(line_no) OVER (PARTITION BY doc_id) AS last, round({SCORE_SQL}, 6) AS score FROM logs)) WHERE r <= 12",
+    "token_budget": LOG + f"""SELECT doc_id, unnest(kept) AS line_no FROM (
+      SELECT doc_id, list_reduce(list({{'n': line_no, 't': (strlen(line) + 3) // 4}} ORDER BY round({SCORE_SQL}, 6) DESC, line_no), lambda a, x:
+        CASE WHEN x.t <= a.left THEN {{'left': a.left - x.t, 'kept': list_append(a.kept, x.n)}} ELSE a END, {{'left': 200::BIGINT, 'kept': []::BIGINT[]}}).kept AS kept FROM logs GROUP BY doc_id)""",
     "default_scores": LINE + f"SELECT CASE WHEN t = '' THEN 0::DOUBLE WHEN strlen(t) < 10 THEN 0.3 WHEN regexp_matches(t, '^(error|Error|FAILED|fatal)') THEN 0.9 WHEN regexp_matches(t, '^(warning|Warning|WARN)') THEN 0.7 ELSE 0.5 END AS score, count(*) AS n FROM (SELECT {TRIM} AS t FROM lines) GROUP BY ALL",
     "redact_text": f"SELECT doc_id, {_replaced(TEXT, X.REDACTIONS)} AS redacted FROM documents",
     "hash_paths": r"""SELECT page_id, CASE WHEN p = '' THEN p ELSE regexp_replace(CASE WHEN b = '' THEN 'root' ELSE b END, '[^A-Za-z0-9_.-]', '_', 'g') || '#' || left(sha256(p), 8) END AS hashed
