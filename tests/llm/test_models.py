@@ -359,3 +359,38 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
             if step != corpus_pipeline.STAGES[-1][0]:
                 assert df.columns == [f.split()[0] for f in schema.split(", ")], step
         assert (df.count() > 0) == bool(docs)
+
+
+ARTICLE = "<body><nav>menu</nav><article><p>start of the text</p>{}</article></body>"
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ('<h2 id="navigation">Navigation</h2><h2 id="related-work">Related</h2><p class="copyright">c</p>', "Navigation\nRelated\nc"),
+        ('<section class="social-history"><p>one</p></section><div class="form-factor"><p>two</p></div>', "one\ntwo"),
+        ('<div class="comments"><p>c</p></div><div class="related-posts">r</div><div class="cookie-banner site">k</div><div role="navigation">n</div>', ""),
+        ("<p data-x=it's>Hello</p><p>don't stop</p>", "Hello\ndon't stop"),
+        ("<p data-class=comments class=lead>one</p><div data-id=sidebar>two</div>", "one\ntwo"),
+        ("<p>by <math><mi>x</mi><annotation>x</annotation></math> times</p>", "by x times"),
+        ("<header><h1>Title</h1></header>", ""),
+        ("<p>1 < 2</p>", "1 < 2"),
+    ],
+)
+def test_names_and_attributes(html, text):
+    assert wrappers.extract(ARTICLE.format(html)) == "\n".join(filter(None, ["start of the text", text]))
+
+
+def test_broken_and_wide_pages_take_linear_time():
+    import time
+
+    began = time.time()
+    for part in ('<a "', '<a b="', "<a b='", "<", "<a", "<!--", "<!", "</", "<p", "&amp"):
+        wrappers.extract("<p>x</p>" + part * 250_000)
+    assert wrappers.extract('<p title="a>Hello</p>') == "Hello" and wrappers.extract('<p>cut <a href="x') == "cut"
+    wide = [f"<body><article>{''.join(f'<p id=s{i}>text {i} {k}</p>' for i in range(20_000))}</article></body>" for k in range(3)]
+    unlike = [f"<body><article>{''.join(f'<div class=c{i}><h2>h {i}</h2><p>text {i} {k}</p></div>' for i in range(2_000))}</article></body>" for k in range(3)]
+    for pages in (wide, unlike):
+        wrapper = wrappers.induce(pages)
+        assert wrappers.extract(pages[0], wrapper).endswith(" 0")
+    assert time.time() - began < 60

@@ -4,7 +4,8 @@ All pages of a host are parsed and the digests of their blocks are counted, page
 NEAR_SHARE of the content is on nearly all pages are near copies of one article and count once more together: what they
 share is no template. Blocks on nearly all of the articles left are constant. A bounded number of these articles (PAGES,
 those with the smallest hashes of their html) is aligned for the path: their DOM trees of block elements, in which runs of
-equal siblings are merged, by simple tree matching, the largest set of node pairs that keeps order and ancestry. Aligned
+equal siblings are merged, by simple tree matching, the largest set of node pairs that keeps order and ancestry (of very
+many children only those near the same relative place). Aligned
 nodes whose text is constant are template, those whose text varies are content slots. The wrapper of a host is the path to
 the article or main element, without these to the lowest node that holds all varying text, outside menus, headers, footers,
 sidebars, adverts, forms and comments by their element names, roles and class names, and the digests of the constant
@@ -13,7 +14,9 @@ leads to, and where a page has other text beside the path, its end moves up. Hos
 wrapper; they, and pages without the wrapper's path, fall back to all article or main elements or else to the whole page.
 
 Defined results: null, empty or markup-free html gives its text as one page without template (the empty string if none);
-unclosed elements end with their parent; elements nested deeper than MAX_DEPTH lie side by side; html, body, main and article are never boilerplate, nor
+unclosed elements end with their parent; names (class, id) never mark headings, and inside an article or main element only
+containers all of whose words are marks or say nothing more; header elements go there, too; formulas are text;
+attributes follow the HTML standard; elements nested deeper than MAX_DEPTH lie side by side; html, body, main and article are never boilerplate, nor
 are forms and containers with a boilerplate name that hold most of the page's text while no article is beside them; a page
 of which nothing is left is read without such names, roles and forms; a page cut inside a tag or comment loses that tag or comment; character
 references are decoded once; blocks are separated by one line feed and white space is [\\x20\\x09-\\x0D]; a null url has the
@@ -26,6 +29,7 @@ import hashlib
 import html as html_lib
 import json
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from urllib.parse import quote
 
@@ -44,7 +48,7 @@ BROADCAST_BYTES, BROADCAST_HOSTS = 8 << 20, 20_000
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript iframe textarea title".split())
 #: Left out with all that they hold.
-SKIPPED = frozenset("template object svg math select button".split())
+SKIPPED = frozenset("template object svg annotation annotation-xml select button".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -65,8 +69,20 @@ HOLDERS = frozenset("html body main article".split())
 CLOSES_P = BLOCKS - {"html", "body", "head"}
 ITEMS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"optgroup"}}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[a-zA-Z/][^<]*\Z", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|\Z)", re.I)
+#: Names of these blocks never mark them; inside an article or main element, nor do those of PARTS.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PARTS = frozenset("p li td th tr dt dd pre blockquote caption figcaption table tbody thead tfoot ul ol dl".split())
+#: Words beside MARKS in names that still say no more than the mark: inside an article a name counts by all of its words.
+PLAIN = frozenset("area bar block body box button buttons container content inner item items left links list main outer page panel post posts right section site slot the title top unit wrap wrapper".split())
+#: Blocks of running text: their ids, often made from their text, tell nothing about the page's form.
+LEAVES = PARTS | HEADINGS | {"address", "legend", "option", "summary"}
+#: Pairs of children that are compared at most; beyond them, only those near the same relative place.
+PAIRS = 200_000
+
+# attributes: a name, and perhaps a value in quotes or up to white space; a quote that is never closed is part of a name
+_VALUE = r"(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+)"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>=]++(?:\s*+=\s*+{_VALUE}?+)?+|=)*+)(?:(>)|\Z)|<[a-zA-Z/]\Z", re.S)
+_ATTRIBUTE = re.compile(r"([^\s/>=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>][^\s>]*+))?+)?+")
 #: The end of a raw element, whose content is no markup: its end tag or the end of the page.
 _END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?|\Z", re.I) for tag in RAW}
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -75,27 +91,42 @@ _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 class Node:
     """A block element: items holds its texts and block children in page order."""
 
-    __slots__ = ("bad", "items", "key", "size", "tag")
+    __slots__ = ("bad", "inside", "items", "key", "size", "tag")
 
-    def __init__(self, tag: str, key: str = "", bad: bool = False):
-        self.tag, self.key, self.bad, self.items, self.size = tag, key, bad, [], 0
+    def __init__(self, tag: str, key: str = "", bad: bool = False, inside: bool = False):
+        self.tag, self.key, self.bad, self.inside, self.items, self.size = tag, key, bad, inside, [], 0
 
     @property
     def sign(self) -> str:
         return f"{self.tag}.{self.key}"
 
 
-def _traits(attributes: str, words: frozenset[str] = MARKS) -> tuple[str, bool]:
-    """Class and id for matching, and whether words in them or the role mark boilerplate."""
-    key, bad = "", False
+def _named(value: str, words: frozenset[str], whole: bool) -> bool:
+    """Whether a class or id holds a marking word; whole: a name whose words are all marks or say nothing more."""
+    if not whole:
+        return any(w in words for w in re.split(r"[^a-z]+", value))
+    for name in value.split():
+        parts = [w for w in re.split(r"[^a-z]+", name) if w]
+        if any(w in words for w in parts) and all(w in words or w in PLAIN for w in parts):
+            return True
+    return False
+
+
+def _traits(attributes: str, tag: str, words: frozenset[str] = MARKS, inside: bool = False) -> tuple[str, bool]:
+    """Class and id for matching, and whether names or the role mark boilerplate."""
+    key, bad, seen = "", False, set()
+    unnamed = tag in HEADINGS or (inside and tag in PARTS)
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if name in seen:  # the first of equal names counts
+            continue
+        seen.add(name)
         if name in ("class", "id"):
-            key += quote(value)
-            bad |= any(w in words for w in re.split(r"[^a-z]+", value))
+            key += quote(value) if name == "class" or tag not in LEAVES else ""
+            bad |= not unnamed and _named(value, words, inside)
         elif name == "role":
             bad |= value in ROLES
-        else:
+        elif name in ("hidden", "aria-hidden"):
             bad |= name == "hidden" or value == "true"
     return key, bad
 
@@ -146,7 +177,7 @@ def _tree(html: str, marks: bool) -> Node:
             stack[-1].items.append(html[at : m.start()])
         at = m.end()
         tag = (m[2] or "").lower()
-        if not tag:
+        if not tag or not m[4]:  # no tag, or one that the page ends in
             continue
         if tag in RAW and not m[1]:
             if not m[3].rstrip().endswith("/") or tag in ("script", "style", "title"):
@@ -170,7 +201,7 @@ def _tree(html: str, marks: bool) -> Node:
         if tag == "br":
             stack[-1].items.append("\n")
         if tag not in BLOCKS:
-            key, bad = _traits(m[3], INLINE_MARKS) if m[3] and marks and tag not in VOID else ("", False)
+            key, bad = _traits(m[3], tag, INLINE_MARKS, stack[-1].inside) if m[3] and marks and tag not in VOID else ("", False)
             if (tag in SKIPPED or (bad and tag in ("span", "ins"))) and tag not in unclosed and not m[3].rstrip().endswith("/"):
                 skip, inside, resume = tag, 1, at
             continue
@@ -186,9 +217,10 @@ def _tree(html: str, marks: bool) -> Node:
         if tag in VOID:
             stack[-1].items.append(Node(tag))
             continue
-        key, bad = _traits(m[3]) if m[3] else ("", False)
+        inside = stack[-1].inside or tag in ("article", "main")
+        key, bad = _traits(m[3], tag, inside=inside) if m[3] else ("", False)
         bad = bad and marks and tag not in HOLDERS
-        node = Node(tag, key, bad or (tag in BOILERPLATE and (marks or tag not in ("form", "fieldset"))))
+        node = Node(tag, key, bad or (tag in BOILERPLATE and (marks or tag not in ("form", "fieldset"))), inside)
         stack[-1].items.append(node)
         if len(stack) < MAX_DEPTH or (node.bad and not stack[-1].bad):
             stack.append(node)
@@ -270,23 +302,46 @@ def simple_tree_matching(a: Shape, b: Shape) -> tuple[int, list[tuple[Shape, Sha
     """The size of the largest order-keeping match of two trees with equal roots, and the matched nodes."""
     if a.sign != b.sign:
         return 0, []
-    m, n = len(a.children), len(b.children)
-    best = [[0] * (n + 1) for _ in range(m + 1)]
-    pair = {}
-    for i in range(1, m + 1):
-        for j in range(1, n + 1):
-            pair[i, j] = simple_tree_matching(a.children[i - 1], b.children[j - 1])
-            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + pair[i, j][0])
-    matched, i, j = [(a, b)], m, n
-    while i and j:
-        if best[i][j] == best[i - 1][j - 1] + pair[i, j][0] and pair[i, j][0]:
-            matched += pair[i, j][1]
-            i, j = i - 1, j - 1
-        elif best[i][j] == best[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    return best[m][n] + 1, matched
+    matched, weight = [(a, b)], 0
+    for size, pairs in _in_order(a.children, b.children):
+        weight += size
+        matched += pairs
+    return weight + 1, matched
+
+
+def _in_order(left: list[Shape], right: list[Shape]) -> list[tuple[int, list[tuple[Shape, Shape]]]]:
+    """The matches of children that keep order and have the most nodes in all: only children of equal signs meet, and the
+    heaviest rising chain of them is found with a tree of prefix maxima."""
+    places: dict[str, list[int]] = {}
+    for j, s in enumerate(right):
+        places.setdefault(s.sign, []).append(j)
+    many = sum(len(places.get(s.sign, ())) for s in left)
+    band = len(right) if many <= PAIRS else max(1, PAIRS // len(left) // 2)
+    tree: list[tuple[int, tuple | None]] = [(0, None)] * (len(right) + 1)  # weight of the best chain that ends in a stretch, and the chain
+    top: tuple[int, tuple | None] = (0, None)
+    for i, s in enumerate(left):
+        at = places.get(s.sign, ())
+        if many > PAIRS:
+            centre = i * len(right) // len(left)
+            at = at[bisect_left(at, centre - band) : bisect_right(at, centre + band)]
+        for j in reversed(at):
+            size, pairs = simple_tree_matching(s, right[j])
+            before: tuple[int, tuple | None] = (0, None)
+            k = j
+            while k:
+                before = max(before, tree[k], key=lambda x: x[0])
+                k &= k - 1
+            chain = (before[0] + size, (before[1], size, pairs))
+            top = max(top, chain, key=lambda x: x[0])
+            k = j + 1
+            while k <= len(right):
+                tree[k] = max(tree[k], chain, key=lambda x: x[0])
+                k += k & -k
+    out, at = [], top[1]
+    while at:
+        out.append((at[1], at[2]))
+        at = at[0]
+    return out[::-1]
 
 
 def induce(pages: list[str], template: list[int] | None = None) -> str | None:
