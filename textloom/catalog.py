@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from textloom.plans import arrays, compression, history, outputs, parsers, records, scalars, sessions, texts, tooling
+from textloom.plans import arrays, compression, history, outputs, parsers, records, scalars, sessions, texts, tooling, xml_reports
 
-PARTS = (history, texts, scalars, sessions, records, tooling, outputs, compression, arrays, parsers)
+PARTS = (history, texts, scalars, sessions, records, tooling, outputs, compression, arrays, parsers, xml_reports)
 QUERIES = {k: f for part in PARTS for k, f in part.QUERIES.items()}
 ORACLES = {k: q for part in PARTS for k, q in part.ORACLES.items()}
