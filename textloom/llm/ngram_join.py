@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import load, materialize, mix64, shingle_sets, slices, text_bytes, total_bytes, with_arrow_columns
+from textloom.llm.common import load, materialize, mix64, release, shingle_sets, slices, text_bytes, total_bytes, with_arrow_columns
 from textloom.llm.components import components
 
 WIDTH = 5
@@ -199,6 +199,7 @@ def set_digests(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     slot << 32 | sets for the slots of shingles that many sets of the batch have."""
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
+        release()
         n, one, two, sketch, seeds, many = [], [], [], [], [], []
         seen = np.zeros(SLOTS, np.int64)
         texts = text_bytes(batch.column("text"))
@@ -247,6 +248,7 @@ def _blocks(rows: DataFrame, n_buckets: int, common: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
         for batch in batches:
+            release()
             keys, texts = batch.column(0).to_numpy(), text_bytes(batch.column(2))
             alone = batch.column(1).is_null().to_numpy(zero_copy_only=False)
             labels = np.where(alone, keys, batch.column(1).fill_null(0).to_numpy())
@@ -315,6 +317,7 @@ MET = "a long, b long, la long, lb long, hot long"
 
 def _meet(table: pa.Table, small: int) -> pa.Table:
     """Of one bucket: pairs of sets a and b of the labels la and lb, and the labels la of open groups (hot)."""
+    release()
     if not table.num_rows:
         return pa.table([pa.array([], pa.int64())] * 5, ["a", "b", "la", "lb", "hot"])
     parts = [_unpack(x) for x in table.column("block").to_pylist()]
@@ -401,6 +404,7 @@ def verify(pairs: DataFrame, docs: DataFrame, text_col: str, id_col: str, repeat
     texts = docs.select(row_key(text_col, id_col).alias("id"), F.col(text_col).alias("text")).join(need, F.col("id") == F.col("_need")).drop("_need")
 
     def sets(batch: pa.RecordBatch) -> list[pa.Array]:
+        release()
         out = []
         texts = text_bytes(batch.column("text"))
         for a, b in slices(texts):

@@ -19,7 +19,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm.common import load, with_arrow_columns
+from textloom.llm.common import load, release, with_arrow_columns
 
 MARK = "▁"
 MEMO = 200_000
@@ -103,7 +103,9 @@ def encode_documents(docs: DataFrame, text_col: str = "text", path: str | None =
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
-        codecs or codecs.append(ChunkCodec(path))
+        if not codecs:
+            release()
+            codecs.append(ChunkCodec(path))
         made = [codecs[0].digest(t) for t in batch.column(text_col).to_pylist()]
         out = [pa.array([m[0] for m in made], pa.int64()), pa.array([sha(m[1]) for m in made]), pa.array([sha(m[2]) for m in made])]
         if with_ids:
