@@ -199,6 +199,7 @@ QUERIES = {
     "set_operations": _set_operations,
     "entropy": _entropy,
     "fnv_simhash": _docs(lambda: neardup.simhash_udf(F.col("text")).alias("simhash")),
+    "sip_simhash": _docs(lambda: neardup.sip_simhash_udf(F.col("text")).alias("simhash")),
     "neardup_pairs": lambda s, d: neardup.similar_pairs(docs(s, d).select(F.col("doc_id").alias("id"), neardup.simhash_udf(F.col("text")).alias("hash"))),
     "window_dedup": _logs(lambda x: neardup.window_dedup(x).select("doc_id", "line_no")),
     "unique_lines": _logs(lambda x: neardup.count_unique(x)),
