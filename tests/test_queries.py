@@ -5,6 +5,24 @@ import pytest
 from textloom import catalog
 
 
+#: Queries that SQL can't say, and the tests that hold them against brute force.
+TESTED = {
+    "fnv_simhash": "test_operators.py",
+    "sip_simhash": "test_neardup.py",
+    "neardup_pairs": "test_neardup.py",
+    "window_dedup": "test_neardup.py",
+    "unique_lines": "test_neardup.py",
+    "code_filter": "test_operators.py",
+    "json_crush": "test_operators.py",
+    "json_schema_view": "test_operators.py",
+    "json_field_sketches": "test_json_arrays.py",
+}
+
+
+def test_every_query_is_checked():
+    assert set(catalog.QUERIES) - set(catalog.ORACLES) == set(TESTED)
+
+
 def cell(v):
     if isinstance(v, float):
         return float(f"{v:.9g}")

@@ -87,7 +87,7 @@ def test_tokens_by_a_walk(spark):
 
 
 def test_chain_and_arguments(spark):
-    cases = {"a && b || c; d | e": ["a", "b", "c", "d", "e"], "a 'x && y' \"p;\\\"q|\" 2>&1 & b": ["a 'x && y' \"p;\\\"q|\" 2>&1 & b"], "a\;b; c\\ ": ["a\;b", "c\\ "], "": [], ";;&&": [], "x 'open ; y": ["x 'open ; y"]}
+    cases = {"a && b || c; d | e": ["a", "b", "c", "d", "e"], "a 'x && y' \"p;\\\"q|\" 2>&1 & b": ["a 'x && y' \"p;\\\"q|\" 2>&1 & b"], "a\\;b; c\\ ": ["a\\;b", "c\\ "], "": [], ";;&&": [], "x 'open ; y": ["x 'open ; y"]}
     rows = spark.createDataFrame(list(enumerate(cases)), "i int, text string").select("i", shell.chain(F.col("text")).alias("c"), shell.has_shell_syntax(F.col("text")).alias("s")).collect()
     assert {r.i: r.c for r in rows} == dict(enumerate(cases.values()))
     assert [r.s for r in sorted(rows)] == [True, True, True, False, True, False]

@@ -14,7 +14,7 @@ LINES = (
     ("make 2>&1 ; tee out@.log", "a make|r 2>&1|o ;|a tee|a out@.log", "make 2>&1|tee out@.log"),
     ("echo $HOME/x > /tmp/@ &> y &>> z", "a echo|a $HOME|a /x|r >|a /tmp/@|r &>|a y|r &>>|a z", "echo $HOME/x > /tmp/@ &> y &>> z"),
     ("(cd a; ls *.rs) && true@ &", "s (|a cd|a a|o ;|a ls|s *|a .rs|s )|o &&|a true@|s &", "(cd a|ls *.rs)|true@ &"),
-    ("grep 'it;''s' a\\ b\;c@ < in << EOF", "a grep|a 'it;''s'|a a\\ b\;c@|r <|a in|r <<|a EOF", "grep 'it;''s' a\\ b\;c@ < in << EOF"),
+    ("grep 'it;''s' a\\ b\\;c@ < in << EOF", "a grep|a 'it;''s'|a a\\ b\\;c@|r <|a in|r <<|a EOF", "grep 'it;''s' a\\ b\\;c@ < in << EOF"),
     ('printf "x\\"y;" $(date) `id` !@ ${V}', 'a printf|a "x\\"y;"|s $|s (|a date|s )|s `|a id|s `|s !|a @|s $|s {|a V|s }', 'printf "x\\"y;" $(date) `id` !@ ${V}'),
     ('echo "open @ && never', 'a echo|a "open @ && never', 'echo "open @ && never'),
     ("a1>b 12>c x&&y@;;", "a a1|r >|a b|r 12>|a c|a x|o &&|a y@|o ;|o ;", "a1>b 12>c x|y@"),

@@ -249,6 +249,18 @@ ORACLES = {
       f AS (SELECT doc_id, line_no, count(*) AS fresh FROM (SELECT doc_id, pair, min(line_no) AS line_no FROM p GROUP BY 1, 2) GROUP BY 1, 2)
       SELECT doc_id, line_no, round(CASE WHEN sum(coalesce(fresh, 0)) OVER (PARTITION BY doc_id) > 0 THEN sum(coalesce(fresh, 0)) OVER (PARTITION BY doc_id ORDER BY line_no) / sum(coalesce(fresh, 0)) OVER (PARTITION BY doc_id) ELSE 1 END, 6) AS coverage
       FROM lines LEFT JOIN f USING (doc_id, line_no)""",
+    "knee_lines": LINE + r""", w AS (SELECT doc_id, line_no, list_filter(string_split_regex(lower(line), '\s+'), lambda x: x <> '') AS ws FROM lines),
+      p AS (SELECT doc_id, line_no, unnest(list_transform(range(1, greatest(len(ws), 1)), lambda i: ws[i] || ' ' || ws[i + 1])) AS pair FROM w),
+      f AS (SELECT doc_id, line_no, count(*) AS fresh FROM (SELECT doc_id, pair, min(line_no) AS line_no FROM p GROUP BY 1, 2) GROUP BY 1, 2),
+      c AS (SELECT doc_id, line_no, CASE WHEN sum(coalesce(fresh, 0)) OVER (PARTITION BY doc_id) > 0 THEN (sum(coalesce(fresh, 0)) OVER (PARTITION BY doc_id ORDER BY line_no))::DOUBLE / (sum(coalesce(fresh, 0)) OVER (PARTITION BY doc_id))::DOUBLE ELSE 1 END AS coverage,
+        count(*) OVER (PARTITION BY doc_id) AS n FROM lines LEFT JOIN f USING (doc_id, line_no)),
+      g AS (SELECT doc_id, line_no, n, round(coverage - (line_no + 1)::DOUBLE / n, 9) AS gap FROM c),
+      r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY gap DESC, line_no) AS k FROM g)
+      SELECT doc_id, CASE WHEN n <= 8 OR gap < 0.05 THEN n ELSE line_no + 1 END AS keep_lines FROM r WHERE k = 1""",
+    "error_blocks": LOG + r""", m AS (SELECT *, contains(line, 'ERROR') AS o, regexp_matches(line, '^\s+\S') AS g FROM logs),
+      r AS (SELECT *, sum(CASE WHEN o OR NOT g THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS run FROM m)
+      SELECT doc_id, min(line_no) AS first_line, max(line_no) AS last_line, sha256(string_agg(line, chr(10) ORDER BY line_no)) AS block_sha256 FROM r GROUP BY doc_id, run HAVING bool_or(o)""",
+    "redact_counts": "SELECT doc_id, n FROM (SELECT doc_id, " + " + ".join(f"len(regexp_extract_all({_replaced(TEXT, X.REDACTIONS[:i])}, '{p.replace(chr(39), chr(39) * 2)}'))" for i, (p, _) in enumerate(X.REDACTIONS)) + " AS n FROM documents) WHERE n > 0",
     "search_rank": SEARCH_SQL,
     "diff_trim_context": DIFF_SQL + " SELECT doc_id, line_no, kind FROM (SELECT *, max((kind <> ' ')::INT) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS near FROM d) WHERE near = 1",
     "hunk_scores": DIFF_SQL + """, n AS (SELECT doc_id, line_no, last_value(CASE WHEN kind <> ' ' THEN line_no END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS b,
