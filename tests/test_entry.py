@@ -6,6 +6,8 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pytest
+
 ROOT = Path(__file__).resolve().parents[1]
 CODE = """
 import sys
@@ -30,8 +32,9 @@ def test_from_another_folder(tmp_path):
     assert done.returncode == 0, done.stderr[-2000:]
 
 
-def test_without_llm(tmp_path):
+@pytest.mark.parametrize("also", ["corpus_pipeline.py", "nothing"])
+def test_without_llm(tmp_path, also):
     copy = tmp_path / "repo"
-    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "llm", also, "__pycache__"))
     done = run(copy, tmp_path)
     assert done.returncode == 0 and "without llm" in done.stdout, done.stderr[-2000:]
