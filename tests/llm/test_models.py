@@ -148,7 +148,16 @@ def test_quality(spark):
 
 
 def test_quality_query(spark, sf_dir, duck):
-    held = {r.doc_id: r.held_out for r in quality.query(spark, sf_dir).collect()}
+    got = quality.query(spark, sf_dir).collect()
+    held = {r.doc_id: r.held_out for r in got}
+    # the scores again, document by document, from the fitted table and the texts alone
+    docs = common.load(spark, sf_dir, "documents")
+    model = quality.fit(docs, common.load(spark, sf_dir, "labels"))
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.select("doc_id", "text").collect()}
+    for r in got:
+        (buckets, counts), = quality.feature_counts([texts[r.doc_id]])
+        whole = sum(float(model.bucket_scores[b]) * int(n) for b, n in zip(buckets, counts, strict=True)) / max(int(counts.sum()), 1) + model.bias
+        assert r.score == pytest.approx(1 / (1 + np.exp(-whole)), rel=1e-9, abs=1e-12) and r.predicted == int(r.score >= 0.3)
     assert held == {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in held}
     assert len(held) == duck.execute("SELECT count(*) FROM documents").fetchone()[0]
 
