@@ -59,6 +59,16 @@ def test_samples(arrays):
     assert got["number 46"] == [plain[b] for b in sorted(plain)] and len(first) == len(plain)
 
 
+def test_elements_are_never_broadcast(spark):
+    """Arrays of like elements are small in a shuffle and large as rows: joined to their plans they must not go through the driver."""
+    texts = spark.range(40).select(F.col("id").alias("doc_id"), F.to_json(F.transform(F.sequence(F.lit(1), F.lit(50)), lambda i: F.struct(i.alias("id")))).alias("text"))
+    items = json_arrays.elements(texts.groupBy("doc_id").agg(F.max("text").alias("text")))
+    planned = json_arrays.plans(json_arrays.profiles(items))
+    for df, n in ((planned, 40), (json_arrays.sampled(items, planned), 40 * 15)):
+        assert len(df.collect()) == n
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
 def test_constraints_and_sketches(spark):
     objects = [{"id": i, "state": "ok" if i % 25 else "late", "level": i % 40} | ({"note": "x"} if i == 7 else {}) | ({"say": "Panic!"} if i == 9 else {}) for i in range(100)]
     items = json_arrays.elements(spark.createDataFrame([(1, json.dumps(objects)), (2, json.dumps(objects[:4])), (3, '["error"]')], "doc_id long, text string"))

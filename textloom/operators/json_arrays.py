@@ -42,6 +42,14 @@ def _default_keep(kind: Column, n: Column) -> Column:
     )
 
 
+def _beside(rows: DataFrame, held: DataFrame) -> DataFrame:
+    """rows with the columns that held, one row an array (_doc), has of their array.
+
+    Always by merging: rows are elements made from arrays, and by the compressed size of the arrays Spark would send all of them to every task.
+    """
+    return rows.join(held.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc")))
+
+
 def profiles(items: DataFrame) -> DataFrame:
     """(doc_id, type, n, distinct, savings): an array's type, size, distinct values among even samples, and bytes that the table of kinds would save."""
     sizes = items.groupBy("doc_id").agg(
@@ -53,10 +61,9 @@ def profiles(items: DataFrame) -> DataFrame:
     kind = F.when(F.size("kinds") != 1, "mixed").when(one == "object", "dict").when(one == "array", "nested").otherwise(one)
     typed = sizes.select(F.col("doc_id").alias("_doc"), kind.alias("type"), "n", "bytes")
     step = F.greatest(F.expr(f"n div {UNIQUE_SAMPLE}"), F.lit(1))
-    sampled = items.join(typed, F.col("doc_id").eqNullSafe(F.col("_doc"))).filter((F.col("idx") % step == 0) & (F.col("idx") < step * UNIQUE_SAMPLE))
     key = F.when(F.col("kind").isin("string", "number"), F.col("value")).when((F.col("kind") == "object") & (F.col("type") == "dict"), F.col("first_key"))
-    seen = sampled.groupBy("_doc").agg(F.countDistinct(key).alias("distinct")).withColumnRenamed("_doc", "_seen")
-    whole = typed.join(seen, F.col("_doc").eqNullSafe(F.col("_seen")), "left")
+    looked = (F.col("idx") % step == 0) & (F.col("idx") < step * UNIQUE_SAMPLE)
+    whole = _beside(items, typed).groupBy("_doc", "type", "n", "bytes").agg(F.countDistinct(F.when(looked, key)).alias("distinct"))
     savings = F.floor((1.0 - _default_keep(F.col("type"), F.col("n"))) * F.col("n") * F.expr("greatest(bytes, 1) div n")).cast("long")
     return whole.select(F.col("_doc").alias("doc_id"), "type", "n", F.nullif("distinct", F.lit(0)).alias("distinct"), savings.alias("savings"))
 
@@ -82,7 +89,7 @@ def sampled(items: DataFrame, planned: DataFrame) -> DataFrame:
     Of a cluster sample each bucket gives its first element; buckets that are empty give none.
     """
     held = planned.select(F.col("doc_id").alias("_doc"), "n", "strategy", "keep")
-    rows = items.join(held, F.col("doc_id").eqNullSafe(F.col("_doc")))
+    rows = _beside(items, held)
     step = F.expr("n div keep")
     at = F.when(F.col("strategy").isin("none", "top") & (F.col("idx") < F.col("keep")), F.col("idx"))
     at = at.when((F.col("strategy") == "sample") & (F.col("idx") % step == 0) & (F.col("idx") < step * F.col("keep")), F.expr("idx div (n div keep)"))
