@@ -1,6 +1,7 @@
 """Small cases of the operators that SQL does not check."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,8 @@ from pyspark.sql import functions as F
 from textloom.functions import text as X
 from textloom.operators import documents, dsl, neardup, runs
 from textloom.plans import sessions
+from textloom.plans import texts as texts_plan
+from textloom.sources import tables
 from textloom.sources.tables import to_lines
 from textloom.streaming import lines as stream
 
@@ -182,3 +185,25 @@ def test_store_put_with_ties(spark):
     store = spark.createDataFrame([("a", "old", at, None), ("b", "kept", at, 5), ("b", "kept", at, None)], schema)
     new = spark.createDataFrame([("a", "new", at, 5), ("a", "new", at, 9)], schema)
     assert sorted((r.hash, r.original, r.ttl_seconds) for r in records.put(store, new).collect()) == [("a", "new", 9), ("b", "kept", None)]
+
+
+def test_coverage_and_knees_are_read_in_place(spark, sf_dir):
+    """No pair of words is shuffled, and each document's lines give the pairs a plain walk gives."""
+    texts = ["", None, "one", "a b\na b\nb a A B\n", "x y\n\n z w x\ty\r\nx  y", "\n", "ÄB c äb C d", *("\n".join(f"w{i * j % 11} w{i % 5} end" for i in range(20)) for j in range(3))]
+    docs = tables.line_arrays(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    want, knees = {}, {}
+    for k, text in enumerate(texts):
+        lines = re.split(r"\r?\n", re.sub(r"\r?\n\Z", "", text)) if text else []
+        seen, upto = set(), []
+        for line in lines:
+            ws = [w for w in re.split(r"[ \t\n\x0b\f\r]+", line.lower()) if w]
+            seen |= set(zip(ws, ws[1:], strict=False))
+            upto.append(len(seen))
+        want |= {(k, i): n / len(seen) if seen else 1.0 for i, n in enumerate(upto)}
+        gaps = [round(want[k, i] - (i + 1) / len(lines), 9) for i in range(len(lines))]
+        if lines:
+            knees[k] = len(lines) if len(lines) <= 8 or max(gaps) < 0.05 else gaps.index(max(gaps)) + 1
+    assert {(r.doc_id, r.line_no): r.coverage for r in runs.bigram_coverage(docs).collect()} == want
+    assert {r.doc_id: r.keep_lines for r in runs.knee(docs).collect()} == knees
+    for name in ("bigram_coverage", "knee_lines"):
+        assert "Exchange" not in texts_plan.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable, Iterator
+from itertools import chain, count
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 from pyspark.sql.window import Window, WindowSpec
 
 from textloom.functions import text as X
@@ -104,25 +108,46 @@ def stack_traces(lines: DataFrame) -> DataFrame:
     return runs.groupBy("doc_id", "island").agg(F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line"), F.count(F.lit(1)).alias("frames")).drop("island")
 
 
-def bigram_coverage(lines: DataFrame) -> DataFrame:
-    """The share of a document's distinct word pairs that its first lines hold: doc_id, line_no, coverage."""
-    words = lines.select("doc_id", "line_no", F.filter(F.split(F.lower("line"), r"\s+"), lambda x: x != "").alias("ws"))
-    pairs = F.zip_with(F.slice("ws", 1, F.greatest(F.size("ws") - 1, F.lit(0))), F.slice("ws", 2, F.greatest(F.size("ws") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    first = words.select("doc_id", "line_no", F.explode(pairs).alias("pair")).groupBy("doc_id", "pair").agg(F.min("line_no").alias("line_no"))
-    per_line = first.groupBy("doc_id", "line_no").agg(F.count(F.lit(1)).alias("fresh"))
-    every = lines.select("doc_id", "line_no").join(per_line, ["doc_id", "line_no"], "left")
-    total = F.sum(F.coalesce("fresh", F.lit(0))).over(by_doc())
-    upto = F.sum(F.coalesce("fresh", F.lit(0))).over(so_far())
-    return every.select("doc_id", "line_no", F.when(total > 0, upto / total).otherwise(1.0).alias("coverage"))
-
-
-def knee(lines: DataFrame) -> DataFrame:
-    """How many lines a document needs: where coverage is farthest above the straight line; all lines of short ones."""
-    curve = bigram_coverage(lines)
-    n = F.count(F.lit(1)).over(by_doc())
-    gap = F.col("coverage") - (F.col("line_no") + 1) / n
-    best = curve.withColumns({"gap": F.round(gap, 9), "n": n}).groupBy("doc_id").agg(F.max("gap").alias("gap"), F.min_by(F.col("line_no") + 1, F.struct(-F.col("gap"), F.col("line_no"))).alias("at"), F.max("n").alias("n"))
-    return best.select("doc_id", F.when((F.col("n") <= 8) | (F.col("gap") < 0.05), F.col("n")).otherwise(F.col("at")).cast("long").alias("keep_lines"))
+@F.arrow_udf(ArrayType(LongType()))
+def pairs_upto(lines: pa.Array) -> pa.Array:
+    """Of each document's lines: how many distinct pairs of neighbouring words the lines up to each hold. Pairs never cross lines."""
+    words, at = lines.flatten().cast(pa.binary()), np.concatenate([[0], np.cumsum(lines.value_lengths().to_numpy())])
+    return pa.array([_pairs_upto([line.split() for line in words[a:b].to_pylist()]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.list_(pa.int64()))
+
+
+def _pairs_upto(lines: list[list[bytes]]) -> np.ndarray:
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+    number: defaultdict[bytes, int] = defaultdict(count().__next__)
+    words = np.fromiter(map(number.__getitem__, chain.from_iterable(lines)), np.int64, sizes.sum())
+    line = np.repeat(np.arange(len(lines)), sizes)
+    ends = np.flatnonzero(line[1:] == line[:-1]) + 1
+    first = np.unique(words[ends - 1] * len(number) + words[ends], return_index=True)[1]
+    return np.cumsum(np.bincount(line[ends[first]], minlength=len(lines)))
+
+
+def _curves(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", pairs_upto(F.transform("lines", F.lower)).alias("upto")).select("doc_id", "upto", F.element_at("upto", -1).alias("total"))
+
+
+def bigram_coverage(docs: DataFrame) -> DataFrame:
+    """The share of a document's distinct word pairs that its first lines hold: doc_id, line_no, coverage.
+
+    docs: doc_id, lines. Each row is a document of its own and is read where it lies; no pair of words is shuffled.
+    """
+    curve = _curves(docs).select("doc_id", "total", F.posexplode("upto").alias("line_no", "upto"))
+    return curve.select("doc_id", F.col("line_no").cast("long").alias("line_no"), _share(F.col("upto")).alias("coverage"))
+
+
+def _share(upto: Column) -> Column:
+    return F.when(F.col("total") > 0, upto / F.col("total")).otherwise(1.0)
+
+
+def knee(docs: DataFrame) -> DataFrame:
+    """How many lines a document (doc_id, lines) needs: where coverage is farthest above the straight line; all lines of short ones."""
+    n = F.size("upto")
+    gaps = _curves(docs).select("doc_id", n.alias("n"), F.transform("upto", lambda x, i: F.round(_share(x) - (i + 1) / n, 9)).alias("gaps"))
+    best = F.array_max("gaps")
+    return gaps.select("doc_id", F.when((F.col("n") <= 8) | (best < 0.05), F.col("n")).otherwise(F.array_position("gaps", best)).cast("long").alias("keep_lines"))
 
 
 def per_document(lines: DataFrame, fold: Callable[[list[str]], list[str]]) -> DataFrame:

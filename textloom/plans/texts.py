@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from textloom.functions import text as X
 from textloom.operators import documents, dsl, neardup, runs
-from textloom.sources.tables import LINES_SQL, LOGS_SQL, log_lines, table, text_lines
+from textloom.sources.tables import LINES_SQL, LOGS_SQL, line_arrays, log_lines, table, text_lines
 
 LOG, LINE = f"WITH {LOGS_SQL} ", f"WITH {LINES_SQL} "
 WS = r"chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -189,8 +189,8 @@ QUERIES = {
     "level_caps_context": _level_caps,
     "stack_traces": _logs(runs.stack_traces),
     "error_blocks": _logs(lambda x: runs.blocks(x, "ERROR").select("doc_id", "first_line", "last_line", F.sha2("block", 256).alias("block_sha256"))),
-    "bigram_coverage": _lines(lambda x: runs.bigram_coverage(x).select("doc_id", "line_no", F.round("coverage", 6).alias("coverage"))),
-    "knee_lines": _lines(runs.knee),
+    "bigram_coverage": lambda s, d: runs.bigram_coverage(line_arrays(table(s, d, "documents"))).select("doc_id", "line_no", F.round("coverage", 6).alias("coverage")),
+    "knee_lines": lambda s, d: runs.knee(line_arrays(table(s, d, "documents"))),
     "token_budget": _logs(lambda x: runs.token_budget(x, F.round(_score(), 6), 200).select("doc_id", "line_no")),
     "search_rank": _search_rank,
     "diff_positional": _positional,

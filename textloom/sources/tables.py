@@ -96,11 +96,15 @@ logs AS (
 """
 
 
-def to_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """doc_id, line_no from 0, line: text split at line feeds, a last empty line left out, carriage returns trimmed."""
+def line_arrays(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """doc_id, lines: text split at line feeds, a last empty line left out, carriage returns trimmed; documents without text are left out."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = F.split(F.regexp_replace(text, r"\r?\n\z", ""), r"\r?\n", -1)
-    return docs.filter(text != "").select("doc_id", F.posexplode(lines).alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("long"))
+    return docs.filter(text != "").select("doc_id", F.split(F.regexp_replace(text, r"\r?\n\z", ""), r"\r?\n", -1).alias("lines"))
+
+
+def to_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """doc_id, line_no from 0, line: the elements of line_arrays()."""
+    return line_arrays(docs, text_col).select("doc_id", F.posexplode("lines").alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("long"))
 
 
 def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
