@@ -207,3 +207,20 @@ def test_coverage_and_knees_are_read_in_place(spark, sf_dir):
     assert {r.doc_id: r.keep_lines for r in runs.knee(docs).collect()} == knees
     for name in ("bigram_coverage", "knee_lines"):
         assert "Exchange" not in texts_plan.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_redaction_searches_once_and_where_marked(spark, sf_dir):
+    """Each rule is worked out once a text, and leaving out rules whose marks a text lacks changes nothing."""
+    texts = [None, "", "plain words", "http://u:p@h x://a:b@c://d:e@f", "BEARER abc token\tx Basic y", "a --Token=x --password  'q' --api-key z", "GH_TOKEN=1 XGH_TOKEN=2 PGPASSWORD==", "AKIA" + "A" * 16 + " akia" + "A" * 16 + " sk-" + "b" * 20, "--auth token GH_TOKEN=ghp_" + "c" * 20 + " s3://k:--token=x@y"]
+    want = []
+    for text in texts:
+        n, t = 0, text or ""
+        for pattern, to in X.REDACTIONS:
+            t, k = re.subn(pattern, re.sub(r"\$(\d)", r"\\\1", to), t, flags=re.ASCII)
+            n += k
+        want.append((None, None) if text is None else (t, n))
+    got = spark.createDataFrame(list(enumerate(texts)), "i long, text string").select("i", X.redact(F.col("text")), X.redact_count(F.col("text"))).orderBy("i").collect()
+    assert [tuple(r)[1:] for r in got] == want
+    for name in ("redact_counts", "redact_text"):
+        plan = texts_plan.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_replace(") == len(X.REDACTIONS)

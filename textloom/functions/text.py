@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -41,6 +42,8 @@ REDACTIONS = (
     (rf"\b({'|'.join(SECRET_NAMES)})=(\S+)", "$1=****"),
     (r"\b(?:ghp_|gho_|ghu_|ghs_|github_pat_|sk-live_|sk_live_|sk_test_|sk-|xoxb-|xoxp-|xoxa-|xoxs-|glpat-|AKIA|ASIA)[A-Za-z0-9_\-]{16,}\b", "****"),
 )
+#: For each rule, texts of which every match holds one, in small letters; most documents have none and need no search.
+REDACTION_MARKS = (("://",), ("bearer", "basic", "token"), ("--",), ("=",), ("ghp_", "gho_", "ghu_", "ghs_", "github_pat_", "sk-", "sk_live_", "sk_test_", "xox", "glpat-", "akia", "asia"))
 LOG_NORMAL = (
     (r"^\d{4}[-/]\d{2}[-/]\d{2}[T ]\d{2}:\d{2}:\d{2}[.,]?\d*\s*", ""),
     (UUID, "<UUID>"),
@@ -177,17 +180,32 @@ def default_line_score(line: Column) -> Column:
     return F.when(t == "", 0.0).when(F.octet_length(t) < 10, 0.3).when(t.rlike("^(error|Error|FAILED|fatal)"), 0.9).when(t.rlike("^(warning|Warning|WARN)"), 0.7).otherwise(0.5)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), value worked out once however often use has it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _redacted(text: Column) -> Column:
+    """struct(text, n) after all rules. A rule runs where the text has one of its marks; what rules put in makes no new marks."""
+
+    def rule(low: Column, pattern: str, replacement: str, marks: tuple[str, ...]) -> Callable[[Column], Column]:
+        marked = reduce(lambda a, b: a | b, (low.contains(m) for m in marks))
+        struct = lambda x: F.struct(F.regexp_replace(x["text"], pattern, replacement).alias("text"), (x["n"] + F.regexp_count(x["text"], F.lit(pattern))).alias("n"))
+        return lambda x: F.when(marked, struct(x)).otherwise(x)
+
+    def rules(low: Column) -> Column:
+        return reduce(lambda done, r: _let(done, rule(low, *r[0], r[1])), zip(REDACTIONS, REDACTION_MARKS, strict=True), F.struct(text.alias("text"), F.lit(0).alias("n")))
+
+    return _let(F.lower(text), rules)
+
+
 def redact(text: Column) -> Column:
-    return reduce(lambda t, r: F.regexp_replace(t, *r), REDACTIONS, text)
+    return _redacted(text)["text"]
 
 
 def redact_count(text: Column) -> Column:
     """How many matches redact() replaces, each rule counted on what the rules before it left."""
-    n = F.lit(0)
-    for pattern, replacement in REDACTIONS:
-        n = n + F.regexp_count(text, F.lit(pattern))
-        text = F.regexp_replace(text, pattern, replacement)
-    return n.cast("long")
+    return F.when(text.isNotNull(), _redacted(text)["n"].cast("long"))
 
 
 def hash_path(path: Column) -> Column:
