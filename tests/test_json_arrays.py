@@ -64,7 +64,7 @@ def test_elements_are_never_broadcast(spark):
     texts = spark.range(40).select(F.col("id").alias("doc_id"), F.to_json(F.transform(F.sequence(F.lit(1), F.lit(50)), lambda i: F.struct(i.alias("id")))).alias("text"))
     items = json_arrays.elements(texts.groupBy("doc_id").agg(F.max("text").alias("text")))
     planned = json_arrays.plans(json_arrays.profiles(items))
-    for df, n in ((planned, 40), (json_arrays.sampled(items, planned), 40 * 15)):
+    for df, n in ((planned, 40), (json_arrays.sampled(items, planned), 40 * 15), (json_arrays.must_keep(items), 0)):
         assert len(df.collect()) == n
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
 

@@ -130,21 +130,19 @@ def must_keep(items: DataFrame, cover: float = 0.8) -> DataFrame:
         wrong = wrong | low.contains(word)
     errors = items.filter((F.col("kind") == "object") & wrong).select("doc_id", "idx", F.lit("error").alias("reason"))
     entries = fields(items)
-    sizes = items.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total")).withColumnRenamed("doc_id", "_doc")
-    keys = entries.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n")).join(sizes, F.col("doc_id").eqNullSafe(F.col("_doc"))).filter(f"total >= {LEAST}")
-    mark = lambda df, **c: df.select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), *[F.col(k).alias(v) for k, v in c.items()])
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key"))
-    rare = entries.join(mark(keys.filter("n < total * 0.2D")), same).select("doc_id", "idx", F.lit("rare field").alias("reason"))
-    common = entries.join(mark(keys.filter("n >= total * 0.8D"), n="n"), same)
-    counts = common.groupBy("doc_id", "key", "value").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"))
+    sizes = items.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total")).filter(f"total >= {LEAST}").withColumnRenamed("doc_id", "_doc")
+    counts = _beside(entries.groupBy("doc_id", "key", "value").agg(F.count(F.lit(1)).alias("c")), sizes)
     own = Window.partitionBy("doc_id", "key")
     order = own.orderBy(F.desc("c"), "value")
-    counts = counts.withColumns({"kinds": F.count(F.when(F.col("value") != "__none__", 1)).over(own), "before": F.coalesce(F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    counts = counts.withColumns({"n": F.sum("c").over(own), "kinds": F.count(F.when(F.col("value") != "__none__", 1)).over(own), "before": F.coalesce(F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
     counts = counts.withColumn("top", F.col("before") < F.ceil(F.col("n") * cover)).withColumn("width", F.count(F.when(F.col("top"), 1)).over(own))
-    odd = counts.filter("kinds BETWEEN 2 AND 50 AND width <= 5 AND NOT top")
-    odd = odd.select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), F.col("value").alias("_value"))
-    status = entries.join(odd, same & (F.col("value") == F.col("_value"))).select("doc_id", "idx", F.lit("rare value").alias("reason"))
-    return errors.unionByName(rare).unionByName(status).distinct()
+    odd = F.expr("n >= total * 0.8D AND kinds BETWEEN 2 AND 50 AND width <= 5 AND NOT top AND value IS NOT NULL")
+    why = F.when(F.expr("n < total * 0.2D"), "rare field").when(odd, "rare value")
+    found = counts.select("_doc", F.col("key").alias("_key"), F.col("value").alias("_value"), why.alias("reason")).filter("reason IS NOT NULL")
+    # one join for both reasons, by merging as in _beside()
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key")) & F.col("value").eqNullSafe(F.col("_value"))
+    rare = entries.join(found.hint("merge"), same).select("doc_id", "idx", "reason")
+    return errors.unionByName(rare).distinct()
 
 
 def score_fields(items: DataFrame) -> DataFrame:
