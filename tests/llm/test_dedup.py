@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -281,3 +282,11 @@ def test_keep_one_leaves_clashing_columns(spark, monkeypatch):
         kept = ngram_join.keep_one(df)
         assert kept.columns == df.columns
         assert sorted(((r.doc_id, r["_key"]) for r in kept.collect()), key=lambda x: x[0] or 0) == expected
+
+
+def test_lone_sets_are_not_looked_up_again():
+    """Sets that meet without a label on either side are compared as they are; only labels of more sets stay open."""
+    ids, named, runs, signs = np.array([1, 2, 3]), np.array([7]), np.ones(3, np.int32), np.full(3, 5, np.uint32)
+    block = np.array([3, 1], np.int64).tobytes() + ids.tobytes() + named.tobytes() + runs.tobytes() + signs.tobytes()
+    met = ngram_join._meet(pa.table({"bucket": [0], "block": pa.array([block], pa.binary())}), ngram_join.SMALL).to_pylist()
+    assert {(r["a"], r["b"], r["la"], r["lb"]): r["open"] for r in met} == {(1, 2, 7, 2): True, (1, 3, 7, 3): True, (2, 3, 2, 3): False}

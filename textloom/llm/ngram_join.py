@@ -312,14 +312,16 @@ def _merge(groups: list[np.ndarray]) -> list[np.ndarray]:
     return [np.unique(np.concatenate(m)) for m in merged]
 
 
-MET = "a long, b long, la long, lb long, hot long"
+MET = "a long, b long, la long, lb long, hot long, open boolean"
 
 
 def _meet(table: pa.Table, small: int) -> pa.Table:
-    """Of one bucket: pairs of sets a and b of the labels la and lb, and the labels la of open groups (hot)."""
+    """Of one bucket: pairs of sets a and b of the labels la and lb, and the labels la of open groups (hot).
+
+    open: whether one of the labels may have other sets than these; null for the rows of open groups."""
     release()
     if not table.num_rows:
-        return pa.table([pa.array([], pa.int64())] * 5, ["a", "b", "la", "lb", "hot"])
+        return pa.table([*[pa.array([], pa.int64())] * 5, pa.array([], pa.bool_())], ["a", "b", "la", "lb", "hot", "open"])
     parts = [_unpack(x) for x in table.column("block").to_pylist()]
     rows = [np.concatenate([p[i] for p in parts]) for i in range(4)]
     pick = lambda which: [x[which] for x in rows]
@@ -359,14 +361,15 @@ def _meet(table: pa.Table, small: int) -> pa.Table:
         groups[~int(mix64(g.view(np.uint64)).min() >> U64(1)) if len(g) > LARGE else int(table.column("bucket")[0].as_py()) << 32 | n] = g
     cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
     a, b = cat(left), cat(right)
-    pairs = np.unique(np.stack([ids[a], ids[b], labels[a], labels[b]], axis=1), axis=0)
+    pairs = np.unique(np.stack([ids[a], ids[b], labels[a], labels[b], ~(single[a] & single[b])], axis=1), axis=0)
     swap = pairs[:, 0] > pairs[:, 1]
-    pairs[swap] = pairs[swap][:, [1, 0, 3, 2]]
+    pairs[swap] = pairs[swap][:, [1, 0, 3, 2, 4]]
     pairs = np.unique(pairs, axis=0)
     merged, hot = list(groups.values()), cat([np.full(len(g), name) for name, g in groups.items()])
     none = pa.nulls(len(hot), pa.int64())
     columns = [pa.concat_arrays([pa.array(pairs[:, i], pa.int64()), pa.array(cat(merged), pa.int64()) if i == 2 else none]) for i in range(4)]
-    return pa.table([*columns, pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(hot, pa.int64())])], ["a", "b", "la", "lb", "hot"])
+    more = [pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(hot, pa.int64())]), pa.concat_arrays([pa.array(pairs[:, 4] > 0), pa.nulls(len(hot), pa.bool_())])]
+    return pa.table([*columns, *more], ["a", "b", "la", "lb", "hot", "open"])
 
 
 def _may_link(n1: np.ndarray, n2: np.ndarray, differ: np.ndarray) -> np.ndarray:
@@ -485,15 +488,15 @@ def _open_pairs(met: DataFrame, members: DataFrame, now: DataFrame, nearest: int
     """(a, b, la, lb, more): sets of labels that met and are still apart, compared in tiles by sizes and sketches.
 
     members: (was, id, n_shingles, sketch), was being the label under which a set met; now: (was, label), labels since."""
-    label = lambda df, old, new: df.join(now.select(F.col("was").alias(old), F.col("label").alias(new)), old)
     part = lambda n: F.pmod(F.xxhash64("id", F.lit(7)), F.greatest(F.ceil(n / F.lit(TILE)), F.lit(1))).cast("int")
     upto = lambda n: F.greatest(F.ceil(n / F.lit(TILE)), F.lit(1)).cast("int")
     size = members.groupBy("was").agg(F.count(F.lit(1)).alias("n"))
 
     # two labels: the sets of the larger one on the left, those of all smaller ones that met it on the right
-    two = label(label(met.filter("hot is null").select("la", "lb").distinct(), "la", "na"), "lb", "nb").filter("na <> nb")
-    two = two.join(size.select(F.col("was").alias("la"), F.col("n").alias("sa")), "la").join(size.select(F.col("was").alias("lb"), F.col("n").alias("sb")), "lb")
-    two = two.filter("sa > 1 or sb > 1")  # two sets alone are compared already
+    # (two sets that are alone are compared already: only pairs with an open label are looked up, once for each side)
+    stand = lambda k, new, n: now.join(size, "was").select(F.col("was").alias(k), F.col("label").alias(new), F.col("n").alias(n))
+    two = met.filter("open").select(F.least("la", "lb").alias("la"), F.greatest("la", "lb").alias("lb")).distinct()
+    two = two.join(stand("la", "na", "sa"), "la").join(stand("lb", "nb", "sb"), "lb").filter("na <> nb")
     first = F.struct(F.col("sa"), F.col("la")) >= F.struct(F.col("sb"), F.col("lb"))
     pick = lambda x, y, name: F.when(first, F.col(x)).otherwise(F.col(y)).alias(name)
     two = materialize(two.select(pick("la", "lb", "big"), pick("lb", "la", "small"), pick("sa", "sb", "n_big"), pick("sb", "sa", "n_small")), "open-labels")
