@@ -2,7 +2,7 @@
 
 A source's token share p is raised to an exponent t in [0, 1] and normalised: w = p**t / sum(p**t). t is found by
 bisection: the largest exponent whose weights have at least the target entropy, or the smallest whose weights repeat no
-source more often than the repetition limit. Three bisection steps run per aggregation over the table of sources.
+source more often than the repetition limit. Four bisection steps run per aggregation over the table of sources.
 
 The weights are realised as block permutations under a token budget: a source's documents are ordered by a seeded digest
 and cut into blocks along that order; whole passes over the permutation are taken while the source's budget lasts, then
@@ -56,7 +56,14 @@ def find_exponent(sources: DataFrame, entropy_share: float | None, max_repeats:
         aggs = []
         for i, t in enumerate(points):
             power = F.exp(F.log(share) * t)
-            aggs += [F.sum(power).alias(f"s{i}"), F.sum(power * F.log(share)).alias(f"l{i}"), F.max(F.exp(F.log(share) * (t - 1))).alias(f"r{i}"), F.min(F.exp(F.log(share) * (t - 1))).alias(f"m{i}")]
+            if entropy_share is not None or budget is not None:
+                aggs.append(F.sum(power).alias(f"s{i}"))
+            if entropy_share is not None:
+                aggs.append(F.sum(power * F.log(share)).alias(f"l{i}"))
+            else:
+                aggs.append(F.max(F.exp(F.log(share) * (t - 1))).alias(f"r{i}"))
+                if budget is None:
+                    aggs.append(F.min(F.exp(F.log(share) * (t - 1))).alias(f"m{i}"))
         row = live.agg(*aggs).first()
         out = []
         for i, t in enumerate(points):
@@ -68,18 +75,19 @@ def find_exponent(sources: DataFrame, entropy_share: float | None, max_repeats:
         return out
 
     up = entropy_share is not None  # entropy falls as the exponent grows, repeats do too
-    if fits([1.0])[0] and up:
+    none, whole = fits([0.0, 1.0])
+    if whole and up:
         return 1.0
-    if not up and fits([0.0])[0]:
+    if not up and none:
         return 0.0
-    if not up and not fits([1.0])[0]:
+    if not up and not whole:
         raise ValueError(f"a budget of {budget:.0f} tokens over {total} takes some source more than {max_repeats} times, whatever the exponent")
-    for _ in range(-(-steps // 3)):
-        width = (high - low) / 8
-        points = [low + width * k for k in range(1, 8)]
+    for _ in range(-(-steps // 4)):
+        width = (high - low) / 16
+        points = [low + width * k for k in range(1, 16)]
         good = fits(points)
-        at = 4  # three halvings with the seven points at hand
-        for half in (2, 1, 0.5):
+        at = 8  # four halvings with the fifteen points at hand
+        for half in (4, 2, 1, 0.5):
             move = half if good[int(at) - 1] == up else -half
             at += move
         low, high = low + width * (at - 0.5), low + width * (at + 0.5)

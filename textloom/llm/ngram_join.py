@@ -228,11 +228,10 @@ def set_digests(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     return with_arrow_columns(rows, make, {"n_shingles": "long", "d1": "long", "d2": "long", "sketch": "binary", "seeds": "array<long>", "common": "array<long>"}, drop=("text",))
 
 
-def _common(sets: DataFrame) -> np.ndarray:
-    """By slot, whether its shingles are in COMMON_SHARE of the sets; at most 1 / COMMON_SHARE slots a shingle of a set reach the driver.
+def _common(sets: DataFrame, n: int) -> np.ndarray:
+    """By slot, of n different sets, whether its shingles are in COMMON_SHARE of the sets; at most 1 / COMMON_SHARE slots a shingle of a set reach the driver.
 
     This decides which signatures are left out, not which pairs are found."""
-    n = sets.filter("n_shingles > 0").select("d1", "d2").distinct().count()
     counts = sets.select(F.explode("common").alias("c")).groupBy(F.shiftright("c", 32).alias("slot")).agg(F.sum(F.col("c").bitwiseAND(F.lit((1 << 32) - 1))).alias("n"))
     out = np.zeros(SLOTS, bool)
     out[[r.slot for r in counts.filter(F.col("n") >= COMMON_SHARE * n).select("slot").collect()]] = True
@@ -544,7 +543,7 @@ def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") ->
         name += "_"
     keyed = docs.withColumn(name, row_key(text_col, id_col))
     out = keyed.join(F.broadcast(gone) if few else gone, keyed[name] == gone["_gone"], "left_anti").select(*docs.columns)
-    if again.limit(1).count():  # rows equal in id and text: the smallest by all columns
+    if not again.isEmpty():  # rows equal in id and text: the smallest by all columns
         same = keyed.join(again, keyed[name] == again["_kept"], "left_semi")
         out = out.unionByName(same.groupBy(name).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*"))
     return out
@@ -565,7 +564,7 @@ def labelled(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sm
     classes = materialize(named.select("doc_id", "key", "n_shingles", *(F.when(some, F.col(c)).otherwise(F.col(o)).alias(c) for c, o in (("rep", "key"), ("name", "doc_id")))), "classes")
     known = sets.filter(some).select("key", "n_shingles", "sketch", "seeds").join(reps.select("rep"), F.col("key") == F.col("rep"), "left_semi").dropDuplicates(["key"])
     known = materialize(known, "representatives")
-    repeated = sets.groupBy("key").count().filter("count > 1").limit(1).count() > 0
+    repeated = not sets.groupBy("key").count().filter("count > 1").isEmpty()
     to_verify = lambda pairs: verify(pairs, docs, text_col, id_col, repeated)
 
     # 1: sets that share one of their smallest signatures
@@ -580,7 +579,7 @@ def labelled(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sm
     rows = rows.join(F.broadcast(marks) if few else marks, F.col("key") == F.col("_marked"), "left").filter("_marked is null or _label is not null")
     rows = rows.select("key", F.col("_label").alias("label"), "text")
     n_buckets = max(8, total_bytes(docs, text_col)[1] // BUCKET_BYTES)
-    met = materialize(_blocks(rows, n_buckets, _common(sets)).groupBy("bucket").applyInArrow(lambda t: _meet(t, small), MET), "met")
+    met = materialize(_blocks(rows, n_buckets, _common(sets, known.count())).groupBy("bucket").applyInArrow(lambda t: _meet(t, small), MET), "met")
     pairs = met.filter("hot is null").select("a", "b", "la", "lb").distinct().join(tried, ["a", "b"], "left_anti")
     pairs = materialize(_possible(pairs, known), "pairs")
     tried = tried.unionByName(pairs.select("a", "b"))
@@ -593,10 +592,10 @@ def labelled(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sm
     for nearest in (NEAREST, 0):
         late = materialize(_open_pairs(met, members, now, nearest), "late-pairs")
         fresh = materialize(late.drop("more").join(tried, ["a", "b"], "left_anti"), "fresh-pairs")
-        if fresh.limit(1).count():
+        if not fresh.isEmpty():
             tried = tried.unionByName(fresh.select("a", "b"))
             now = materialize(_relabel(now, to_verify(fresh)), "labels-now")
-        if not late.filter("more").limit(1).count():
+        if late.filter("more").isEmpty():
             break
 
     final = members.select("was", F.col("id").alias("rep")).join(now, "was").select("rep", "label")

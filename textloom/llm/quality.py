@@ -4,7 +4,7 @@ Each text becomes the bag of its words and of the character n-grams (on bytes) w
 BUCKETS rows of an embedding table; the document vector is their average, a linear layer and softmax give the class.
 Embeddings and output layer are learned together by numpy stochastic gradient descent on the driver, over at most
 SAMPLE labelled documents (a documented bound; the documents with the smallest hashes of their id, of each class), whose
-features the executors count. As the output is linear in the average, a trained model is one score per bucket, and
+features the executors count and pack, at about a byte for a feature on the way to the driver. As the output is linear in the average, a trained model is one score per bucket, and
 scoring every whole text is a gather and a sum per document.
 
 Defined results: null and empty texts have no features and score by the bias alone; labels that are null or belong to no
@@ -14,6 +14,7 @@ label 1 among the labels there are (0.5 if none).
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import joined, load, mix64, slices, text_bytes, with_arrow_columns, word_hashes
+from textloom.llm.common import joined, load, mix64, release, slices, text_bytes, with_arrow_columns, word_hashes
 
 BUCKETS, DIM, EPOCHS, RATE, SAMPLE, THRESHOLD = 1 << 16, 8, 8, 0.05, 3_000, 0.3
 GRAMS = (2, 3, 4)
@@ -62,6 +63,20 @@ def feature_counts(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]
             yield np.unique(np.concatenate([bucket[at[i] : at[i + 1]] for bucket, at in kinds]), return_counts=True)
 
 
+def packed(buckets: np.ndarray, counts: np.ndarray) -> bytes:
+    """The features of a text as steps from bucket to bucket and counts, compressed byte plane by byte plane."""
+    both = np.stack([np.diff(buckets, prepend=0), counts]).astype("<i4")
+    return zlib.compress(both.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, counts) of packed(), as integers of the fewest bytes that hold them."""
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
+    steps, counts = np.ascontiguousarray(planes.T).view("<i4").reshape(2, -1)
+    small = lambda x: x.astype(np.min_scalar_type(int(x.max(initial=0))))
+    return small(np.cumsum(steps)), small(counts)
+
+
 class Model:
     """bucket_scores: what each feature adds to the logit of label 1; the bias beside it."""
 
@@ -101,7 +116,7 @@ def train(samples: list[tuple[np.ndarray, np.ndarray, int]], prior: float | None
             buckets, counts, y = samples[i]
             rate = RATE * (1 - done / steps)
             done += 1
-            share = counts / max(counts.sum(), 1)
+            share = counts / float(max(counts.sum(), 1))
             mean = share @ table[buckets]
             z = out @ mean + bias
             p = np.exp(z - z.max())
@@ -130,15 +145,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = list(feature_counts(text_bytes(batch.column(2))))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([m[0].astype(np.int32).tobytes() for m in made], pa.binary()), pa.array([m[1].astype(np.int32).tobytes() for m in made], pa.binary())],
-                ["id", "y", "buckets", "counts"],
-            )
+            made = [packed(*m) for m in feature_counts(text_bytes(batch.column(2)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], ["id", "y", "features"])
 
     kind = labels.schema[id_col].dataType.simpleString()
-    got = rows.mapInArrow(run, f"id {kind}, y int, buckets binary, counts binary").orderBy("id", "y").limit(2 * sample).collect()
-    return train([(np.frombuffer(r.buckets, np.int32), np.frombuffer(r.counts, np.int32), r.y) for r in got], prior)
+    got = rows.mapInArrow(run, f"id {kind}, y int, features binary").orderBy("id", "y").limit(2 * sample).collect()
+    model = train([(*unpacked(r.features), r.y) for r in got], prior)
+    del got
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
