@@ -242,6 +242,43 @@ def test_range_join_with_repeated_ids(spark):
     assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0) for r in got) == [(0, 1, 3), (1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 1, 3)]
 
 
+def test_range_join_sends_packs(spark, monkeypatch):
+    """Vectors that prune nothing go to every cell: as packs, so no table has a row for each vector and cell or tile."""
+    for name, value in (("ROWS_A_PIVOT", 20), ("BLOCK", 24), ("GATHER", 2), ("DEALS", 3)):
+        monkeypatch.setattr(range_join, name, value, raising=False)
+    tables, write = {}, range_join.materialize
+    monkeypatch.setattr(range_join, "materialize", lambda df, name: tables.setdefault(name, write(df, name)))
+    rng = np.random.default_rng(7)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(400, 64)))]
+    near = np.array(rows[0][1]) + rng.normal(size=(100, 64)) * 0.2  # more than one pack of a cell, linked
+    rows += [(400 + i, v.tolist()) for i, v in enumerate(near)]
+    got = range_join.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3))
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got.collect()} == vectors_brute(rows)
+    assert tables["homes"].groupBy("cell").count().count() > 10
+    sizes = {name: t.count() for name, t in tables.items()}
+    assert sizes["homes"] == 500 and max(sizes.values()) < 6 * 500, sizes
+
+
+def test_range_join_batches_and_threshold(spark):
+    fields = pa.schema([("k", pa.int64()), ("v", pa.binary())])
+    made = list(range_join.in_batches(((k, bytes(1 << 20), 1 << 20) for k in range(100)), fields))
+    assert sum(b.num_rows for b in made) == 100 and max(b.nbytes for b in made) <= range_join.BATCH_BYTES + (2 << 20)
+    # cosines that single precision can't tell from 0.9, in tiles of several strips
+    rng = np.random.default_rng(8)
+    x = range_join.unit(rng.normal(size=(700, 32)))
+    side = rng.normal(size=x.shape)
+    side = range_join.unit(side - (side * x).sum(axis=1, keepdims=True) * x)
+    c = 0.9 + rng.choice([-1e-6, -1e-9, -1e-12, 1e-12, 1e-9, 1e-6, 0.05], size=(700, 1))
+    y = range_join.unit(c * x + np.sqrt(1 - c * c) * side)
+    one = np.ones(700, np.int64)
+    links, roots, places = range_join.tile(x, y, one, 2 * one, 0.9, False)
+    want = (x @ y.T) >= 0.9
+    assert (links == np.concatenate([2 * want.sum(axis=1), want.sum(axis=0)])).all() and 200 < want.sum() < 500
+    assert len(roots) == len(places) == want.sum()  # the links are a forest here
+    links, roots, places = range_join.tile(x, x, one, one, -1.1, True)
+    assert (links[:700] == 699).all() and not links[700:].any() and len(places) == 699
+
+
 def test_line_keys_beyond_the_heavy_bar(spark, monkeypatch):
     """Hot keys joined by broadcast, by a shuffle, or met in their shard: the same result."""
     rows = [(i, f"hot\nwarm {i % 4}\nown {i}") for i in range(80)]

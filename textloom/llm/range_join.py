@@ -3,12 +3,16 @@
 Vectors are scaled to unit length; cosine >= 0.9 is then a Euclidean distance of at most eps = sqrt(2 - 2 * 0.9). Pivots
 (a bounded, documented number of vectors, those with the smallest hashes) partition the vectors: each goes to the cell
 of its nearest pivot. By the triangle inequality a partner of v lies in cell c only if d(v, c) <= d(v, own) + 2 * eps
-and d(v, c) <= radius of c + eps; v is replicated to those cells. Each cell then joins its own vectors with all that
-came to it, independently of other cells; every link of an own vector is found in its own cell.
+and d(v, c) <= radius of c + eps; v is replicated to those of these cells that host its own (of two cells one hosts the
+other, so a pair is looked at once). Each cell then joins its own vectors with all that came to it, independently of
+other cells.
 
-Equal vectors are collapsed before, so copies cost one row a class. A cell with many rows is cut into tiles of BLOCK own
-vectors by BLOCK vectors that came to it, which are joined in tasks of their own. A tile emits counts of links and a
-spanning forest of its links, never its pairs; components() joins the forests.
+Equal vectors are collapsed before, so copies cost one row a class. The vectors of a cell lie in packs of at most BLOCK,
+each one row of bytes; replicas are packs too, at most one of each pack and cell, and are sent on as they are made, so
+no task holds more than a few packs, however many cells a vector is replicated to. Two packs that meet are a tile: it
+emits counts of links and a spanning forest of its links, never its pairs, and nothing for vectors without a link;
+components() joins the forests. In a tile, products in single precision decide all pairs but those within the rounding
+error of the threshold, which are worked out in double precision.
 
 Defined results: vectors that are null, empty, of zero length or hold null, NaN or infinite components link with
 nothing and form a component alone, as do vectors of a dimension that no other has; equal vectors link with each other;
@@ -20,14 +24,17 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import load, materialize
+from textloom.llm.common import BATCH_BYTES, load, materialize
 from textloom.llm.components import components
 
 THRESHOLD, MAX_PIVOTS, ROWS_A_PIVOT, BLOCK = 0.9, 256, 8192, 4096
+#: Packs of a cell that a replica meets in one task; tasks among which the replicas that come to them are dealt; rows of a tile at once.
+GATHER, DEALS, STRIP = 8, 4, 256
+PACK = ["ids", "n", "v"]
 
 
 def valid(column: str):
@@ -49,9 +56,23 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
 
 
-def _forest(left: np.ndarray, right: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of links (left, right), given as places in ids, as many as keep what they connect connected: (root, id) rows."""
-    label = np.arange(len(ids))
+def rows_a_pack(dim: int) -> int:
+    return min(BLOCK, max(64, BATCH_BYTES // (8 * dim)))
+
+
+def hosts(a, b):
+    """Of two different cells or packs exactly one hosts the other, each about half of the others."""
+    return (a < b) != ((a + b) % 2 == 1)
+
+
+def _flat(column: pa.Array, dim: int) -> np.ndarray:
+    """Arrow lists of one length as rows."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+
+
+def _forest(left: np.ndarray, right: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of links (left, right) between places below size, as many as keep what they connect connected: (root, place)."""
+    label = np.arange(size)
     while True:
         low = np.minimum(label[left], label[right])
         new = label.copy()
@@ -62,8 +83,66 @@ def _forest(left: np.ndarray, right: np.ndarray, ids: np.ndarray) -> tuple[np.nd
         if (new == label).all():
             break
         label = new
-    other = np.flatnonzero(label != np.arange(len(ids)))
-    return ids[label[other]], ids[other]
+    other = np.flatnonzero(label != np.arange(size))
+    return label[other], other
+
+
+def _pairs(x: np.ndarray, y: np.ndarray, threshold: float, same: bool):
+    """Places (p, q) of the rows of x and y with a cosine >= threshold, strip by strip; same: x is y, only p < q."""
+    dim = x.shape[1]
+    error = (dim + 8) * 2.0**-23  # over what rounding to single precision can change in a product of unit vectors
+    a, b = x.astype(np.float32), np.ascontiguousarray(y.T, np.float32)
+    room = np.empty((min(STRIP, len(x)), len(y)), np.float32)
+    step = max(1, (1 << 20) // dim)
+    for lo in range(0, len(x), STRIP):
+        product = np.matmul(a[lo : lo + STRIP], b, out=room[: len(x) - lo])
+        hit = np.flatnonzero(product.max(axis=1) >= threshold - error)
+        if not len(hit):
+            continue
+        near = np.flatnonzero(product[hit] >= threshold - error)
+        p, q = hit[near // len(y)], near % len(y)
+        if same:
+            p, q = p[p + lo < q], q[p + lo < q]
+        keep = product[p, q] > threshold + error
+        p += lo
+        unsure = np.flatnonzero(~keep)
+        for k in range(0, len(unsure), step):
+            some = unsure[k : k + step]
+            keep[some] = np.einsum("ij,ij->i", x[p[some]], y[q[some]]) >= threshold
+        yield p[keep], q[keep]
+
+
+def tile(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, threshold: float, same: bool):
+    """Links of each row of x and of y (n and m: how many vectors a row is), and a forest of (root, place), y's places after x's."""
+    links, size = np.zeros(len(x) + len(y), np.int64), len(x) + len(y)
+    shift = 0 if same else len(x)
+    roots, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for p, q in _pairs(x, y, threshold, same):
+        links += np.bincount(p, m[q], minlength=size).astype(np.int64)
+        links += np.bincount(q + shift, n[p], minlength=size).astype(np.int64)
+        r, o = _forest(p, q + shift, size)
+        roots.append(r)
+        places.append(o)
+    return links, *_forest(np.concatenate(roots), np.concatenate(places), size)
+
+
+def _each(batch: pa.RecordBatch):
+    """The rows of a batch, one at a time."""
+    for k in range(batch.num_rows):
+        yield [c[k].as_py() for c in batch.columns]
+
+
+def in_batches(rows, schema: pa.Schema):
+    """Tuples as record batches of about BATCH_BYTES, the last value of each being the bytes that it holds."""
+    held, size = [], 0
+    for *row, n in rows:
+        held.append(row)
+        size += n
+        if size >= BATCH_BYTES or len(held) >= 10_000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
 
 
 def link_vectors(rows: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -77,7 +156,7 @@ def link_vectors(rows: DataFrame, threshold: float = THRESHOLD, id_col: str = "v
     classes = good.groupBy("key").agg(F.min("vec_id").alias("name"), F.count(F.lit(1)).alias("n"), F.min("v").alias("v"))
     classes = materialize(classes.withColumn("id", F.xxhash64("key")), "vector-classes")
     total = classes.count()
-    eps = math.sqrt(max(2 - 2 * threshold, 0)) * (1 + 1e-9) + 1e-9
+    eps = math.sqrt(max(2 - 2 * threshold, 0)) * (1 + 1e-9) + 1e-6  # over the rounding of distances near zero, a square root of it
     n_pivots = max(1, min(MAX_PIVOTS, total // ROWS_A_PIVOT))
     chosen = classes.select("v", "key").orderBy(F.xxhash64("key")).limit(n_pivots).collect()  # bounded by MAX_PIVOTS
     by_size: dict[int, list] = {}
@@ -91,57 +170,74 @@ def link_vectors(rows: DataFrame, threshold: float = THRESHOLD, id_col: str = "v
             return np.zeros((len(v), 1))
         return np.sqrt(np.maximum(2 - 2 * (v @ p.T), 0))
 
-    def assign(parts):
-        for pdf in parts:
-            dims = pdf.v.map(len).to_numpy()
+    def assign(batches):
+        for batch in batches:
+            dims = batch.column("v").value_lengths().to_numpy(zero_copy_only=False)
             for d in np.unique(dims):
-                part = pdf[dims == d]
-                far = distances(d, unit(np.stack(part.v.to_numpy())))
+                part = batch.filter(pa.array(dims == d))
+                far = distances(int(d), unit(_flat(part.column("v"), d)))
                 own = far.argmin(axis=1)
-                yield pd.DataFrame({"id": part.id.to_numpy(), "n": part.n.to_numpy(), "dim": d, "cell": own, "d": far[np.arange(len(own)), own], "v": part.v.to_numpy()})
-
-    homes = materialize(classes.select("id", "n", "v").mapInPandas(assign, f"id long, n long, dim long, cell long, d double, v {kind}"), "homes")
-    reach = {(r.dim, r.cell): r.radius for r in homes.groupBy("dim", "cell").agg(F.max("d").alias("radius")).collect()}  # at most MAX_PIVOTS cells and one a dimension
-    shared = spark.sparkContext.broadcast(reach)
-
-    def visit(parts):
-        for pdf in parts:
-            for d, part in pdf.groupby("dim"):
-                far = distances(d, unit(np.stack(part.v.to_numpy())))
-                radius = np.array([shared.value.get((d, c), -np.inf) for c in range(far.shape[1])])
-                own = far[np.arange(len(part)), part.cell.to_numpy()]
-                i, c = np.nonzero((far <= own[:, None] + 2 * eps) & (far <= radius[None, :] + eps))
-                yield pd.DataFrame({"id": part.id.to_numpy()[i], "n": part.n.to_numpy()[i], "dim": d, "cell": c, "v": part.v.to_numpy()[i]})
-
-    sizes = homes.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("rows"))
-    visitors = homes.select("id", "n", "dim", "cell", "v").mapInPandas(visit, f"id long, n long, dim long, cell long, v {kind}")
-    came = materialize(visitors, "visitors")
-    seen = came.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("came"))
-    tiles = materialize(sizes.join(seen, ["dim", "cell"]).select("dim", "cell", F.ceil(F.col("rows") / BLOCK).alias("own_tiles"), F.ceil(F.col("came") / BLOCK).alias("came_tiles")), "tiles")
-    spread = lambda n: F.pmod(F.xxhash64("id"), n)
-    left = homes.join(F.broadcast(tiles), ["dim", "cell"]).withColumn("i", spread(F.col("own_tiles"))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("came_tiles") - 1)))
-    right = came.join(F.broadcast(tiles), ["dim", "cell"]).withColumn("j", spread(F.col("came_tiles"))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("own_tiles") - 1)))
-    keys = ["dim", "cell", "i", "j"]
-
-    def tile(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"id": [], "links": [], "root": []}).astype("int64")
-        x, y = unit(np.stack(a.v.to_numpy())), unit(np.stack(b.v.to_numpy()))
-        ai, bi, n = a.id.to_numpy(), b.id.to_numpy(), b.n.to_numpy()
-        ids, counts, roots, others = np.unique(np.concatenate([ai, bi])), np.zeros(len(a), np.int64), [], []
-        for lo in range(0, len(a), 512):  # bounds the scratch space
-            p, q = np.nonzero(x[lo : lo + 512] @ y.T >= threshold)
-            p += lo
-            p, q = p[ai[p] != bi[q]], q[ai[p] != bi[q]]
-            counts += np.bincount(p, n[q], minlength=len(a)).astype(np.int64)
-            r, o = _forest(np.searchsorted(ids, ai[p]), np.searchsorted(ids, bi[q]), ids)
-            roots.append(r)
-            others.append(o)
-        roots, others = np.concatenate(roots), np.concatenate(others)
-        return pd.DataFrame({"id": np.concatenate([ai, others]), "links": np.concatenate([counts, np.zeros(len(others), np.int64)]), "root": np.concatenate([ai, roots])})
-
-    found = left.select(*keys, "id", "v").groupBy(*keys).cogroup(right.select(*keys, "id", "n", "v").groupBy(*keys)).applyInPandas(tile, "id long, links long, root long")
-    found = materialize(found, "links")
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("n"), pa.array(np.full(len(own), d, np.int64)), pa.array(own), pa.array(far[np.arange(len(own)), own]), part.column("v")], ["id", "n", "dim", "cell", "d", "v"])
+
+    homes = materialize(classes.select("id", "n", "v").mapInArrow(assign, f"id long, n long, dim long, cell long, d double, v {kind}"), "homes")
+    cells = homes.groupBy("dim", "cell").agg(F.max("d").alias("radius"), F.count(F.lit(1)).alias("rows")).collect()  # at most MAX_PIVOTS cells and one a dimension
+    cells = [(r.dim, r.cell, r.radius, math.ceil(r.rows / rows_a_pack(r.dim))) for r in cells]
+    shared = spark.sparkContext.broadcast({(dim, cell): (radius, math.ceil(packs / GATHER)) for dim, cell, radius, packs in cells})
+    packs = spark.createDataFrame(cells, "dim long, cell long, radius double, packs long").select("dim", "cell", "packs")
+
+    def pack(t: pa.Table) -> pa.Table:
+        v = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        columns = {k: t.column(k)[:1] for k in ("dim", "cell", "part")} | {k: pa.array([c.tobytes()], pa.binary()) for k, c in zip(PACK, (t.column("id").to_numpy(), t.column("n").to_numpy(), v), strict=True)}
+        return pa.table(columns)
+
+    packed = homes.join(F.broadcast(packs), ["dim", "cell"]).select("dim", "cell", F.pmod(F.xxhash64("id"), F.col("packs")).alias("part"), "id", "n", "v")
+    packed = packed.groupBy("dim", "cell", "part").applyInArrow(pack, "dim long, cell long, part long, ids binary, n binary, v binary")
+    packed = materialize(packed, "packs")
+    real = np.float32 if kind == "array<float>" else np.float64
+
+    def replicas(dim: int, cell: int, part: int, ids: bytes, n: bytes, v: bytes):
+        """Of one pack, for each cell that its vectors are sent to, those that are."""
+        i, m, vectors = np.frombuffer(ids, np.int64), np.frombuffer(n, np.int64), np.frombuffer(v, real).reshape(-1, dim)
+        far = distances(dim, unit(vectors))
+        limit = far[:, cell] + 2 * eps
+        for c in range(far.shape[1]):
+            radius, groups = shared.value.get((dim, c), (-math.inf, 0))
+            if c == cell:
+                yield dim, c, groups, cell, part, ids, n, v, len(ids) + len(n) + len(v)
+            elif groups and hosts(c, cell):
+                sent = (far[:, c] <= limit) & (far[:, c] <= radius + eps)
+                if sent.all():
+                    yield dim, c, groups, cell, part, ids, n, v, len(ids) + len(n) + len(v)
+                elif sent.any():
+                    out = [x[sent].tobytes() for x in (i, m, vectors)]
+                    yield dim, c, groups, cell, part, *out, sum(map(len, out))
+
+    fields = pa.schema([(k, pa.int64()) for k in ("dim", "cell", "groups", "from_cell", "from_part")] + [(k, pa.binary()) for k in PACK])
+
+    def visit(batches):
+        yield from in_batches((row for batch in batches for row in _each(batch) for row in replicas(*row)), fields)
+
+    came = packed.mapInArrow(visit, "dim long, cell long, groups long, from_cell long, from_part long, ids binary, n binary, v binary")
+    came = came.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1))).withColumn("deal", F.pmod(F.xxhash64("from_cell", "from_part"), F.lit(DEALS))).drop("groups")
+    own = packed.withColumns({"group": F.floor(F.col("part") / GATHER), "deal": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEALS - 1).cast("long")))})
+    own = own.withColumnsRenamed({k: f"own_{k}" for k in PACK})
+    # a pack meets the packs of its own cell that host it, and itself
+    meet = (F.col("cell") != F.col("from_cell")) | (F.col("part") == F.col("from_part")) | hosts(F.col("part"), F.col("from_part"))
+    tiles = came.join(own.hint("merge"), ["dim", "cell", "group", "deal"]).filter(meet)
+    tiles = tiles.select("dim", ((F.col("cell") == F.col("from_cell")) & (F.col("part") == F.col("from_part"))).alias("same"), *(f"own_{k}" for k in PACK), *PACK)
+
+    def join(batches):
+        for batch in batches:
+            for dim, same, *columns in _each(batch):
+                ai, n, x, bi, m, y = (np.frombuffer(c, t) for c, t in zip(columns, (np.int64, np.int64, real) * 2, strict=True))
+                links, roots, others = tile(unit(x.reshape(-1, dim)), unit(y.reshape(-1, dim)), n, m, threshold, same)
+                linked = np.flatnonzero(links)
+                if len(linked):
+                    ids = np.concatenate([ai, bi])
+                    arrays = [ids[np.concatenate([linked, others])], np.concatenate([links[linked], np.zeros(len(others), np.int64)]), ids[np.concatenate([linked, roots])]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in arrays], ["id", "links", "root"])
+
+    found = materialize(tiles.mapInArrow(join, "id long, links long, root long"), "links")
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     labels = components(found.select(F.col("root").alias("a"), F.col("id").alias("b"))).withColumnRenamed("id", "_id")
     merged = classes.select("key", "id", "name", "n").join(counts, "id", "left").join(labels, F.col("id") == F.col("_id"), "left")
