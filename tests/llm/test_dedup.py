@@ -244,7 +244,7 @@ def test_range_join_with_repeated_ids(spark):
 
 def test_range_join_sends_packs(spark, monkeypatch):
     """Vectors that prune nothing go to every cell: as packs, so no table has a row for each vector and cell or tile."""
-    for name, value in (("ROWS_A_PIVOT", 20), ("BLOCK", 24), ("GATHER", 2), ("DEALS", 3)):
+    for name, value in (("ROWS_A_PIVOT", 20), ("BLOCK", 24), ("GATHER", 2)):
         monkeypatch.setattr(range_join, name, value, raising=False)
     tables, write = {}, range_join.materialize
     monkeypatch.setattr(range_join, "materialize", lambda df, name: tables.setdefault(name, write(df, name)))

@@ -8,10 +8,10 @@ other, so a pair is looked at once). Each cell then joins its own vectors with a
 other cells.
 
 Equal vectors are collapsed before, so copies cost one row a class. The vectors of a cell lie in packs of at most BLOCK,
-each one row of bytes; replicas are packs too, at most one of each pack and cell, and are sent on as they are made, so
-no task holds more than a few packs, however many cells a vector is replicated to. Two packs that meet are a tile: it
-emits counts of links and a spanning forest of its links, never its pairs, and nothing for vectors without a link;
-components() joins the forests. In a tile, products in single precision decide all pairs but those within the rounding
+each one row of bytes; replicas are packs too, at most one of each pack and cell, and are sent on as they are made. GATHER
+packs of a cell meet about as many replicas, in rows, in a task of their own, so no task holds more than that, however many
+cells a vector is replicated to. They are joined in tiles of BLOCK by BLOCK; a task emits counts of links and spanning
+forests of its tiles, never their pairs, and nothing for vectors without a link; components() joins the forests. In a tile, products in single precision decide all pairs but those within the rounding
 error of the threshold, which are worked out in double precision.
 
 Defined results: vectors that are null, empty, of zero length or hold null, NaN or infinite components link with
@@ -25,6 +25,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,8 +33,8 @@ from textloom.llm.common import BATCH_BYTES, load, materialize
 from textloom.llm.components import components
 
 THRESHOLD, MAX_PIVOTS, ROWS_A_PIVOT, BLOCK = 0.9, 256, 8192, 4096
-#: Packs of a cell that a replica meets in one task; tasks among which the replicas that come to them are dealt; rows of a tile at once.
-GATHER, DEALS, STRIP = 8, 4, 256
+#: Packs of a cell that meet as many rows of replicas in one task; rows of a tile at once.
+GATHER, STRIP = 8, 256
 PACK = ["ids", "n", "v"]
 
 
@@ -92,15 +93,14 @@ def _pairs(x: np.ndarray, y: np.ndarray, threshold: float, same: bool):
     dim = x.shape[1]
     error = (dim + 8) * 2.0**-23  # over what rounding to single precision can change in a product of unit vectors
     a, b = x.astype(np.float32), np.ascontiguousarray(y.T, np.float32)
-    room = np.empty((min(STRIP, len(x)), len(y)), np.float32)
+    room, mask = (np.empty((min(STRIP, len(x)), len(y)), t) for t in (np.float32, bool))
     step = max(1, (1 << 20) // dim)
     for lo in range(0, len(x), STRIP):
         product = np.matmul(a[lo : lo + STRIP], b, out=room[: len(x) - lo])
-        hit = np.flatnonzero(product.max(axis=1) >= threshold - error)
-        if not len(hit):
+        if product.max() < threshold - error:
             continue
-        near = np.flatnonzero(product[hit] >= threshold - error)
-        p, q = hit[near // len(y)], near % len(y)
+        near = np.flatnonzero(np.greater_equal(product, threshold - error, out=mask[: len(product)]))
+        p, q = near // len(y), near % len(y)
         if same:
             p, q = p[p + lo < q], q[p + lo < q]
         keep = product[p, q] > threshold + error
@@ -182,9 +182,11 @@ def link_vectors(rows: DataFrame, threshold: float = THRESHOLD, id_col: str = "v
     homes = materialize(classes.select("id", "n", "v").mapInArrow(assign, f"id long, n long, dim long, cell long, d double, v {kind}"), "homes")
     cells = homes.groupBy("dim", "cell").agg(F.max("d").alias("radius"), F.count(F.lit(1)).alias("rows")).collect()  # at most MAX_PIVOTS cells and one a dimension
     cells = [(r.dim, r.cell, r.radius, math.ceil(r.rows / rows_a_pack(r.dim))) for r in cells]
-    shared = spark.sparkContext.broadcast({(dim, cell): (radius, math.ceil(packs / GATHER)) for dim, cell, radius, packs in cells})
+    shared = spark.sparkContext.broadcast({(dim, cell): radius for dim, cell, radius, _ in cells})
     packs = spark.createDataFrame(cells, "dim long, cell long, radius double, packs long").select("dim", "cell", "packs")
 
+    step = {dim: rows_a_pack(dim) for dim, *_ in cells}
+
     def pack(t: pa.Table) -> pa.Table:
         v = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
         columns = {k: t.column(k)[:1] for k in ("dim", "cell", "part")} | {k: pa.array([c.tobytes()], pa.binary()) for k, c in zip(PACK, (t.column("id").to_numpy(), t.column("n").to_numpy(), v), strict=True)}
@@ -201,43 +203,66 @@ def link_vectors(rows: DataFrame, threshold: float = THRESHOLD, id_col: str = "v
         far = distances(dim, unit(vectors))
         limit = far[:, cell] + 2 * eps
         for c in range(far.shape[1]):
-            radius, groups = shared.value.get((dim, c), (-math.inf, 0))
+            radius = shared.value.get((dim, c))
             if c == cell:
-                yield dim, c, groups, cell, part, ids, n, v, len(ids) + len(n) + len(v)
-            elif groups and hosts(c, cell):
+                yield dim, c, cell, part, ids, n, v, len(ids) + len(n) + len(v)
+            elif radius is not None and hosts(c, cell):
                 sent = (far[:, c] <= limit) & (far[:, c] <= radius + eps)
                 if sent.all():
-                    yield dim, c, groups, cell, part, ids, n, v, len(ids) + len(n) + len(v)
+                    yield dim, c, cell, part, ids, n, v, len(ids) + len(n) + len(v)
                 elif sent.any():
                     out = [x[sent].tobytes() for x in (i, m, vectors)]
-                    yield dim, c, groups, cell, part, *out, sum(map(len, out))
+                    yield dim, c, cell, part, *out, sum(map(len, out))
 
-    fields = pa.schema([(k, pa.int64()) for k in ("dim", "cell", "groups", "from_cell", "from_part")] + [(k, pa.binary()) for k in PACK])
+    fields = pa.schema([(k, pa.int64()) for k in ("dim", "cell", "from_cell", "from_part")] + [(k, pa.binary()) for k in PACK])
 
     def visit(batches):
         yield from in_batches((row for batch in batches for row in _each(batch) for row in replicas(*row)), fields)
 
-    came = packed.mapInArrow(visit, "dim long, cell long, groups long, from_cell long, from_part long, ids binary, n binary, v binary")
-    came = came.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1))).withColumn("deal", F.pmod(F.xxhash64("from_cell", "from_part"), F.lit(DEALS))).drop("groups")
-    own = packed.withColumns({"group": F.floor(F.col("part") / GATHER), "deal": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEALS - 1).cast("long")))})
-    own = own.withColumnsRenamed({k: f"own_{k}" for k in PACK})
-    # a pack meets the packs of its own cell that host it, and itself
-    meet = (F.col("cell") != F.col("from_cell")) | (F.col("part") == F.col("from_part")) | hosts(F.col("part"), F.col("from_part"))
-    tiles = came.join(own.hint("merge"), ["dim", "cell", "group", "deal"]).filter(meet)
-    tiles = tiles.select("dim", ((F.col("cell") == F.col("from_cell")) & (F.col("part") == F.col("from_part"))).alias("same"), *(f"own_{k}" for k in PACK), *PACK)
-
-    def join(batches):
-        for batch in batches:
-            for dim, same, *columns in _each(batch):
-                ai, n, x, bi, m, y = (np.frombuffer(c, t) for c, t in zip(columns, (np.int64, np.int64, real) * 2, strict=True))
-                links, roots, others = tile(unit(x.reshape(-1, dim)), unit(y.reshape(-1, dim)), n, m, threshold, same)
-                linked = np.flatnonzero(links)
-                if len(linked):
-                    ids = np.concatenate([ai, bi])
-                    arrays = [ids[np.concatenate([linked, others])], np.concatenate([links[linked], np.zeros(len(others), np.int64)]), ids[np.concatenate([linked, roots])]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in arrays], ["id", "links", "root"])
-
-    found = materialize(tiles.mapInArrow(join, "id long, links long, root long"), "links")
+    sizes = pa.schema([(k, pa.int64()) for k in ("dim", "cell", "rows")])
+
+    def count(batches):
+        yield from in_batches(((dim, cell, len(ids) // 8, 24) for batch in batches for row in _each(batch) for dim, cell, _, _, ids, *_ in replicas(*row)), sizes)
+
+    # packs of a cell go to so many groups, replicas that come to it to so many deals: each group meets each deal
+    rows_came = {(r.dim, r.cell): r.rows for r in packed.mapInArrow(count, "dim long, cell long, rows long").groupBy("dim", "cell").agg(F.sum("rows").alias("rows")).collect()}
+    spread = [(dim, cell, math.ceil(packs / GATHER), math.ceil(rows_came[dim, cell] / (GATHER * rows_a_pack(dim)))) for dim, cell, _, packs in cells]
+    spread = F.broadcast(spark.createDataFrame(spread, "dim long, cell long, groups long, deals long"))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    came = packed.mapInArrow(visit, "dim long, cell long, from_cell long, from_part long, ids binary, n binary, v binary").join(spread, ["dim", "cell"])
+    came = came.withColumns({"deal": F.pmod(F.xxhash64("from_cell", "from_part"), F.col("deals")), "group": each("groups")})
+    own = packed.join(spread, ["dim", "cell"]).withColumns({"group": F.floor(F.col("part") / GATHER), "deal": each("deals")})
+    keys = ["dim", "cell", "group", "deal"]
+
+    def join(a: pa.Table, b: pa.Table) -> pa.Table:
+        made = [(np.zeros(0, np.int64),) * 3]
+        dim, cell = (t[k][0].as_py() if t.num_rows else 0 for t, k in ((a, "dim"), (a, "cell")))
+
+        def packs_of(t: pa.Table, part: str):
+            for k, *columns in zip(*(t[c].to_pylist() for c in (part, *PACK)), strict=True):
+                ids, n, v = (np.frombuffer(c, kind) for c, kind in zip(columns, (np.int64, np.int64, real), strict=True))
+                yield k, ids, n, unit(v.reshape(-1, dim))
+
+        here = pa.array([c == cell for c in b["from_cell"].to_pylist()], pa.bool_())
+        others = list(packs_of(b.filter(here), "from_part"))
+        if outer := list(packs_of(b.filter(pc.invert(here)), "from_part")):  # replicas from other cells, which may be small, side by side
+            ids, n, v = (np.concatenate(c) for c in list(zip(*outer, strict=True))[1:])
+            others += [(None, ids[k : k + step[dim]], n[k : k + step[dim]], v[k : k + step[dim]]) for k in range(0, len(ids), step[dim])]
+        for part, ai, n, x in packs_of(a, "part"):
+            links = np.zeros(len(ai), np.int64)
+            for other, bi, m, y in others:
+                # a pack meets the packs of its own cell that it hosts, and itself
+                if other is None or other == part or hosts(part, other):
+                    found, roots, places = tile(x, y, n, m, threshold, other == part)
+                    links += found[: len(ai)]
+                    ids, linked = np.concatenate([ai, bi]), np.flatnonzero(found[len(ai) :])
+                    made += [(bi[linked], found[len(ai) + linked], bi[linked]), (ids[places], np.zeros(len(places), np.int64), ids[roots])]
+            linked = np.flatnonzero(links)
+            made.append((ai[linked], links[linked], ai[linked]))
+        return pa.table(dict(zip(("id", "links", "root"), map(np.concatenate, zip(*made, strict=True)), strict=True)))
+
+    found = own.select(*keys, "part", *PACK).groupBy(*keys).cogroup(came.select(*keys, "from_cell", "from_part", *PACK).groupBy(*keys)).applyInArrow(join, "id long, links long, root long")
+    found = materialize(found, "links")
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     labels = components(found.select(F.col("root").alias("a"), F.col("id").alias("b"))).withColumnRenamed("id", "_id")
     merged = classes.select("key", "id", "name", "n").join(counts, "id", "left").join(labels, F.col("id") == F.col("_id"), "left")
