@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import BATCH_BYTES, load, materialize
+from textloom.llm.common import BATCH_BYTES, load, materialize, release
 from textloom.llm.components import components
 
 THRESHOLD, MAX_PIVOTS, ROWS_A_PIVOT, BLOCK = 0.9, 256, 8192, 4096
@@ -235,30 +235,32 @@ def link_vectors(rows: DataFrame, threshold: float = THRESHOLD, id_col: str = "v
     keys = ["dim", "cell", "group", "deal"]
 
     def join(a: pa.Table, b: pa.Table) -> pa.Table:
+        release()
         made = [(np.zeros(0, np.int64),) * 3]
         dim, cell = (t[k][0].as_py() if t.num_rows else 0 for t, k in ((a, "dim"), (a, "cell")))
 
         def packs_of(t: pa.Table, part: str):
             for k, *columns in zip(*(t[c].to_pylist() for c in (part, *PACK)), strict=True):
                 ids, n, v = (np.frombuffer(c, kind) for c, kind in zip(columns, (np.int64, np.int64, real), strict=True))
-                yield k, ids, n, unit(v.reshape(-1, dim))
+                yield k, ids, n, v.reshape(-1, dim)
 
         here = pa.array([c == cell for c in b["from_cell"].to_pylist()], pa.bool_())
         others = list(packs_of(b.filter(here), "from_part"))
         if outer := list(packs_of(b.filter(pc.invert(here)), "from_part")):  # replicas from other cells, which may be small, side by side
             ids, n, v = (np.concatenate(c) for c in list(zip(*outer, strict=True))[1:])
             others += [(None, ids[k : k + step[dim]], n[k : k + step[dim]], v[k : k + step[dim]]) for k in range(0, len(ids), step[dim])]
-        for part, ai, n, x in packs_of(a, "part"):
-            links = np.zeros(len(ai), np.int64)
-            for other, bi, m, y in others:
+            del outer
+        packs = [(part, ids, n, unit(v), np.zeros(len(ids), np.int64)) for part, ids, n, v in packs_of(a, "part")]
+        for other, bi, m, y in others:
+            y = unit(y)
+            for part, ai, n, x, links in packs:
                 # a pack meets the packs of its own cell that it hosts, and itself
                 if other is None or other == part or hosts(part, other):
                     found, roots, places = tile(x, y, n, m, threshold, other == part)
                     links += found[: len(ai)]
                     ids, linked = np.concatenate([ai, bi]), np.flatnonzero(found[len(ai) :])
                     made += [(bi[linked], found[len(ai) + linked], bi[linked]), (ids[places], np.zeros(len(places), np.int64), ids[roots])]
-            linked = np.flatnonzero(links)
-            made.append((ai[linked], links[linked], ai[linked]))
+        made += [(ai[links > 0], links[links > 0], ai[links > 0]) for _, ai, _, _, links in packs]
         return pa.table(dict(zip(("id", "links", "root"), map(np.concatenate, zip(*made, strict=True)), strict=True)))
 
     found = own.select(*keys, "part", *PACK).groupBy(*keys).cogroup(came.select(*keys, "from_cell", "from_part", *PACK).groupBy(*keys)).applyInArrow(join, "id long, links long, root long")
